@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
+from daybook.runtime import widen
 
 # First capture instant (2024-01-01 UTC), the "now" of age rules, encoder size.
 BASE = 1704067200
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table with long texts, whose per-row work should use all cores."""
+    return widen(table(spark, sf, name))
+
+
 def us(ts: Column | str) -> Column:
     """Instants leave a query as microseconds, free of time zone conversion."""
     return F.unix_micros(ts)
@@ -34,7 +40,7 @@ def us(ts: Column | str) -> Column:
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     epoch = F.lit(BASE) + F.col("doc_id") * 3600
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.concat("source", F.lit("_"), epoch.cast("string"), F.lit(".txt")).alias("path"),
         F.col("source").alias("window_id"),
         F.timestamp_seconds(epoch).alias("ts"),

@@ -1,0 +1,87 @@
+"""Streaming twins: events arrive as files in time order and drain into a Parquet sink."""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark.sql import functions as F
+
+from catalog import fixtures as X
+from catalog.captures import ASOF, FIRST, GATED, UNCHANGED, throttle_sql
+from catalog.registry import register
+from daybook.runtime import scratch
+from daybook.sources.feeds import stream_table
+from daybook.streaming import captures as ST
+
+CHUNKS = 4
+FILES = 2
+
+
+@contextmanager
+def _state_partitions(spark):
+    """Streaming state gets one partition per core; a stream keeps this number for its life."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _inbox(spark, rows, span):
+    """Write rows as CHUNKS groups of files in time order; `span` is (first, last) microsecond."""
+    path = scratch(spark, "inbox")
+    width = (span[1] - span[0]) // CHUNKS + 1
+    chunk = F.floor((X.us("ts") - F.lit(span[0])) / F.lit(width))
+    for i in range(CHUNKS):
+        rows.filter(chunk == i).repartition(FILES).write.mode("append").parquet(path)
+    return stream_table(spark, path, rows.schema, files_per_trigger=FILES)
+
+
+def _span(spark, sf):
+    return tuple(X.events(spark, sf).agg(F.min(X.us("ts")), F.max(X.us("ts"))).first())
+
+
+def _drain(spark, stream):
+    path = scratch(spark, "sink")
+    ST.ingest(stream, path, scratch(spark, "checkpoint")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@register("drop_unchanged_stream", UNCHANGED)
+def _(spark, sf):
+    with _state_partitions(spark):
+        arriving = _inbox(spark, X.captures(spark, sf), _span(spark, sf))
+        return _drain(spark, ST.drop_unchanged_stream(arriving)).filter("NOT late").select("seq", "window_id")
+
+
+@register("gate_stream", GATED)
+def _(spark, sf):
+    with _state_partitions(spark):
+        span = _span(spark, sf)
+        arriving = _inbox(spark, X.captures(spark, sf), span), _inbox(spark, X.states(spark, sf), span)
+        return _drain(spark, ST.gate_stream(*arriving)).select("seq")
+
+
+@register("throttle_stream", throttle_sql("event_type", 3600))
+def _(spark, sf):
+    with _state_partitions(spark):
+        rows = X.captures(spark, sf).select("seq", "ts", F.col("title").alias("k"))
+        return _drain(spark, ST.throttle_stream(_inbox(spark, rows, _span(spark, sf)), ["k"], 3600)).select("seq", "k")
+
+
+INGESTED = f"""{ASOF}, firsts AS (SELECT * FROM captures JOIN suspends USING (seq) JOIN locks USING (seq)
+  WHERE NOT coalesce(suspend_active, FALSE) AND NOT coalesce(lock_active, FALSE) AND NOT contains(title, 'err')
+  QUALIFY row_number() OVER (PARTITION BY window_id, floor(epoch(ts)) ORDER BY ts, seq) = 1),
+seen AS (SELECT *, lag(frame_hash) OVER w AS prev, row_number() OVER w AS n FROM firsts WINDOW w AS (PARTITION BY window_id ORDER BY ts, seq))
+SELECT seq, window_id FROM seen WHERE n = 1 OR frame_hash IS DISTINCT FROM prev"""
+
+
+@register("capture_stream", INGESTED)
+def _(spark, sf):
+    """Gate and comparison keep separate states: the gated stream is the input of the second."""
+    with _state_partitions(spark):
+        span = _span(spark, sf)
+        gated = ST.gate_stream(_inbox(spark, X.captures(spark, sf), span), _inbox(spark, X.states(spark, sf), span))
+        kept = ST.exclude_titles(ST.with_window(gated), "ERR")
+        return _drain(spark, ST.drop_unchanged_stream(kept)).filter("NOT late").select("seq", "window_id")

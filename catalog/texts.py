@@ -126,7 +126,7 @@ def _(spark, sf):
       '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text, NULL::VARCHAR AS error FROM pages""",
 )
 def _(spark, sf):
-    return extract_html(X.table(spark, sf, "pages")).select("page_id", "text", "error")
+    return extract_html(X.texts(spark, sf, "pages")).select("page_id", "text", "error")
 
 
 # Two rounds: 5 of 6 documents, then a fifth of them changed, a seventh gone, and the rest new.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
-from daybook.runtime import broadcast_if_small
+from daybook.runtime import broadcast_if_small, durable, fits, small
 
 K1 = 1.2
 B = 0.75
@@ -31,12 +31,12 @@ def postings_match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(wanted, "term", "left_semi")
 
 
-def _rarest_first(found: DataFrame, terms: DataFrame) -> DataFrame:
+def rarest_first(found: DataFrame, terms: DataFrame, bounded: bool) -> DataFrame:
     """(query_id, path) of documents that hold all terms of a query.
 
     A match must hold the query's rarest term, so candidates come from that term's postings
     and only they are looked up under the other terms. A word found everywhere costs no more
-    than the rarest word beside it.
+    than the rarest word beside it. `bounded` says that the number of terms was checked.
     """
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sized = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -44,11 +44,9 @@ def _rarest_first(found: DataFrame, terms: DataFrame) -> DataFrame:
     sized = sized.withColumn("_n", F.row_number().over(order))
     lead = sized.filter("_n = 1 AND df > 0").select("query_id", "term", "n_terms")
     others = sized.filter("_n > 1").select("query_id", F.col("term").alias("other"))
-    candidates = found.select("term", "path").join(
-        broadcast_if_small(lead, QUERY_TERM_ROWS), "term"
-    ).select("query_id", "path", "n_terms")
+    candidates = found.select("term", "path").join(small(lead, bounded), "term").select("query_id", "path", "n_terms")
     alone = candidates.filter("n_terms = 1").select("query_id", "path")
-    probes = candidates.filter("n_terms > 1").join(broadcast_if_small(others, QUERY_TERM_ROWS), "query_id")
+    probes = candidates.filter("n_terms > 1").join(small(others, bounded), "query_id")
     held = probes.join(
         found.select(F.col("term").alias("other"), "path"), ["other", "path"]
     ).groupBy("query_id", "path").agg(F.count(F.lit(1)).alias("_held"), F.first("n_terms").alias("n_terms"))
@@ -56,7 +54,9 @@ def _rarest_first(found: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def match_all(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    return _rarest_first(postings_match(postings, terms), terms)
+    """Documents with all terms. The query terms' postings are read several times, hence kept."""
+    found = durable(postings_match(postings.select("term", "path"), terms))
+    return rarest_first(found, terms, fits(terms, QUERY_TERM_ROWS))
 
 
 def match_any(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -70,10 +70,11 @@ def match_phrase(postings: DataFrame, queries: DataFrame) -> DataFrame:
     slots = words.select("query_id", F.size("_w").alias("n_slots"), F.posexplode("_w").alias("offset", "term"))
     distinct = slots.select("query_id", "term").distinct().withColumn("offset", F.lit(0))
     counts = distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    found = postings_match(postings, slots)
-    both = _rarest_first(found, distinct.join(counts, "query_id"))
+    bounded = fits(slots, QUERY_TERM_ROWS)
+    found = durable(postings_match(postings, slots))
+    both = rarest_first(found, distinct.join(counts, "query_id"), bounded)
     begins = (
-        both.join(broadcast_if_small(slots, QUERY_TERM_ROWS), "query_id")
+        both.join(small(slots, bounded), "query_id")
         .join(found.select("term", "path", "positions"), ["term", "path"])
         .select("query_id", "path", "n_slots", F.explode("positions").alias("_p"), "offset")
         .groupBy("query_id", "path", "n_slots", (F.col("_p") - F.col("offset")).alias("_begin"))
@@ -119,20 +120,22 @@ def keyword_search(
     """Top `k` documents per query by BM25: (query_id, rank, path, score), ties by path.
 
     `stats` has (path, len) for the whole corpus. `optional` (query_id, text) adds words that
-    raise the score but are not required. Scores are rounded to 6 digits before ranking.
+    raise the score but are not required. Scores are rounded to 6 digits before ranking. The
+    postings of the query terms are checkpointed, because ranking reads them several times.
     """
     terms = query_terms(queries).select("query_id", "term", "n_terms")
     scored = terms.select("query_id", "term")
     if optional is not None:
         scored = scored.unionByName(query_terms(optional).select("query_id", "term")).distinct()
-    found = postings_match(postings.select("term", "path", "tf"), scored)
+    bounded = fits(scored, QUERY_TERM_ROWS)
+    found = durable(postings_match(postings.select("term", "path", "tf"), scored))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = broadcast_if_small(scored.join(df, "term"), QUERY_TERM_ROWS)
+    weighted = small(scored.join(df, "term"), bounded)
     corpus = stats.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))).scalar()
     if mode == "any":
         rows = found.join(weighted, "term")
     else:
-        hits = _rarest_first(found, terms)
+        hits = rarest_first(found, terms, bounded)
         rows = hits.join(weighted, "query_id").join(found, ["term", "path"])
     rows = rows.join(stats.select("path", "len"), "path")
     part = bm25(F.col("tf"), F.col("df"), F.col("len"), corpus["n_docs"], corpus["avg_len"])

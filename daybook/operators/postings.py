@@ -16,7 +16,6 @@ from daybook.runtime import broadcast_if_small
 from daybook.sources.store import ArchiveStore
 
 BUCKETS = 64
-SPLITS = 8
 
 
 def bucket_of(term: Column) -> Column:
@@ -53,9 +52,9 @@ def corpus_lengths(stats: DataFrame) -> DataFrame:
 
 
 def spread_postings(postings: DataFrame) -> DataFrame:
-    """Partition for writing: by bucket, and by document within it, because one term may fill a bucket."""
-    rows = postings.withColumn("bucket", bucket_of(F.col("term")))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(SPLITS)))
+    """Partition for writing by bucket. One term may fill a bucket: Spark's rebalancing splits
+    large partitions by their measured size and merges small ones."""
+    rows = postings.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", F.col("bucket"))
     return rows.sortWithinPartitions("bucket", "term", "path")
 
 

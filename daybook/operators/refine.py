@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators.keyword import QUERY_TERM_ROWS, keyword_search, postings_match, query_terms
-from daybook.runtime import broadcast_if_small
+from daybook.runtime import broadcast_if_small, durable
 
 
 def refine_with(queries: DataFrame, refine: Callable[[str], str] | None) -> DataFrame:
@@ -51,7 +51,7 @@ def feedback_terms(
     Weight is the sum over those documents of tf / length, times the word's idf. Only the
     postings of the top documents are aggregated, at most n_docs documents per query.
     """
-    top = keyword_search(postings, stats, queries, n_docs).select("query_id", "path")
+    top = durable(keyword_search(postings, stats, queries, n_docs).select("query_id", "path"))
     top = broadcast_if_small(top, QUERY_TERM_ROWS)
     corpus = stats.agg(F.count(F.lit(1))).scalar()
     seen = (
@@ -60,7 +60,7 @@ def feedback_terms(
         .groupBy("query_id", "term")
         .agg(F.sum(F.col("tf") / F.col("len")).alias("_w"))
     )
-    seen = seen.join(query_terms(queries).select("query_id", "term"), ["query_id", "term"], "left_anti")
+    seen = durable(seen.join(query_terms(queries).select("query_id", "term"), ["query_id", "term"], "left_anti"))
     df = postings_match(postings.select("term", "path"), seen).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (corpus - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = seen.join(df, "term").select("query_id", "term", F.round(F.col("_w") * idf, 6).alias("weight"))
@@ -71,11 +71,15 @@ def feedback_terms(
 def refine_queries(
     postings: DataFrame, stats: DataFrame, queries: DataFrame, n_docs: int = 5, n_terms: int = 5
 ) -> DataFrame:
-    """Queries with feedback words appended in weight order; unchanged where nothing was found."""
+    """Queries with feedback words appended in weight order; unchanged where nothing was found.
+
+    The result has one row per query and is checkpointed, so later steps never repeat the search.
+    """
     extra = (
         feedback_terms(postings, stats, queries, n_docs, n_terms)
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("_t"))
     )
     added = F.concat_ws(" ", F.col("text"), F.array_join(F.transform("_t", lambda x: x["term"]), " "))
-    return queries.join(extra, "query_id", "left").select("query_id", F.coalesce(added, "text").alias("text"))
+    refined = queries.join(extra, "query_id", "left").select("query_id", F.coalesce(added, "text").alias("text"))
+    return durable(refined)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators.slices import SLICE_SECONDS, slice_of, with_previous
+from daybook.runtime import durable
 
 SLICE_INTERVALS = 100
 
@@ -36,7 +37,7 @@ def _bursts(rows: DataFrame, keys: list[str], interval: int, seconds: int) -> Da
     """Add `_open` (burst start) and `_burst` (instant of the burst start), in microseconds."""
     seen = with_previous(rows, keys, ["_us_ts", "seq"], F.col("_us"), "prev", seconds)
     seen = seen.withColumn("_open", ~F.col("has_prev") | (F.col("_us") - F.col("prev") > interval))
-    seen = seen.withColumn("_start", F.when("_open", F.col("_us"))).drop("prev", "has_prev")
+    seen = seen.withColumn("_start", F.when(F.col("_open"), F.col("_us"))).drop("prev", "has_prev")
     seen = seen.withColumn("_slice", slice_of(F.col("_us_ts"), seconds))
     starts = seen.groupBy(*keys, "_slice").agg(F.max("_start").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +65,7 @@ def throttle(
     narrow = events.select(*keys, "seq", F.unix_micros("ts").alias("_us"), F.col("ts").alias("_us_ts"))
     first = Window.partitionBy(*keys, "_us").orderBy("seq")
     narrow = narrow.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    rows = _bursts(narrow, keys, interval, slice_seconds)
+    rows = durable(_bursts(narrow, keys, interval, slice_seconds))
 
     settled = rows.filter("_open").select(*keys, "_us", "seq")
     rest = rows.filter(F.col("_us") > F.col("_burst") + interval).withColumn(

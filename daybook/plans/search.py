@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.operators.embed import Encoder, embed_texts
-from daybook.operators.keyword import QUERY_TERM_ROWS, keyword_search
+from daybook.operators.keyword import keyword_search
 from daybook.operators.neighbours import knn_join
-from daybook.runtime import broadcast_if_small
+from daybook.runtime import fits, small
 from daybook.schemas import HITS
 
 KEYWORD, SEMANTIC = "keyword", "semantic"
 BACKENDS = (KEYWORD, SEMANTIC)
+MAX_HITS = 1_000_000
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -22,17 +23,19 @@ def _hits(df: DataFrame) -> DataFrame:
     )
 
 
-def with_content(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Fetch the text of each hit. The hits are the small side; missing documents drop out."""
-    return docs.select("path", F.col("text").alias("content")).join(
-        broadcast_if_small(hits, QUERY_TERM_ROWS), "path"
-    )
+def with_content(hits: DataFrame, docs: DataFrame, bounded: bool = False) -> DataFrame:
+    """Fetch the text of each hit; missing documents drop out.
+
+    `bounded` says that the caller has checked the number of hits, so that they may be
+    broadcast. Documents are never the broadcast side.
+    """
+    return docs.select("path", F.col("text").alias("content")).join(small(hits, bounded), "path")
 
 
-def hits_to_content(neighbours: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+def hits_to_content(neighbours: DataFrame, vectors: DataFrame, docs: DataFrame, bounded: bool = False) -> DataFrame:
     """Neighbour ids to paths to document texts."""
-    small = broadcast_if_small(neighbours, QUERY_TERM_ROWS)
-    return with_content(vectors.select("id", "path").join(small, "id"), docs)
+    paths = vectors.select("id", "path").join(small(neighbours, bounded), "id")
+    return with_content(paths, docs, bounded)
 
 
 def keyword_hits(
@@ -40,7 +43,8 @@ def keyword_hits(
     k: int = 10, mode: str = "all", optional: DataFrame | None = None,
 ) -> DataFrame:
     ranked = keyword_search(postings, stats, queries, k, mode, optional)
-    return _hits(with_content(ranked, docs).withColumn("source", F.lit(KEYWORD)))
+    bounded = fits(queries, MAX_HITS // k)
+    return _hits(with_content(ranked, docs, bounded).withColumn("source", F.lit(KEYWORD)))
 
 
 def semantic_search(
@@ -48,7 +52,7 @@ def semantic_search(
 ) -> DataFrame:
     """Embed the queries, find the k nearest documents of each, fetch their texts."""
     embedded = embed_texts(queries, encoder).select("query_id", "vec")
-    found = hits_to_content(knn_join(vectors, embedded, k), vectors, docs)
+    found = hits_to_content(knn_join(vectors, embedded, k), vectors, docs, fits(queries, MAX_HITS // k))
     return _hits(found.withColumn("source", F.lit(SEMANTIC)))
 
 

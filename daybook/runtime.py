@@ -38,13 +38,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that at most `max_rows` rows exist.
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """Whether at most `max_rows` rows exist; counting stops one row beyond.
+
+    Meant for inputs that are cheap to read, such as a table of queries. Sizes that follow from
+    it (k hits per query) need no probe of their own.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small(df: DataFrame, known: bool) -> DataFrame:
+    """Hint a broadcast where the size is known to be bounded; otherwise leave it to Spark."""
+    return F.broadcast(df) if known else df
 
-    The probe stops at max_rows + 1 rows. A larger side is returned without a hint and is
-    joined by shuffle.
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer tasks than cores, as one small file does.
+
+    Large inputs have more splits than cores and pass unchanged.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast after counting. A larger side keeps no hint and is joined by shuffle."""
+    return small(df, fits(df, max_rows))
 
 
 def remove_dirs(spark: SparkSession, paths: list[str]) -> None:
