@@ -79,9 +79,9 @@ SELECT seq, window_id FROM seen WHERE n = 1 OR frame_hash IS DISTINCT FROM prev"
 
 @register("capture_stream", INGESTED)
 def _(spark, sf):
-    """Gate and comparison keep separate states: the gated stream is the input of the second."""
     with _state_partitions(spark):
-        span = _span(spark, sf)
-        gated = ST.gate_stream(_inbox(spark, X.captures(spark, sf), span), _inbox(spark, X.states(spark, sf), span))
-        kept = ST.exclude_titles(ST.with_window(gated), "ERR")
-        return _drain(spark, ST.drop_unchanged_stream(kept)).filter("NOT late").select("seq", "window_id")
+        span, root = _span(spark, sf), scratch(spark, "ingest")
+        arriving = _inbox(spark, X.captures(spark, sf), span), _inbox(spark, X.states(spark, sf), span)
+        for stream in ST.capture_stream(*arriving, root, "ERR"):
+            stream.start().awaitTermination()
+        return spark.read.parquet(f"{root}/kept").filter("NOT late").select("seq", "window_id")

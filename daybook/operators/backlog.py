@@ -77,7 +77,7 @@ def capped_pending(pending: DataFrame, cap: int = 0) -> DataFrame:
 def assign_ids(docs: DataFrame, start: int = 0) -> DataFrame:
     """Add dense ids that continue from `start`, in path order."""
     ids = ranked_paths(docs).select("path", (F.col("position") + F.lit(start)).alias("id"))
-    return docs.join(ids, "path")
+    return ids if docs.columns == ["path"] else docs.join(ids, "path")
 
 
 def pack_batches(numbered: DataFrame, start: int = 0, size: int = BATCH_DOCS) -> DataFrame:

@@ -29,9 +29,22 @@ def embed_texts(rows: DataFrame, encoder: Encoder, text: str = "text") -> DataFr
     return rows.withColumn("vec", encoder.encode(F.col(text)))
 
 
-def check_encoder(vectors: DataFrame, encoder: Encoder) -> None:
-    """Refuse to mix vectors of different encoders or dimensions."""
-    other = vectors.filter((F.col("encoder") != encoder.name) | (F.col("dim") != encoder.dim)).limit(1)
-    row = other.select("encoder", "dim").first()
-    if row is not None:
-        raise ValueError(f"index holds {row.encoder} vectors of dimension {row.dim}, not {encoder.name}")
+@dataclass(frozen=True)
+class IndexState:
+    """Size of a vector index and the id that comes next, also after vectors were removed."""
+
+    size: int
+    next_id: int
+
+
+def index_state(vectors: DataFrame, encoder: Encoder) -> IndexState:
+    """Read the state in one pass; refuse to go on with another encoder or dimension."""
+    other = (F.col("encoder") != encoder.name) | (F.col("dim") != encoder.dim)
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.max("id") + 1, F.lit(0)).alias("next_id"),
+        F.max(F.when(other, F.concat_ws("/", "encoder", F.col("dim").cast("string")))).alias("other"),
+    ).first()
+    if row.other is not None:
+        raise ValueError(f"index holds {row.other} vectors, not {encoder.name}/{encoder.dim}")
+    return IndexState(row.n, row.next_id)

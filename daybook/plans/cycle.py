@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from daybook.functions.display import progress_pct
 from daybook.functions.text import is_non_blank
-from daybook.operators.backlog import assign_ids, capped_pending, pending_docs
-from daybook.operators.embed import Encoder, check_encoder, embed_texts
+from daybook.operators.backlog import capped_pending, pending_docs, ranked_paths
+from daybook.operators.embed import Encoder, embed_texts, index_state
 from daybook.operators.postings import update_keyword_index
 from daybook.plans.search import BACKENDS, KEYWORD, SEMANTIC
 from daybook.runtime import durable
@@ -31,24 +31,12 @@ class CycleReport:
     elapsed_s: float = 0.0
 
 
-def next_batch(store: ArchiveStore, table: str) -> int:
-    top = store.read(table).agg(F.max("batch")).first()[0]
-    return 0 if top is None else top + 1
-
-
-def next_id(vectors: DataFrame) -> int:
-    """Ids continue after the greatest one, also when earlier vectors were removed."""
-    top = vectors.agg(F.max("id")).first()[0]
-    return 0 if top is None else top + 1
-
-
 def load_vector_index(store: ArchiveStore, before_batch: int | None = None) -> DataFrame:
     return store.read("vectors", before_batch)
 
 
 def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, batch: int) -> None:
     """Embed documents that carry ids and write them as one batch. A retry replaces the batch."""
-    check_encoder(load_vector_index(store, before_batch=batch), encoder)
     rows = embed_texts(numbered, encoder).select(
         "id",
         "path",
@@ -60,23 +48,42 @@ def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, b
     store.append("vectors", rows, batch)
 
 
+@dataclass(frozen=True)
+class Work:
+    """The pending documents of a cycle: only paths, read from the texts once and checkpointed."""
+
+    paths: DataFrame
+    blank: DataFrame
+    n_paths: int
+    n_blank: int
+
+
 def pending_work(
     store: ArchiveStore, docs: DataFrame, cap: int = 0, compat: bool = False, before_batch: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Documents to embed, and blank ones to record as skipped.
+) -> tuple[Work, int]:
+    """What to embed and what to record as skipped, plus the number pending before the cap.
 
     Blank documents are set aside before the cap, so they cannot block a cycle for ever.
-    `compat` caps first and leaves blank documents pending; with cap 0 both forms hold every
-    document still to embed.
+    `compat` caps first and leaves blank documents pending.
     """
     done = load_vector_index(store, before_batch).select("path")
+    if not compat:
+        done = done.unionByName(store.read("skipped", before_batch).select("path"))
     blank = ~F.coalesce(is_non_blank(F.col("text")), F.lit(False))
+    pending = durable(pending_docs(docs, done).select("path", blank.alias("blank")))
+    n = pending.agg(F.count_if(~F.col("blank")).alias("full"), F.count_if("blank").alias("blank")).first()
+    full, empty = pending.filter(~F.col("blank")).select("path"), pending.filter("blank").select("path")
     if compat:
-        todo = capped_pending(pending_docs(docs, done), cap)
-        return todo.filter(~blank), todo.filter(F.lit(False))
-    seen = done.unionByName(store.read("skipped", before_batch).select("path"))
-    todo = pending_docs(docs, seen)
-    return capped_pending(todo.filter(~blank), cap), todo.filter(blank)
+        todo = capped_pending(pending, cap).filter(~F.col("blank")).select("path")
+        return Work(todo, empty, todo.count(), 0), n.full + n.blank
+    queued = min(cap, n.full) if cap else n.full
+    todo = capped_pending(full, cap) if queued < n.full else full
+    return Work(todo, empty, queued, n.blank), n.full
+
+
+def record_skipped(store: ArchiveStore, work: Work, batch: int) -> None:
+    if work.n_blank:
+        store.append("skipped", work.blank.select("path", F.lit("blank").alias("reason")), batch)
 
 
 def run_cycle(
@@ -100,41 +107,36 @@ def run_cycle(
     begin = clock()
     report = CycleReport()
     if KEYWORD in backends and not dry_run:
-        update_keyword_index(store, docs, next_batch(store, "doc_stats"))
+        update_keyword_index(store, docs, store.next_batch("doc_stats"))
     if SEMANTIC not in backends:
         report.elapsed_s = clock() - begin
         return report
 
-    todo, blank = pending_work(store, docs, cap, compat)
-    report.discovered = pending_work(store, docs, 0, compat)[0].count()
+    work, report.discovered = pending_work(store, docs, cap, compat)
+    report.queued = work.n_paths
     if dry_run:
-        report.queued = todo.count()
         report.elapsed_s = clock() - begin
         return report
-    batch = next_batch(store, "vectors")
-    if not compat and not blank.isEmpty():
-        store.append("skipped", blank.select("path", F.lit("blank").alias("reason")), next_batch(store, "skipped"))
-    queue = durable(assign_ids(todo.select("path"), 0).select("path", "id"))
-    report.queued = queue.count()
-    first_id = next_id(load_vector_index(store))
+    state = index_state(load_vector_index(store), encoder)
+    record_skipped(store, work, store.next_batch("skipped"))
+    queue = ranked_paths(work.paths) if report.queued else None
+    batch = store.next_batch("vectors")
     started = clock()
     for low in range(0, report.queued, batch_docs):
-        size = min(batch_docs, report.queued - low)
-        part = queue.filter((F.col("id") >= low) & (F.col("id") < low + batch_docs))
-        numbered = docs.join(part.withColumn("id", F.col("id") - low + first_id + report.added), "path")
+        part = queue.filter((F.col("position") >= low) & (F.col("position") < low + batch_docs))
+        first_id = state.next_id + report.added - low
+        numbered = docs.join(part.select("path", (F.col("position") + first_id).alias("id")), "path")
         try:
             append_vectors(store, numbered, encoder, batch)
-            report.added += size
+            report.added += min(batch_docs, report.queued - low)
             batch += 1
         except Exception as e:  # noqa: BLE001 - the next batch must still run
             report.failed_batches += 1
-            store.append(
-                "dead_letters", part.select("path", F.lit(str(e).splitlines()[0]).alias("error")),
-                next_batch(store, "dead_letters"),
-            )
+            reason = F.lit(str(e).splitlines()[0]).alias("error")
+            store.append("dead_letters", part.select("path", reason), store.next_batch("dead_letters"))
         if budget_s and clock() - started > budget_s:
             break
-    report.index_size = load_vector_index(store).count()
+    report.index_size = state.size + report.added
     report.elapsed_s = clock() - begin
     _record(store, report)
     return report
@@ -144,7 +146,7 @@ def _record(store: ArchiveStore, report: CycleReport) -> None:
     row = store.spark.range(1).select(
         *[F.lit(v).alias(k) for k, v in vars(report).items()], F.current_timestamp().alias("finished_at")
     )
-    store.append("cycles", row, next_batch(store, "cycles"))
+    store.append("cycles", row, store.next_batch("cycles"))
 
 
 def cycle_report(store: ArchiveStore) -> DataFrame:

@@ -41,7 +41,7 @@ def _retain(store: ArchiveStore, cutoff: dt.datetime, dry_run: bool, areas: tupl
     if not dry_run:
         for a in areas:
             head = store.head(a)
-            if head is not None and (head.cutoff is None or head.cutoff < cutoff):
+            if head is not None and (head.cutoff is None or head.cutoff_at < cutoff):
                 store.retain(a, cutoff)
                 store.vacuum(a)
     return report

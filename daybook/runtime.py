@@ -66,20 +66,50 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return small(df, fits(df, max_rows))
 
 
+# -- folders -----------------------------------------------------------------------------------
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """A Hadoop path and the file system that owns it, whatever storage the cluster uses."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove_dirs(spark: SparkSession, paths: list[str]) -> None:
-    """Delete directories through the Hadoop file system that owns them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        target = jvm.org.apache.hadoop.fs.Path(p)
-        target.getFileSystem(conf).delete(target, True)
+        target, fs = _hadoop(spark, p)
+        fs.delete(target, True)
 
 
-def list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Directories directly below `path` (empty if it does not exist)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, hidden ones left out; empty if it does not exist."""
+    target, fs = _hadoop(spark, path)
     if not fs.exists(target):
         return []
-    return [str(s.getPath().toString()) for s in fs.listStatus(target) if s.isDirectory()]
+    names = (s.getPath().getName() for s in fs.listStatus(target))
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    target, fs = _hadoop(spark, path)
+    fs.mkdirs(target)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; fails if it exists, so that two writers cannot both succeed."""
+    target, fs = _hadoop(spark, path)
+    out = fs.create(target, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of a small file."""
+    target, fs = _hadoop(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()

@@ -1,4 +1,4 @@
-"""Archive tables in a folder: Parquet directories plus a one-row-per-commit log.
+"""Archive tables in a folder: Parquet directories plus one small file per commit.
 
 A version of a table is a directory; the newest commit of the table names it. Appends go to
 `<version>/batch=<id>` and overwrite only that directory, so a retried batch cannot duplicate
@@ -9,18 +9,33 @@ Retention commits move a cutoff that readers apply as a partition filter. One wr
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
+from dataclasses import asdict, dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.runtime import durable, list_dirs, remove_dirs
+from daybook.runtime import create_text, durable, names_in, read_text, remove_dirs
 from daybook.schemas import STORE_TABLES, stored
 
 LOG_SCHEMA = "table string, version long, location string, op string, cutoff timestamp, committed_at timestamp"
 
 
+@dataclass(frozen=True)
+class Commit:
+    table: str
+    version: int
+    location: str
+    op: str
+    cutoff: str | None
+    committed_at: str
+
+    @property
+    def cutoff_at(self) -> dt.datetime | None:
+        return dt.datetime.fromisoformat(self.cutoff) if self.cutoff else None
+
+
 class ArchiveStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -28,31 +43,32 @@ class ArchiveStore:
 
     # -- commits ---------------------------------------------------------------------------
 
-    def history(self, table: str | None = None) -> DataFrame:
-        """All commits, newest version last."""
-        try:
-            log = self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/_commits")
-        except AnalysisException:
-            log = self.spark.createDataFrame([], LOG_SCHEMA)
-        return log if table is None else log.filter(F.col("table") == table)
+    def history(self, table: str) -> DataFrame:
+        """All commits of a table."""
+        log = f"{self.root}/{table}/commits"
+        if not names_in(self.spark, log):
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).json(log)
 
-    def head(self, table: str) -> Row | None:
-        """The newest commit of a table."""
-        return self.history(table).orderBy(F.col("version").desc()).limit(1).first()
+    def head(self, table: str) -> Commit | None:
+        """The newest commit of a table; a folder listing, not a Spark job."""
+        log = f"{self.root}/{table}/commits"
+        names = names_in(self.spark, log)
+        return Commit(**json.loads(read_text(self.spark, f"{log}/{names[-1]}"))) if names else None
 
-    def _commit(self, table: str, location: str, op: str, cutoff: dt.datetime | None = None) -> Row:
+    def _commit(self, table: str, location: str, op: str, cutoff: dt.datetime | None = None) -> Commit:
         head = self.head(table)
-        version = head.version + 1 if head else 1
-        keep = head.cutoff if head and cutoff is None and op != "replace" and op != "reset" else cutoff
-        self.spark.range(1).select(
-            F.lit(table).alias("table"),
-            F.lit(version).cast("long").alias("version"),
-            F.lit(location).alias("location"),
-            F.lit(op).alias("op"),
-            F.lit(keep).cast("timestamp").alias("cutoff"),
-            F.current_timestamp().alias("committed_at"),
-        ).coalesce(1).write.mode("append").json(f"{self.root}/_commits")
-        return self.head(table)
+        now = dt.datetime.now(dt.timezone.utc)
+        commit = Commit(
+            table,
+            head.version + 1 if head else 1,
+            location,
+            op,
+            cutoff.isoformat() if cutoff else None,
+            now.isoformat(),
+        )
+        create_text(self.spark, f"{self.root}/{table}/commits/{commit.version:012d}.json", json.dumps(asdict(commit)))
+        return commit
 
     def _fresh(self, table: str) -> str:
         return f"{self.root}/{table}/{uuid.uuid4().hex}"
@@ -67,15 +83,21 @@ class ArchiveStore:
         schema = stored(table)
         head = self.head(table)
         df = None
-        if head is not None and list_dirs(self.spark, head.location):
+        if head is not None and names_in(self.spark, head.location):
             df = self.spark.read.schema(schema).parquet(head.location)
             if head.cutoff is not None:
-                cutoff = F.lit(head.cutoff).cast("timestamp")
+                cutoff = F.lit(head.cutoff_at).cast("timestamp")
                 df = df.filter((F.col("day") >= F.to_date(cutoff)) & (F.col("mtime") >= cutoff))
         if df is None:
             df = self.spark.createDataFrame([], schema)
         return df if before_batch is None else df.filter(F.col("batch") < before_batch)
 
+    def next_batch(self, table: str) -> int:
+        """The number after the newest batch, from the directory names."""
+        head = self.head(table)
+        names = names_in(self.spark, head.location) if head else []
+        return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1) + 1
+
     # -- writes ----------------------------------------------------------------------------
 
     def append(self, table: str, df: DataFrame, batch: int) -> None:
@@ -118,12 +140,12 @@ class ArchiveStore:
         head = self.head(table)
         if head is None or head.cutoff is None:
             return 0
-        first_kept = head.cutoff.date().isoformat()
+        first_kept = head.cutoff_at.date().isoformat()
         gone = [
-            day
-            for batch in list_dirs(self.spark, head.location)
-            for day in list_dirs(self.spark, batch)
-            if day.rsplit("day=", 1)[-1] < first_kept
+            f"{head.location}/{batch}/{day}"
+            for batch in names_in(self.spark, head.location)
+            for day in names_in(self.spark, f"{head.location}/{batch}")
+            if day.removeprefix("day=") < first_kept
         ]
         remove_dirs(self.spark, gone)
         return len(gone)

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daybook.operators.captures import exclude_titles, with_window
+from daybook.runtime import make_dir
+from daybook.sources.feeds import stream_table
 
 NEVER = -(1 << 62)
 
@@ -50,8 +52,9 @@ def drop_unchanged_stream(captures: DataFrame) -> DataFrame:
             changed = [h != b for h, b in zip(hashes, before)]
             state.update((hashes.iloc[-1], int(fresh["_s"].iloc[-1])))
             fresh = fresh[changed]
-        kept = pd.concat([fresh.drop(columns="_s").assign(late=False), rows[late].assign(late=True)])
-        yield kept[out.fieldNames()]
+        for part, is_late in ((fresh, False), (rows[late], True)):
+            if len(part):
+                yield part.assign(late=is_late)[out.fieldNames()]
 
     return _stateful(captures, ["window_id"], step, "last_hash string, last_second long", out)
 
@@ -87,7 +90,8 @@ def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, p
                 side == 1 and not (pause_on_suspend and suspended) and not (pause_when_locked and locked)
             )
         state.update((suspended, locked))
-        yield rows.loc[open_, ["_row"]]
+        if any(open_):
+            yield rows.loc[open_, ["_row"]]
 
     return _stateful(both, ["session"], step, "suspended boolean, locked boolean", out).select("_row.*")
 
@@ -107,20 +111,37 @@ def throttle_stream(events: DataFrame, keys: list[str], interval_seconds: float
             last = int(t[i])
             i = int(np.searchsorted(t, last + interval, side="right"))
         state.update((last,))
-        yield rows.iloc[hit]
+        if hit:
+            yield rows.iloc[hit]
 
     return _stateful(events, keys, step, "last_emit long")
 
 
-def capture_stream(
-    captures: DataFrame, states: DataFrame, excluded: str | list[str] = (), **gates: bool
-) -> DataFrame:
-    """The ingest pipeline: gates, missing windows, excluded titles, unchanged frames."""
-    seen = gate_stream(captures, states, **gates)
-    return drop_unchanged_stream(exclude_titles(with_window(seen), list(excluded) if not isinstance(excluded, str) else excluded))
-
-
 def ingest(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> DataStreamWriter:
     """Write a stream as Parquet; without `every` it drains what is there and stops."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def capture_stream(
+    captures: DataFrame,
+    states: DataFrame,
+    root: str,
+    excluded: str | list[str] = "",
+    every: str | None = None,
+    files_per_trigger: int = 1000,
+    **gates: bool,
+) -> list[DataStreamWriter]:
+    """The ingest pipeline as two streams, to be started in this order.
+
+    The first applies the gates and drops missing windows and excluded titles; the second reads
+    what it wrote to `root/gated`, drops unchanged frames and writes `root/kept`. Both keep
+    state, and Spark allows one such operator per stream. A window belongs to one session, so
+    one file holds all its captures of a micro-batch and their order survives.
+    """
+    gated = exclude_titles(with_window(gate_stream(captures, states, **gates)), excluded)
+    first = ingest(gated, f"{root}/gated", f"{root}/checkpoints/gated", every)
+    make_dir(captures.sparkSession, f"{root}/gated")
+    arriving = stream_table(captures.sparkSession, f"{root}/gated", gated.schema, files_per_trigger)
+    second = ingest(drop_unchanged_stream(arriving), f"{root}/kept", f"{root}/checkpoints/kept", every)
+    return [first, second]

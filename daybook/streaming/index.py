@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from daybook.operators.backlog import assign_ids
-from daybook.operators.embed import Encoder
+from daybook.operators.embed import Encoder, index_state
 from daybook.operators.postings import build_postings, doc_lengths, spread_postings
-from daybook.plans.cycle import append_vectors, load_vector_index, next_id, pending_work
+from daybook.plans.cycle import append_vectors, load_vector_index, pending_work, record_skipped
 from daybook.plans.search import BACKENDS, KEYWORD, SEMANTIC
 from daybook.sources.store import ArchiveStore
 
@@ -27,10 +27,11 @@ def index_batch(
             batch,
         )
     if SEMANTIC in backends:
-        todo, blank = pending_work(store, docs, before_batch=batch)
-        store.append("skipped", blank.select("path", F.lit("blank").alias("reason")), batch)
-        start = next_id(load_vector_index(store, before_batch=batch))
-        append_vectors(store, assign_ids(todo, start), encoder, batch)
+        state = index_state(load_vector_index(store, before_batch=batch), encoder)
+        work, _ = pending_work(store, docs, before_batch=batch)
+        record_skipped(store, work, batch)
+        numbered = docs.join(assign_ids(work.paths, state.next_id), "path")
+        append_vectors(store, numbered, encoder, batch)
 
 
 def index_stream(
