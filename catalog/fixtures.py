@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
-from daybook.runtime import widen
+from daybook.operators.postings import build_postings, doc_lengths
+from daybook.runtime import durable, widen
 
 # First capture instant (2024-01-01 UTC), the "now" of age rules, encoder size.
 BASE = 1704067200
@@ -81,6 +82,13 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- text index --------------------------------------------------------------------------------
 
+
+def text_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and document lengths, built once and kept, as several searches read them."""
+    d = docs(spark, sf)
+    return durable(build_postings(d, positions=False)), durable(doc_lengths(d))
+
+
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 TEXT_INDEX = DOCS + f""", words AS (SELECT path, unnest({WORDS_SQL}) AS term FROM docs),

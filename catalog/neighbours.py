@@ -8,7 +8,7 @@ from catalog import fixtures as X
 from catalog.registry import register
 from catalog.texts import FEEDBACK, REFINED, SEARCH
 from daybook.operators import neighbours as N
-from daybook.operators import postings as P
+from daybook.operators.backlog import assign_ids
 from daybook.operators import refine as RF
 from daybook.operators.embed import default_encoder, embed_texts
 from daybook.plans import search as S
@@ -93,8 +93,6 @@ semantic AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY
 
 def _doc_vectors(spark, sf):
     """Embedded documents with dense ids in path order."""
-    from daybook.operators.backlog import assign_ids
-
     return embed_texts(assign_ids(X.docs(spark, sf).select("path", "text")), ENCODER).select("id", "path", "vec")
 
 
@@ -110,7 +108,7 @@ def _(spark, sf):
 def hybrid(spark, sf, backends=S.BACKENDS, refine=True):
     d = X.docs(spark, sf)
     q = X.queries(spark, sf)
-    postings, stats = P.build_postings(d, positions=False), P.doc_lengths(d)
+    postings, stats = X.text_index(spark, sf) if S.KEYWORD in backends else (None, None)
     refined = RF.refine_queries(postings, stats, q) if refine else None
     return S.hybrid_search(d, postings, stats, _doc_vectors(spark, sf), q, ENCODER, refined, backends=backends)
 

@@ -11,7 +11,7 @@ from daybook.operators import keyword as KW
 from daybook.operators import postings as P
 from daybook.operators import refine as RF
 from daybook.operators.extract import extract_html
-from daybook.runtime import scratch
+from daybook.runtime import durable, scratch
 from daybook.sources.store import ArchiveStore
 
 
@@ -53,8 +53,8 @@ def _(spark, sf):
       (SELECT 1 FROM firsts f JOIN postings p USING (term) WHERE f.query_id = a.query_id AND p.path = a.path)""",
 )
 def _(spark, sf):
-    postings = P.build_postings(X.docs(spark, sf))
     three, two, one = (X.queries(spark, sf, n) for n in (3, 2, 1))
+    postings = durable(KW.postings_match(P.build_postings(X.docs(spark, sf)), KW.query_terms(three)))
     parts = {
         "all": KW.keyword_match(postings, three, "all"),
         "any": KW.keyword_match(postings, three, "any"),
@@ -77,7 +77,8 @@ ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s
 @register("keyword_search", f"{SEARCH}, {RANKED} SELECT * FROM ranked WHERE rank <= 10")
 def _(spark, sf):
     d = X.docs(spark, sf)
-    hits = KW.keyword_search(P.build_postings(d, positions=False), P.doc_lengths(d), X.queries(spark, sf), 10)
+    stats = durable(P.doc_lengths(d))
+    hits = KW.keyword_search(P.build_postings(d, positions=False), stats, X.queries(spark, sf), 10)
     return hits.select("query_id", "rank", "path", "score")
 
 
@@ -92,8 +93,7 @@ REFINED = "refined AS (SELECT query_id, CASE WHEN words IS NULL THEN text ELSE t
 
 @register("refine_queries", f"{SEARCH}, {FEEDBACK}, {REFINED} SELECT query_id, text FROM refined")
 def _(spark, sf):
-    d = X.docs(spark, sf)
-    return RF.refine_queries(P.build_postings(d, positions=False), P.doc_lengths(d), X.queries(spark, sf))
+    return RF.refine_queries(*X.text_index(spark, sf), X.queries(spark, sf))
 
 
 @register(

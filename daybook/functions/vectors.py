@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,34 +28,40 @@ def has_dim(vec: Column, dim: int) -> Column:
     return F.size(vec) == dim
 
 
+def _slots(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each word."""
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in words]
+    bucket = np.fromiter((int(d[:8], 16) % dim for d in digests), np.int64, len(words))
+    odd = np.fromiter((int(d[8], 16) % 2 for d in digests), np.int64, len(words))
+    return bucket, 1.0 - 2.0 * odd
+
+
 def hashed_encoder(dim: int) -> Callable[[Column], Column]:
     """Text column to a unit vector: log term counts added into signed md5 buckets.
 
-    Words are cut by Spark, one Arrow batch at a time goes to Python, and no row leaves its
+    Words are cut by Spark, one Arrow batch at a time goes to numpy, and no row leaves its
     partition. A word's bucket is its first 32 digest bits modulo `dim`, its sign the parity
-    of the next hex digit.
+    of the next hex digit. Words add up in reading order, so batch limits do not matter.
     """
 
-    @F.pandas_udf(VECTOR)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots: dict[str, tuple[int, float]] = {}
-        for words in batches:
-            rows = []
-            for doc in words:
-                vec = np.zeros(dim)
-                for word, n in Counter(doc).items():
-                    slot = slots.get(word)
-                    if slot is None:
-                        digest = hashlib.md5(word.encode()).hexdigest()
-                        slot = (int(digest[:8], 16) % dim, 1.0 - 2.0 * (int(digest[8], 16) % 2))
-                        if len(slots) < 500_000:
-                            slots[word] = slot
-                    vec[slot[0]] += slot[1] * np.log1p(n)
-                norm = np.sqrt(vec @ vec)
-                rows.append((vec / norm if norm > 0 else vec).astype(np.float32))
-            yield pd.Series(rows)
-
-    return lambda text: encode(tokens(text))
+    @F.arrow_udf(VECTOR)
+    def encode(words: pa.Array) -> pa.Array:
+        n = len(words)
+        coded = words.flatten().dictionary_encode()
+        bucket, sign = _slots(coded.dictionary.to_pylist(), dim)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = words.value_parent_indices().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first, tf = np.unique(doc * max(len(bucket), 1) + code, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first, tf = first[order], tf[order]
+        at = doc[first] * dim + bucket[code[first]]
+        mat = np.bincount(at, sign[code[first]] * np.log1p(tf), minlength=n * dim).reshape(n, dim)
+        norm = np.sqrt((mat * mat).sum(1, keepdims=True))
+        unit = np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0).astype(np.float32)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
+
+    return lambda text: encode(tokens(F.coalesce(text, F.lit(""))))
 
 
 def batch_encoder(fn: Callable[[list[str]], np.ndarray], rows: int = 32) -> Callable[[Column], Column]:

@@ -52,11 +52,13 @@ def feedback_terms(
     postings of the top documents are aggregated, at most n_docs documents per query.
     """
     top = durable(keyword_search(postings, stats, queries, n_docs).select("query_id", "path"))
-    top = broadcast_if_small(top, QUERY_TERM_ROWS)
     corpus = stats.agg(F.count(F.lit(1))).scalar()
+    paths = top.select("path").distinct()
+    here = lambda df: df.join(paths, "path", "left_semi")  # noqa: E731 - pushed below grouping
     seen = (
-        top.join(postings.select("term", "path", "tf"), "path")
-        .join(stats.select("path", "len"), "path")
+        here(postings.select("term", "path", "tf"))
+        .join(top, "path")
+        .join(here(stats.select("path", "len")), "path")
         .groupBy("query_id", "term")
         .agg(F.sum(F.col("tf") / F.col("len")).alias("_w"))
     )
