@@ -65,22 +65,27 @@ def match_any(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def match_phrase(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Documents that hold the query's words as consecutive words in that order."""
+    """Documents that hold the query's words as consecutive words in that order.
+
+    Each word's positions, moved back by its offset, are possible starts of the phrase; a match
+    has a start common to all words. One row per query word and document is grouped.
+    """
     words = queries.select("query_id", tokens(F.col("text")).alias("_w"))
-    slots = words.select("query_id", F.size("_w").alias("n_slots"), F.posexplode("_w").alias("offset", "term"))
+    slots = words.select("query_id", F.posexplode("_w").alias("offset", "term"))
     distinct = slots.select("query_id", "term").distinct().withColumn("offset", F.lit(0))
     counts = distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     bounded = fits(slots, QUERY_TERM_ROWS)
     found = durable(postings_match(postings, slots))
     both = rarest_first(found, distinct.join(counts, "query_id"), bounded)
-    begins = (
+    begins = F.transform("positions", lambda p: p - F.col("offset"))
+    slotted = (
         both.join(small(slots, bounded), "query_id")
         .join(found.select("term", "path", "positions"), ["term", "path"])
-        .select("query_id", "path", "n_slots", F.explode("positions").alias("_p"), "offset")
-        .groupBy("query_id", "path", "n_slots", (F.col("_p") - F.col("offset")).alias("_begin"))
-        .agg(F.count(F.lit(1)).alias("_held"))
+        .groupBy("query_id", "path")
+        .agg(F.collect_list(begins).alias("_b"))
     )
-    return begins.filter("_held = n_slots").select("query_id", "path").distinct()
+    common = F.reduce(F.slice("_b", F.lit(2), F.size("_b")), F.col("_b")[0], F.array_intersect)
+    return slotted.filter(F.size(common) > 0).select("query_id", "path")
 
 
 def keyword_match(postings: DataFrame, queries: DataFrame, mode: str = "all", without: DataFrame | None = None) -> DataFrame:

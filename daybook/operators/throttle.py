@@ -12,7 +12,7 @@ Each emission depends on the one before it, yet no key has to be one task:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,44 +74,42 @@ def throttle(
     part_keys = [*keys, "_burst", "_part"]
     key_types = {f.name: f.dataType.simpleString() for f in rest.schema}
     ddl = ", ".join(f"`{c}` {key_types[c]}" for c in part_keys)
+    out_cols = [*keys, "_us", "seq"]
 
-    def tabulate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_us"].to_numpy())
-        begin = key[-2] + key[-1] * width
+    def tabulate(key: tuple, rows: pa.Table) -> pa.Table:
+        t = np.sort(rows["_us"].to_numpy())
+        begin = key[-2].as_py() + key[-1].as_py() * width
         reachable = np.searchsorted(t, begin + interval, side="right") + 1
         ends = t[_last_reached(t, interval)][:reachable]
         entries = t[: len(ends)]
         last_of_run = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame([[*key, entries[last_of_run], ends[last_of_run]]])
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = key[-1], []
-        ordered = pdf.sort_values("_part")
-        for part, entries, ends in zip(ordered["_part"], ordered["entries"], ordered["ends"]):
-            out.append([*key, part, last])
-            i = np.searchsorted(entries, last + interval, side="right")
-            if i < len(entries):
-                last = int(ends[i])
-        return pd.DataFrame(out)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        t, last, hit = pdf["_us"].to_numpy(), pdf["_in"].iloc[0], []
-        i = np.searchsorted(t, last + interval, side="right")
+        keyed = rows.select(part_keys).slice(0, 1)
+        keyed = keyed.append_column("entries", pa.array([entries[last_of_run]]))
+        return keyed.append_column("ends", pa.array([ends[last_of_run]]))
+
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_part")
+        last, entered = key[-1].as_py(), []
+        for entries, ends in zip(rows["entries"], rows["ends"]):
+            entered.append(last)
+            i = np.searchsorted(entries.values.to_numpy(), last + interval, side="right")
+            if i < len(ends.values):
+                last = ends.values[int(i)].as_py()
+        return rows.select(part_keys).append_column("_in", pa.array(entered, pa.int64()))
+
+    def replay(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_us")
+        t, last, hit = rows["_us"].to_numpy(), rows["_in"][0].as_py(), []
+        i = int(np.searchsorted(t, last + interval, side="right"))
         while i < len(t):
             hit.append(i)
-            i = np.searchsorted(t, t[i] + interval, side="right")
-        return pdf.iloc[hit].drop(columns=["_in", "_burst", "_part"])
+            i = int(np.searchsorted(t, t[i] + interval, side="right"))
+        return rows.select(out_cols).take(pa.array(hit, pa.int64()))
 
-    steps = rest.groupBy(*part_keys).applyInPandas(
-        tabulate, f"{ddl}, entries array<bigint>, ends array<bigint>"
-    )
-    entry = steps.groupBy(*keys, "_burst").applyInPandas(fold, f"{ddl}, _in bigint")
+    steps = rest.groupBy(*part_keys).applyInArrow(tabulate, f"{ddl}, entries array<bigint>, ends array<bigint>")
+    entry = steps.groupBy(*keys, "_burst").applyInArrow(fold, f"{ddl}, _in bigint")
     cut = rest.select(*part_keys, "_us", "seq").join(entry, part_keys)
-    out_ddl = ", ".join(f"`{c}` {key_types[c]}" for c in [*keys, "_us", "seq"])
-    replayed = cut.select(*keys, "_us", "seq", "_in", "_burst", "_part").groupBy(*part_keys).applyInPandas(
-        replay, out_ddl
-    )
+    replayed = cut.groupBy(*part_keys).applyInArrow(replay, ", ".join(f"`{c}` {key_types[c]}" for c in out_cols))
     emitted = settled.unionByName(replayed)
     return (
         events.withColumn("_us", F.unix_micros("ts")).join(emitted, [*keys, "_us", "seq"], "left_semi").drop("_us")

@@ -125,15 +125,20 @@ class ArchiveStore:
             self._commit(table, head.location, "retain", cutoff)
 
     def rewrite_batches(self, table: str, batches: list[int], kept: DataFrame) -> None:
-        """Replace the given batches by their kept rows and touch no other directory."""
+        """Replace the given batches by their kept rows and touch no other directory.
+
+        One job writes all of them; batches without a kept row are removed.
+        """
+        schema, levels = STORE_TABLES[table]
+        if levels:
+            raise ValueError(f"{table} has directory levels below its batches")
         head = self.head(table)
-        kept = durable(kept)
-        for b in batches:
-            rows = kept.filter(F.col("batch") == b)
-            if rows.isEmpty():
-                remove_dirs(self.spark, [f"{head.location}/batch={b}"])
-            else:
-                self._write(table, rows, f"{head.location}/batch={b}")
+        kept = durable(kept.select(*schema.fieldNames(), "batch"))
+        left = {r.batch for r in kept.select("batch").distinct().collect()}
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "compression", "zstd"
+        ).partitionBy("batch").parquet(head.location)
+        remove_dirs(self.spark, [f"{head.location}/batch={b}" for b in batches if b not in left])
 
     def vacuum(self, table: str) -> int:
         """Remove day directories that lie wholly before the cutoff; returns how many."""
