@@ -55,7 +55,8 @@ def hashed_encoder(dim: int) -> Callable[[Column], Column]:
         order = np.argsort(first)
         first, tf = first[order], tf[order]
         at = doc[first] * dim + bucket[code[first]]
-        mat = np.bincount(at, sign[code[first]] * np.log1p(tf), minlength=n * dim).reshape(n, dim)
+        sums = np.bincount(at, sign[code[first]] * np.log1p(tf), minlength=n * dim)
+        mat = sums.astype(np.float64).reshape(n, dim)
         norm = np.sqrt((mat * mat).sum(1, keepdims=True))
         unit = np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0).astype(np.float32)
         offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
