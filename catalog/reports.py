@@ -56,7 +56,7 @@ def _(spark, sf):
 
 # The keyword index was last written when the middle document was captured.
 INDEX_FILES = "index_files AS (SELECT mtime FROM docs WHERE doc_id <= (SELECT max(doc_id) // 2 FROM docs))"
-KSTATS = """kstats AS (SELECT count(*) - count_if(mtime > latest) AS processed, count_if(mtime > latest)::BIGINT AS pending, max(latest) AS last_run
+KSTATS = """kstats AS (SELECT count(*) - count_if(mtime > latest)::BIGINT AS processed, count_if(mtime > latest)::BIGINT AS pending, max(latest) AS last_run
   FROM docs, (SELECT max(mtime) AS latest FROM index_files))"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.keys import capture_key, exclusion_terms
@@ -12,6 +12,7 @@ from daybook.operators.slices import SLICE_SECONDS, with_previous
 from daybook.runtime import broadcast_if_small
 
 INLINE_TERMS = 64
+RUN = 3
 
 
 def with_window(captures: DataFrame) -> DataFrame:
@@ -19,11 +20,17 @@ def with_window(captures: DataFrame) -> DataFrame:
     return captures.filter((F.length("window_id") > 0) & (F.length("title") > 0))
 
 
+def _runs(text: Column, n: int) -> Column:
+    """All runs of n characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(n)))
+
+
 def exclude_titles(captures: DataFrame, terms: str | list[str] | DataFrame) -> DataFrame:
     """Drop captures whose lower-cased title contains any term.
 
     `terms` is a list (or comma-separated text), or for long lists a table with a column
-    `term`. The table is matched once per distinct title, never per capture.
+    `term`. The table meets each distinct title once, by a join on character runs: a term can
+    only be inside a title that holds the term's first three characters.
     """
     if not isinstance(terms, DataFrame):
         wanted = exclusion_terms(terms)
@@ -34,9 +41,15 @@ def exclude_titles(captures: DataFrame, terms: str | list[str] | DataFrame) -> D
             return captures.filter(~F.coalesce(hit, F.lit(False)))
         terms = captures.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
     clean = terms.select(F.lower(F.btrim("term")).alias("term")).filter(F.length("term") > 0).distinct()
-    titles = captures.select("title").distinct()
-    blocked = titles.join(
-        broadcast_if_small(clean, 100_000), F.lower("title").contains(F.col("term")), "left_semi"
+    keyed = clean.withColumn("_run", F.substring("term", 1, RUN))
+    titles = captures.select("title").distinct().withColumn("_low", F.lower("title"))
+    runs = F.array_distinct(F.concat(*[_runs(F.col("_low"), n) for n in range(1, RUN + 1)]))
+    met = titles.filter(F.length("_low") > 0).withColumn("_run", F.explode(runs))
+    blocked = (
+        met.join(broadcast_if_small(keyed, 100_000), "_run")
+        .filter(F.col("_low").contains(F.col("term")))
+        .select("title")
+        .distinct()
     )
     return captures.join(blocked, "title", "left_anti")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
 from daybook.operators.backlog import changed_docs, removed_docs
-from daybook.runtime import broadcast_if_small
+from daybook.runtime import broadcast_if_small, durable
 from daybook.sources.store import ArchiveStore
 
 BUCKETS = 64
@@ -82,10 +82,12 @@ def live_postings(store: ArchiveStore, terms: DataFrame | None = None) -> DataFr
 def update_keyword_index(store: ArchiveStore, docs: DataFrame, batch: int) -> DataFrame:
     """Index new and changed documents and drop removed ones; returns the documents indexed.
 
-    Work grows with the change, not with the index. Repeating a batch replaces it.
+    The change is found from paths and times alone, and old postings are never rewritten.
+    Repeating a batch replaces it.
     """
     known = current_stats(store, before_batch=batch)
-    todo = changed_docs(docs, known)
+    changed = durable(changed_docs(docs.select("path", "mtime"), known).select("path"))
+    todo = docs.join(broadcast_if_small(changed, 1_000_000), "path", "left_semi")
     store.append("postings", spread_postings(build_postings(todo)), batch)
     entries = todo.select(
         "path", F.size(tokens(F.col("text"))).cast("long").alias("len"), "mtime", F.lit(False).alias("removed")

@@ -10,12 +10,6 @@ from daybook.operators.slices import SLICE_SECONDS, slice_of, with_following, wi
 KINDS = ("suspend", "lock")
 
 
-def last_per_instant(states: DataFrame) -> DataFrame:
-    """One row per session, kind and instant: the last in sequence order wins."""
-    w = Window.partitionBy("session", "kind", "ts").orderBy(F.col("seq").desc())
-    return states.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def asof_state(
     captures: DataFrame,
     states: DataFrame,

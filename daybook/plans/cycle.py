@@ -15,10 +15,11 @@ from daybook.operators.backlog import capped_pending, pending_docs, ranked_paths
 from daybook.operators.embed import Encoder, embed_texts, index_state
 from daybook.operators.postings import update_keyword_index
 from daybook.plans.search import BACKENDS, KEYWORD, SEMANTIC
-from daybook.runtime import durable
+from daybook.runtime import broadcast_if_small, durable, small
 from daybook.sources.store import ArchiveStore
 
 CYCLE_BATCH = 1_000_000
+MAX_BROADCAST = 1_000_000
 
 
 @dataclass
@@ -50,7 +51,7 @@ def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, b
 
 @dataclass(frozen=True)
 class Work:
-    """The pending documents of a cycle: only paths, read from the texts once and checkpointed."""
+    """The pending documents of a cycle: paths only. Texts are never shuffled to find them."""
 
     paths: DataFrame
     blank: DataFrame
@@ -70,7 +71,9 @@ def pending_work(
     if not compat:
         done = done.unionByName(store.read("skipped", before_batch).select("path"))
     blank = ~F.coalesce(is_non_blank(F.col("text")), F.lit(False))
-    pending = durable(pending_docs(docs, done).select("path", blank.alias("blank")))
+    fresh = durable(pending_docs(docs.select("path"), done))
+    tested = docs.select("path", blank.alias("blank"))
+    pending = durable(tested.join(broadcast_if_small(fresh, MAX_BROADCAST), "path", "left_semi"))
     n = pending.agg(F.count_if(~F.col("blank")).alias("full"), F.count_if("blank").alias("blank")).first()
     full, empty = pending.filter(~F.col("blank")).select("path"), pending.filter("blank").select("path")
     if compat:
@@ -125,7 +128,8 @@ def run_cycle(
     for low in range(0, report.queued, batch_docs):
         part = queue.filter((F.col("position") >= low) & (F.col("position") < low + batch_docs))
         first_id = state.next_id + report.added - low
-        numbered = docs.join(part.select("path", (F.col("position") + first_id).alias("id")), "path")
+        ids = part.select("path", (F.col("position") + first_id).alias("id"))
+        numbered = docs.join(small(ids, batch_docs <= MAX_BROADCAST), "path")
         try:
             append_vectors(store, numbered, encoder, batch)
             report.added += min(batch_docs, report.queued - low)
