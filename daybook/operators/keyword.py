@@ -31,19 +31,25 @@ def postings_match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(wanted, "term", "left_semi")
 
 
-def rarest_first(found: DataFrame, terms: DataFrame, bounded: bool) -> DataFrame:
-    """(query_id, path) of documents that hold all terms of a query.
+def with_df(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """Add each term's document frequency. The result is as small as the queries and is kept,
+    so that the postings are counted once."""
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return durable(terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))))
+
+
+def rarest_first(found: DataFrame, sized: DataFrame) -> DataFrame:
+    """(query_id, path) of documents that hold all terms of a query; `sized` comes from `with_df`.
 
     A match must hold the query's rarest term, so candidates come from that term's postings
     and only they are looked up under the other terms. A word found everywhere costs no more
-    than the rarest word beside it. `bounded` says that the number of terms was checked.
+    than the rarest word beside it.
     """
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sized = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    bounded = fits(sized, QUERY_TERM_ROWS)
     order = Window.partitionBy("query_id").orderBy("df", "term")
-    sized = sized.withColumn("_n", F.row_number().over(order))
-    lead = sized.filter("_n = 1 AND df > 0").select("query_id", "term", "n_terms")
-    others = sized.filter("_n > 1").select("query_id", F.col("term").alias("other"))
+    ordered = sized.withColumn("_n", F.row_number().over(order))
+    lead = ordered.filter("_n = 1 AND df > 0").select("query_id", "term", "n_terms")
+    others = ordered.filter("_n > 1").select("query_id", F.col("term").alias("other"))
     candidates = found.select("term", "path").join(small(lead, bounded), "term").select("query_id", "path", "n_terms")
     alone = candidates.filter("n_terms = 1").select("query_id", "path")
     probes = candidates.filter("n_terms > 1").join(small(others, bounded), "query_id")
@@ -56,7 +62,7 @@ def rarest_first(found: DataFrame, terms: DataFrame, bounded: bool) -> DataFrame
 def match_all(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Documents with all terms. The query terms' postings are read several times, hence kept."""
     found = durable(postings_match(postings.select("term", "path"), terms))
-    return rarest_first(found, terms, fits(terms, QUERY_TERM_ROWS))
+    return rarest_first(found, with_df(terms, found))
 
 
 def match_any(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -74,9 +80,9 @@ def match_phrase(postings: DataFrame, queries: DataFrame) -> DataFrame:
     slots = words.select("query_id", F.posexplode("_w").alias("offset", "term"))
     distinct = slots.select("query_id", "term").distinct().withColumn("offset", F.lit(0))
     counts = distinct.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    bounded = fits(slots, QUERY_TERM_ROWS)
     found = durable(postings_match(postings, slots))
-    both = rarest_first(found, distinct.join(counts, "query_id"), bounded)
+    both = rarest_first(found, with_df(distinct.join(counts, "query_id"), found))
+    bounded = fits(slots, QUERY_TERM_ROWS)
     begins = F.transform("positions", lambda p: p - F.col("offset"))
     slotted = (
         both.join(small(slots, bounded), "query_id")
@@ -129,18 +135,17 @@ def keyword_search(
     postings of the query terms are checkpointed, because ranking reads them several times.
     """
     terms = query_terms(queries).select("query_id", "term", "n_terms")
-    scored = terms.select("query_id", "term")
     if optional is not None:
-        scored = scored.unionByName(query_terms(optional).select("query_id", "term")).distinct()
-    bounded = fits(scored, QUERY_TERM_ROWS)
-    found = durable(postings_match(postings.select("term", "path", "tf"), scored))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = small(scored.join(df, "term"), bounded)
+        extra = query_terms(optional).select("query_id", "term", F.lit(None).cast("int").alias("n_terms"))
+        terms = terms.unionByName(extra).groupBy("query_id", "term").agg(F.max("n_terms").alias("n_terms"))
     corpus = stats.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))).scalar()
+    found = durable(postings_match(postings.select("term", "path", "tf"), terms))
+    sized = with_df(terms, found)
+    weighted = small(sized.filter("df > 0").select("query_id", "term", "df"), fits(sized, QUERY_TERM_ROWS))
     if mode == "any":
         rows = found.join(weighted, "term")
     else:
-        hits = rarest_first(found, terms, bounded)
+        hits = rarest_first(found, sized.filter(F.col("n_terms").isNotNull()))
         rows = hits.join(weighted, "query_id").join(found, ["term", "path"])
     rows = rows.join(stats.select("path", "len"), "path")
     part = bm25(F.col("tf"), F.col("df"), F.col("len"), corpus["n_docs"], corpus["avg_len"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators.keyword import QUERY_TERM_ROWS, keyword_search, postings_match, query_terms
-from daybook.runtime import broadcast_if_small, durable
+from daybook.runtime import broadcast_if_small, durable, fits, small
 
 
 def refine_with(queries: DataFrame, refine: Callable[[str], str] | None) -> DataFrame:
@@ -53,11 +53,12 @@ def feedback_terms(
     """
     top = durable(keyword_search(postings, stats, queries, n_docs).select("query_id", "path"))
     corpus = stats.agg(F.count(F.lit(1))).scalar()
-    paths = top.select("path").distinct()
+    bounded = fits(top, QUERY_TERM_ROWS)
+    paths = small(top.select("path").distinct(), bounded)
     here = lambda df: df.join(paths, "path", "left_semi")  # noqa: E731 - pushed below grouping
     seen = (
         here(postings.select("term", "path", "tf"))
-        .join(top, "path")
+        .join(small(top, bounded), "path")
         .join(here(stats.select("path", "len")), "path")
         .groupBy("query_id", "term")
         .agg(F.sum(F.col("tf") / F.col("len")).alias("_w"))
