@@ -12,12 +12,17 @@ from daybook.functions.keys import basename, of_type
 DAY = 86_400
 
 
+def as_utc(instant: dt.datetime) -> dt.datetime:
+    """Instants without a zone are UTC."""
+    return instant if instant.tzinfo else instant.replace(tzinfo=dt.timezone.utc)
+
+
 def cutoff_of(now: dt.datetime, days: float) -> dt.datetime:
-    return now - dt.timedelta(days=days)
+    return as_utc(now) - dt.timedelta(days=days)
 
 
 def _instant(value: dt.datetime | Column) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
+    return value if isinstance(value, Column) else F.lit(as_utc(value)).cast("timestamp")
 
 
 def expired(files: DataFrame, now: dt.datetime, days: float) -> DataFrame:

@@ -20,8 +20,10 @@ SNAPSHOT_TABLES = ("vectors", "postings", "doc_stats", "skipped")
 
 
 def _candidates(store: ArchiveStore, areas: tuple[str, ...], last_day: dt.date) -> DataFrame:
-    """Files of the areas up to a day; the day filter prunes directories."""
-    return R.files_of_areas({a: store.read(a).filter(F.col("day") <= F.lit(last_day)) for a in areas})
+    """Files of the areas up to a day; the day filter prunes directories. Days are those of the
+    writing session, so one more is read."""
+    last = F.lit(last_day + dt.timedelta(days=1))
+    return R.files_of_areas({a: store.read(a).filter(F.col("day") <= last) for a in areas})
 
 
 def apply_retention(

@@ -141,11 +141,11 @@ class ArchiveStore:
         remove_dirs(self.spark, [f"{head.location}/batch={b}" for b in batches if b not in left])
 
     def vacuum(self, table: str) -> int:
-        """Remove day directories that lie wholly before the cutoff; returns how many."""
+        """Remove day directories that lie wholly before the cutoff, in any time zone; returns how many."""
         head = self.head(table)
         if head is None or head.cutoff is None:
             return 0
-        first_kept = head.cutoff_at.date().isoformat()
+        first_kept = (head.cutoff_at - dt.timedelta(days=1)).date().isoformat()
         gone = [
             f"{head.location}/{batch}/{day}"
             for batch in names_in(self.spark, head.location)

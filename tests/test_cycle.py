@@ -152,6 +152,8 @@ def test_retention_is_strict_and_prunes(spark, folder):
     M.apply_retention(store, utc(30 * DAY), 10)
     assert values(store.read("texts"), "path") == ["edge.txt", "now.txt"]
     assert values(store.read("frames"), "path") == ["edge.txt.png", "now.txt.png"]
+    days = {f.split("day=")[1][:10] for f in spark.read.parquet(store.head("texts").location).inputFiles()}
+    assert days == {"2024-01-20", "2024-01-21", "2024-01-31"}  # whole expired days are gone from disk
     text = plan(store.read("texts"))
     assert "PartitionFilters: [isnotnull(day" in text
     # A shorter period later never brings rows back, nor does a longer one.
