@@ -15,6 +15,7 @@ from daybook.plans.search import SEMANTIC
 from daybook.runtime import scratch
 from daybook.sources.feeds import stream_table
 from daybook.sources.store import ArchiveStore
+from daybook.operators.postings import current_stats
 from daybook.streaming.index import index_stream
 
 PENDING = "SELECT * FROM docs WHERE path NOT IN (SELECT path FROM docs WHERE doc_id % 3 = 0)"
@@ -164,10 +165,10 @@ def _(spark, sf):
     return CY.load_vector_index(store).select("id", "path")
 
 
-@register("force_cycle", f"WITH {TODO} SELECT id, path FROM todo, n WHERE id < n // 2 + 1")
+@register("force_cycle", f"WITH {TODO} SELECT id, path FROM todo")
 def _(spark, sf):
     store, docs = _store(spark), X.blanked(spark, sf)
-    CY.force_cycle(store, docs, ENCODER, cap=_size(docs, 2), backends=(SEMANTIC,))
+    CY.force_cycle(store, docs, ENCODER, backends=(SEMANTIC,))
     return CY.load_vector_index(store).select("id", "path")
 
 
@@ -185,3 +186,26 @@ def _(spark, sf):
     stream = stream_table(spark, inbox, docs.schema, files_per_trigger=2)
     index_stream(stream, store, ENCODER, scratch(spark, "checkpoint")).start().awaitTermination()
     return CY.load_vector_index(store).select("id", "path")
+
+
+@register(
+    "mixed_cycles",
+    f"""WITH {X.BLANKED}, part AS (SELECT path, doc_id // ((SELECT max(doc_id) FROM docs) // 4 + 1) AS chunk FROM blanked WHERE {X.NOT_BLANK_SQL})
+    SELECT row_number() OVER (ORDER BY chunk, path) - 1 AS id, path, 1::BIGINT AS entries FROM part""",
+)
+def _(spark, sf):
+    """A cycle, a stream, a forced cycle and another stream write one store in turn; every path is indexed once."""
+    store = _store(spark)
+    docs = X.blanked(spark, sf)
+    width = docs.agg(F.max("doc_id")).first()[0] // 4 + 1
+    upto = lambda k: docs.filter(F.floor(F.col("doc_id") / width) <= k)
+    for k in range(4):
+        if k % 2 == 0:
+            CY.force_cycle(store, upto(k), ENCODER)
+            continue
+        inbox = scratch(spark, "inbox")
+        docs.filter(F.floor(F.col("doc_id") / width) == k).write.parquet(inbox)
+        stream = stream_table(spark, inbox, docs.schema, files_per_trigger=1000)
+        index_stream(stream, store, ENCODER, scratch(spark, "checkpoint")).start().awaitTermination()
+    entries = current_stats(store).groupBy("path").agg(F.count("*").alias("entries"))
+    return CY.load_vector_index(store).select("id", "path").join(entries, "path")

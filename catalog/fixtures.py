@@ -96,16 +96,22 @@ postings AS (SELECT term, path, count(*) AS tf FROM words GROUP BY ALL),
 stats AS (SELECT path, len({WORDS_SQL}) AS len FROM docs)"""
 
 
-def queries(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
-    """Search texts: the first words of every benchmark item."""
-    words = F.slice(tokens(F.col("text")), 1, n)
+def queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Search texts: all words of every benchmark item."""
     return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text")
+        F.col("item_id").alias("query_id"), F.array_join(tokens(F.col("text")), " ").alias("text")
     )
 
 
-def queries_sql(n: int = 3) -> str:
-    return f"""queries AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL}[1:{n}], ' ') AS text FROM benchmark)"""
+def barred_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A word to exclude from each search: the alphabetically last one of the item."""
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_max(tokens(F.col("text"))).alias("text")
+    )
+
+
+def queries_sql() -> str:
+    return f"""queries AS (SELECT item_id AS query_id, array_to_string({WORDS_SQL}, ' ') AS text FROM benchmark)"""
 
 
 TERMS_SQL = f"""terms AS (SELECT DISTINCT query_id, unnest({WORDS_SQL}) AS term FROM queries),

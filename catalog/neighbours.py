@@ -65,10 +65,17 @@ def _(spark, sf):
     return N.knn_join_sql(v, _all_queries(v), 5)
 
 
-@register("knn_approx")
+@register(
+    "knn_approx",
+    f"""WITH {ALL_PAIRS} SELECT query_id, count(*) AS n_hits, true AS complete_and_near FROM ranked WHERE rank <= 5 GROUP BY query_id""",
+)
 def _(spark, sf):
+    """Hits per query, and whether 95 % of all exact neighbours are among the approximate ones."""
     v = _index(spark, sf)
-    return N.knn_approx(v, _all_queries(v), 5)
+    hits, exact = N.knn_approx(v, _all_queries(v), 5), N.knn_join(v, _all_queries(v), 5)
+    both = exact.select("query_id", "id").join(hits.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
+    share = both.agg((F.avg(F.coalesce("found", F.lit(0))) >= 0.95).alias("complete_and_near"))
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")).crossJoin(F.broadcast(share))
 
 
 @register(

@@ -40,26 +40,53 @@ def _(spark, sf):
     return KW.postings_match(postings, KW.query_terms(X.queries(spark, sf)))
 
 
-@register(
-    "keyword_match",
-    rf"""{SEARCH}, {X.MATCH_ALL_SQL}, anyof AS (SELECT DISTINCT query_id, path FROM terms JOIN postings USING (term)),
-    heads AS (SELECT item_id AS query_id, {X.WORDS_SQL}[1:2] AS w FROM benchmark),
-    firsts AS (SELECT query_id, w[1] AS term FROM heads),
-    spaced AS (SELECT path, ' ' || array_to_string({X.WORDS_SQL}, ' ') || ' ' AS line FROM docs)
-    SELECT 'all' AS mode, query_id, path FROM matched
-    UNION ALL SELECT 'any', query_id, path FROM anyof
-    UNION ALL SELECT 'phrase', query_id, path FROM heads JOIN spaced ON contains(line, ' ' || array_to_string(w, ' ') || ' ')
-    UNION ALL SELECT 'none', a.query_id, a.path FROM anyof a WHERE NOT EXISTS
-      (SELECT 1 FROM firsts f JOIN postings p USING (term) WHERE f.query_id = a.query_id AND p.path = a.path)""",
-)
+# Hits of each way to match, over all words of every search; shared parts are computed once.
+MODES_SQL = {
+    "all": f"{X.MATCH_ALL_SQL} SELECT query_id, path FROM matched",
+    "any": "anyof AS (SELECT DISTINCT query_id, path FROM terms JOIN postings USING (term)) SELECT query_id, path FROM anyof",
+    "phrase": rf"""spaced AS MATERIALIZED (SELECT path, ' ' || array_to_string({X.WORDS_SQL}, ' ') || ' ' AS line FROM docs)
+    SELECT query_id, path FROM queries JOIN spaced ON contains(line, ' ' || queries.text || ' ')""",
+    "none": rf"""anyof AS (SELECT DISTINCT query_id, path FROM terms JOIN postings USING (term)),
+    barred AS (SELECT item_id AS query_id, list_max({X.WORDS_SQL}) AS term FROM benchmark)
+    SELECT a.query_id, a.path FROM anyof a WHERE NOT EXISTS
+      (SELECT 1 FROM barred f JOIN postings p USING (term) WHERE f.query_id = a.query_id AND p.path = a.path)""",
+}
+PARTS = SEARCH.replace("postings AS (", "postings AS MATERIALIZED (").replace("terms AS (", "terms AS MATERIALIZED (", 1)
+
+
+def _match(spark, sf, mode: str):
+    """One way to match; positions are kept only where words must follow each other."""
+    queries = X.queries(spark, sf)
+    postings = P.build_postings(X.docs(spark, sf), positions=mode == "phrase")
+    if mode == "none":
+        return KW.keyword_match(durable(KW.postings_match(postings, KW.query_terms(queries))), queries, "any", without=X.barred_words(spark, sf))
+    return KW.keyword_match(postings, queries, mode)
+
+
+for _mode, _sql in MODES_SQL.items():
+    register(f"keyword_match_{_mode}", f"{PARTS}, {_sql}")(lambda spark, sf, mode=_mode: _match(spark, sf, mode))
+
+
+def _union_sql() -> str:
+    """All four ways in one result."""
+    any_sql, none_sql = MODES_SQL["any"], MODES_SQL["none"]
+    shared = any_sql[: any_sql.index(" SELECT query_id, path FROM anyof")]
+    return f"""{PARTS}, {X.MATCH_ALL_SQL}, {shared},
+    {MODES_SQL["phrase"][: MODES_SQL["phrase"].index("SELECT query_id, path")]}, {none_sql[none_sql.index("barred AS") : none_sql.index("SELECT a.query_id")]}
+    SELECT 'all' AS mode, query_id, path FROM matched UNION ALL SELECT 'any', query_id, path FROM anyof
+    UNION ALL SELECT 'phrase', {MODES_SQL["phrase"].partition("SELECT ")[2].partition("SELECT ")[2]}
+    UNION ALL SELECT 'none', {none_sql[none_sql.index("a.query_id") :]}"""
+
+
+@register("keyword_match", _union_sql())
 def _(spark, sf):
-    three, two, one = (X.queries(spark, sf, n) for n in (3, 2, 1))
-    postings = durable(KW.postings_match(P.build_postings(X.docs(spark, sf)), KW.query_terms(three)))
+    queries = X.queries(spark, sf)
+    postings = durable(KW.postings_match(P.build_postings(X.docs(spark, sf)), KW.query_terms(queries)))
     parts = {
-        "all": KW.keyword_match(postings, three, "all"),
-        "any": KW.keyword_match(postings, three, "any"),
-        "phrase": KW.keyword_match(postings, two, "phrase"),
-        "none": KW.keyword_match(postings, three, "any", without=one),
+        "all": KW.keyword_match(postings, queries, "all"),
+        "any": KW.keyword_match(postings, queries, "any"),
+        "phrase": KW.keyword_match(postings, queries, "phrase"),
+        "none": KW.keyword_match(postings, queries, "any", without=X.barred_words(spark, sf)),
     }
     out = None
     for mode, hits in parts.items():
@@ -98,19 +125,16 @@ def _(spark, sf):
 
 @register(
     "expand_synonyms",
-    f"""{SEARCH}, synonyms AS (SELECT DISTINCT w[1] AS term, w[2] AS synonym FROM (SELECT {X.WORDS_SQL} AS w FROM conversations) WHERE len(w) > 1),
+    f"""{SEARCH}, spoken AS (SELECT {X.WORDS_SQL} AS w FROM conversations),
+    synonyms AS (SELECT DISTINCT w[i] AS term, w[i + 1] AS synonym FROM (SELECT w, unnest(range(1, len(w))) AS i FROM spoken)),
     extra AS (SELECT query_id, string_agg(DISTINCT synonym, ' ' ORDER BY synonym) AS words FROM terms JOIN synonyms USING (term) GROUP BY 1), {REFINED}
     SELECT query_id, text FROM refined""",
 )
 def _(spark, sf):
-    words = F.col("w")
-    synonyms = (
-        X.table(spark, sf, "conversations")
-        .select(X.tokens(F.col("text")).alias("w"))
-        .filter(F.size("w") > 1)
-        .select(words[0].alias("term"), words[1].alias("synonym"))
-        .distinct()
-    )
+    """Words that follow each other anywhere in a conversation stand in for synonyms."""
+    words = X.table(spark, sf, "conversations").select(X.tokens(F.col("text")).alias("w")).filter(F.size("w") > 1)
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("term"), F.slice("w", F.lit(2), F.size("w") - 1).alias("synonym"))
+    synonyms = words.select(F.inline(pairs).alias("term", "synonym")).distinct()
     return RF.expand_synonyms(X.queries(spark, sf), synonyms)
 
 

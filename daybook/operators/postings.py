@@ -61,10 +61,10 @@ def spread_postings(postings: DataFrame) -> DataFrame:
 # -- stored index ------------------------------------------------------------------------------
 
 
-def current_stats(store: ArchiveStore, before_batch: int | None = None) -> DataFrame:
+def current_stats(store: ArchiveStore, without_batch: int | None = None) -> DataFrame:
     """The newest live entry of every document (path, len, mtime, batch)."""
     w = Window.partitionBy("path").orderBy(F.col("batch").desc())
-    newest = store.read("doc_stats", before_batch).withColumn("_n", F.row_number().over(w))
+    newest = store.read("doc_stats", without_batch).withColumn("_n", F.row_number().over(w))
     return newest.filter("_n = 1 AND NOT removed").drop("_n", "removed")
 
 
@@ -85,7 +85,7 @@ def update_keyword_index(store: ArchiveStore, docs: DataFrame, batch: int) -> Da
     The change is found from paths and times alone, and old postings are never rewritten.
     Repeating a batch replaces it.
     """
-    known = current_stats(store, before_batch=batch)
+    known = current_stats(store, without_batch=batch)
     changed = durable(changed_docs(docs.select("path", "mtime"), known).select("path"))
     todo = docs.join(broadcast_if_small(changed, 1_000_000), "path", "left_semi")
     store.append("postings", spread_postings(build_postings(todo)), batch)

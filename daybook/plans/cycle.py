@@ -32,8 +32,8 @@ class CycleReport:
     elapsed_s: float = 0.0
 
 
-def load_vector_index(store: ArchiveStore, before_batch: int | None = None) -> DataFrame:
-    return store.read("vectors", before_batch)
+def load_vector_index(store: ArchiveStore, without_batch: int | None = None) -> DataFrame:
+    return store.read("vectors", without_batch)
 
 
 def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, batch: int) -> None:
@@ -60,16 +60,16 @@ class Work:
 
 
 def pending_work(
-    store: ArchiveStore, docs: DataFrame, cap: int = 0, compat: bool = False, before_batch: int | None = None
+    store: ArchiveStore, docs: DataFrame, cap: int = 0, compat: bool = False, without_batch: int | None = None
 ) -> tuple[Work, int]:
     """What to embed and what to record as skipped, plus the number pending before the cap.
 
     Blank documents are set aside before the cap, so they cannot block a cycle for ever.
     `compat` caps first and leaves blank documents pending.
     """
-    done = load_vector_index(store, before_batch).select("path")
+    done = load_vector_index(store, without_batch).select("path")
     if not compat:
-        done = done.unionByName(store.read("skipped", before_batch).select("path"))
+        done = done.unionByName(store.read("skipped", without_batch).select("path"))
     blank = ~F.coalesce(is_non_blank(F.col("text")), F.lit(False))
     fresh = durable(pending_docs(docs.select("path"), done))
     tested = docs.select("path", blank.alias("blank"))
@@ -105,7 +105,7 @@ def run_cycle(
 
     Documents are numbered in path order and written in batches of `batch_docs`. The budget is
     checked between batches and never interrupts one. A failed batch goes to `dead_letters`,
-    its documents stay pending, and later batches take over its ids.
+    its documents stay pending, and later batches take over its ids. If every batch fails, the cycle is recorded and raises.
     """
     begin = clock()
     report = CycleReport()
@@ -124,7 +124,7 @@ def run_cycle(
     record_skipped(store, work, store.next_batch("skipped"))
     queue = ranked_paths(work.paths) if report.queued else None
     batch = store.next_batch("vectors")
-    started = clock()
+    started, failure = clock(), None
     for low in range(0, report.queued, batch_docs):
         part = queue.filter((F.col("position") >= low) & (F.col("position") < low + batch_docs))
         first_id = state.next_id + report.added - low
@@ -135,6 +135,7 @@ def run_cycle(
             report.added += min(batch_docs, report.queued - low)
             batch += 1
         except Exception as e:  # noqa: BLE001 - the next batch must still run
+            failure = e
             report.failed_batches += 1
             reason = F.lit(str(e).splitlines()[0]).alias("error")
             store.append("dead_letters", part.select("path", reason), store.next_batch("dead_letters"))
@@ -143,6 +144,9 @@ def run_cycle(
     report.index_size = state.size + report.added
     report.elapsed_s = clock() - begin
     _record(store, report)
+    if failure is not None and report.added == 0 and report.failed_batches > 0:
+        # One bad batch is a bad batch; if none gets through, something else is wrong.
+        raise RuntimeError(f"all {report.failed_batches} batches of the cycle failed") from failure
     return report
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A private temporary folder is used only if the session names none (local tests).
+    A private temporary folder is used only by a local session that names none (tests); on a cluster its executors
+    could not read it, so there the setting is required.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if active is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
         active = sc.getCheckpointDir()
     return active
@@ -90,6 +94,11 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if not n.startswith((".", "_")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _hadoop(spark, path)
+    return fs.exists(target)
+
+
 def make_dir(spark: SparkSession, path: str) -> None:
     target, fs = _hadoop(spark, path)
     fs.mkdirs(target)

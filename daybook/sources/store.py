@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.runtime import create_text, durable, names_in, read_text, remove_dirs
+from daybook.runtime import create_text, durable, exists, names_in, read_text, remove_dirs
 from daybook.schemas import STORE_TABLES, stored
 
 LOG_SCHEMA = "table string, version long, location string, op string, cutoff timestamp, committed_at timestamp"
@@ -75,10 +75,10 @@ class ArchiveStore:
 
     # -- reads -----------------------------------------------------------------------------
 
-    def read(self, table: str, before_batch: int | None = None) -> DataFrame:
+    def read(self, table: str, without_batch: int | None = None) -> DataFrame:
         """Current rows with their batch; empty with the declared columns if there are none.
 
-        `before_batch` hides a batch and all later ones, which is what a retry has to see.
+        `without_batch` hides one batch, which is what its retry has to see: other writers may have come after it.
         """
         schema = stored(table)
         head = self.head(table)
@@ -90,13 +90,36 @@ class ArchiveStore:
                 df = df.filter((F.col("day") >= F.to_date(cutoff)) & (F.col("mtime") >= cutoff))
         if df is None:
             df = self.spark.createDataFrame([], schema)
-        return df if before_batch is None else df.filter(F.col("batch") < before_batch)
+        return df if without_batch is None else df.filter(F.col("batch") != without_batch)
 
     def next_batch(self, table: str) -> int:
-        """The number after the newest batch, from the directory names."""
+        """The number after the newest batch of the table and after every reserved number."""
         head = self.head(table)
         names = names_in(self.spark, head.location) if head else []
-        return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1) + 1
+        used = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+        return max([*used, *self._reserved().values()], default=-1) + 1
+
+    def reserve(self, owner: str, step: int) -> int:
+        """A batch number for one step of a writer, the same whenever the step is repeated.
+
+        The number lies after all batches of all tables and all other reserved ones, so a stream's micro-batches never meet the
+        batches of cycles. One empty file per reservation keeps it.
+        """
+        key = f"{owner}-{step}"
+        known = self._reserved()
+        if key not in known:
+            known[key] = max(self.next_batch(t) for t in STORE_TABLES)
+            create_text(self.spark, f"{self.root}/reserved/{known[key]:012d}.{key}", "")
+        return known[key]
+
+    def _reserved(self) -> dict[str, int]:
+        names = names_in(self.spark, f"{self.root}/reserved")
+        return {key: int(number) for number, _, key in (n.partition(".") for n in names)}
+
+    def has_batch(self, table: str, batch: int) -> bool:
+        """Whether a batch has been written to its end."""
+        head = self.head(table)
+        return head is not None and exists(self.spark, f"{head.location}/batch={batch}/_SUCCESS")
 
     # -- writes ----------------------------------------------------------------------------
 

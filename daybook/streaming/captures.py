@@ -78,19 +78,18 @@ def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, p
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(chunks, ["ts", "_side", "seq"])
-        suspended, locked = state.get if state.exists else (False, False)
-        open_ = []
-        for side, kind, active in zip(rows["_side"], rows["_kind"], rows["_active"]):
-            if side == 0:
-                if kind == "suspend":
-                    suspended = bool(active)
-                elif kind == "lock":
-                    locked = bool(active)
-            open_.append(
-                side == 1 and not (pause_on_suspend and suspended) and not (pause_when_locked and locked)
-            )
-        state.update((suspended, locked))
-        if any(open_):
+        before = state.get if state.exists else (False, False)
+        side, kind = rows["_side"].to_numpy(), rows["_kind"].to_numpy()
+        active = rows["_active"].fillna(False).to_numpy().astype(bool)
+        flags = []
+        for name, old in zip(("suspend", "lock"), before):
+            # Position of the newest state of this kind at each row; 0 stands for the state kept from before.
+            at = np.maximum.accumulate(np.where((side == 0) & (kind == name), np.arange(1, len(rows) + 1), 0))
+            flags.append(np.concatenate([[bool(old)], active])[at])
+        suspended, locked = flags
+        open_ = (side == 1) & ~(suspended & pause_on_suspend) & ~(locked & pause_when_locked)
+        state.update((bool(suspended[-1]), bool(locked[-1])))
+        if open_.any():
             yield rows.loc[open_, ["_row"]]
 
     return _stateful(both, ["session"], step, "suspended boolean, locked boolean", out).select("_row.*")

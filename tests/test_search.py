@@ -165,15 +165,34 @@ def test_knn_empty_and_wrong_dimension(spark):
     assert values(N.knn_join(mixed, q), "id") == [0]
 
 
-def test_knn_approx_recall(spark):
+def test_knn_approx_is_complete_and_near(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(400, 16))
     data /= np.linalg.norm(data, axis=1, keepdims=True)
     v = frame(spark, data)
     q = v.select(F.col("id").alias("query_id"), "vec")
     exact = set(values(N.knn_join(v, q, 5), "query_id", "id"))
-    near = set(values(N.knn_approx(v, q, 5, radius=1.3), "query_id", "id"))
-    assert len(exact & near) / len(exact) >= 0.9
+    for block in (2048, 16):  # small blocks cut cells into several lists
+        near = N.knn_approx(v, q, 5, block=block)
+        assert near.count() == 2000
+        assert len(exact & set(values(near, "query_id", "id"))) / len(exact) >= 0.95
+
+
+def test_knn_approx_visits_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 10
+    data = np.concatenate([c + rng.normal(size=(40, 16)) * 0.1 for c in centres])
+    cells = N.fit_cells(frame(spark, data), 16, 5, 0.98)
+    assert cells.probes <= len(cells.centres) // 4
+
+
+@pytest.mark.parametrize("join", [N.knn_join, N.knn_join_sql, N.knn_approx])
+def test_queries_without_a_comparable_vector_have_no_hits(spark, join):
+    v = frame(spark, [[1, 2], [3, 4], [5, 6]])
+    schema = "query_id long, vec array<float>"
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, 2.0, 3.0]), (4, [])], schema)
+    assert values(join(v, q, 2), "query_id", "rank", "id") == [(1, 1, 0), (1, 2, 1)]
+    assert join(v, q.limit(0), 2).count() == 0
 
 
 def test_knn_plan_cuts_before_the_shuffle(spark):
