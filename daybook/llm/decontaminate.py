@@ -231,21 +231,18 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS MATERIALIZED (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-iw AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS win
+iw AS MATERIALIZED (SELECT item_id, n, p AS s, array_to_string(ws[p:p + n - 1], ' ') AS win
        FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS win
        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM w, sizes WHERE len(ws) >= n)),
-hit AS MATERIALIZED (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+hit AS MATERIALIZED (SELECT doc_id, item_id, p, s, dw.n FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
 pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names
         FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id),
-il AS (SELECT item_id, ws FROM i),
-ext AS (SELECT h.doc_id, max(h.n + coalesce(list_position(list_transform(range(1, len(il.ws) - s.p - h.n + 2), lambda k: coalesce(w.ws[h.p + h.n + k - 1] = il.ws[s.p + h.n + k - 1], false)), false) - 1,
-                                      len(il.ws) - s.p - h.n + 1)) AS longest
-        FROM hit h JOIN w USING (doc_id) JOIN il USING (item_id),
-             LATERAL (SELECT unnest(range(1, len(il.ws) - h.n + 2)) AS p) s
-        WHERE array_to_string(il.ws[s.p:s.p + h.n - 1], ' ') = array_to_string(w.ws[h.p:h.p + h.n - 1], ' ') GROUP BY h.doc_id)
+-- Windows that follow each other in the document and in the item make one longer match.
+runs AS (SELECT doc_id, n, p - row_number() OVER (PARTITION BY doc_id, item_id, n, p - s ORDER BY p) AS run, item_id, p - s AS diagonal FROM hit),
+ext AS (SELECT doc_id, max(longest) AS longest FROM (SELECT doc_id, count(*) + n - 1 AS longest FROM runs GROUP BY doc_id, item_id, n, diagonal, run) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
        coalesce(longest, 0)::BIGINT AS longest

@@ -202,7 +202,7 @@ def bands(measures: DataFrame, group: str, min_tokens: int) -> DataFrame:
 
 def outside(reach: float) -> F.Column:
     """Whether a measure lies beyond its band. A text of few tokens is a small sample, so its band is wider."""
-    wide = reach * (1 + 2 * F.sqrt(BLOCK / F.col("n_tokens")))
+    wide = reach * (1 + 2 * F.sqrt(BLOCK / F.greatest(F.col("n_tokens"), F.lit(1))))
     out = F.lit(False)
     for m, _, side in BANDS:
         if side <= 0:

@@ -43,6 +43,8 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 LONGEST_WORD = 24
+#: Dates of each number of digits that a guesser goes through.
+DATES = {4: 200, 6: 365 * 100, 8: 365 * 200}
 PLACE = {c: (i, j) for i, row in enumerate(ROWS) for j, c in enumerate(row)}
 SEPARATED_DATE = re.compile(r"(\d{1,4})([-./_])(\d{1,2})\2(\d{1,4})")
 
@@ -53,7 +55,9 @@ def _neighbours(a: str, b: str) -> bool:
 
 
 def _is_date(digits: str) -> bool:
-    """Six or eight digits that read as day, month and year in some order."""
+    """Four digits that read as a year, or six or eight as day, month and year in some order."""
+    if len(digits) == 4:
+        return 1900 <= int(digits) <= 2099
     if len(digits) == 8:
         parts = [(digits[:4], digits[4:6], digits[6:]), (digits[4:], digits[2:4], digits[:2]), (digits[4:], digits[:2], digits[2:4])]
     else:
@@ -109,9 +113,9 @@ def guess_cost(value: str, own_words: dict[str, int] | None = None) -> tuple[flo
                 capital = value[start:end]
                 extra += 0.0 if capital == part else 0.3 if capital == part.capitalize() or capital == part.upper() else 1.0
                 offer(start, end, math.log10(rank + 1) + extra, "word")
-        for width in (6, 8):
+        for width in (4, 6, 8):
             if end >= width and value[end - width : end].isascii() and value[end - width : end].isdigit() and _is_date(value[end - width : end]):
-                offer(end - width, end, math.log10(365 * (100 if width == 6 else 200)), "date")
+                offer(end - width, end, math.log10(DATES[width]), "date")
         for width in range(8, 11):
             if end >= width and SEPARATED_DATE.fullmatch(value, end - width, end):
                 offer(end - width, end, math.log10(365 * 200 * 4), "date")
