@@ -60,14 +60,14 @@ def _(spark, sf):
     with _state_partitions(spark):
         span = _span(spark, sf)
         arriving = _inbox(spark, X.captures(spark, sf), span), _inbox(spark, X.states(spark, sf), span)
-        return _drain(spark, ST.gate_stream(*arriving)).select("seq")
+        return _drain(spark, ST.gate_stream(*arriving)).filter("NOT late").select("seq")
 
 
 @register("throttle_stream", throttle_sql("event_type", 3600))
 def _(spark, sf):
     with _state_partitions(spark):
         rows = X.captures(spark, sf).select("seq", "ts", F.col("title").alias("k"))
-        return _drain(spark, ST.throttle_stream(_inbox(spark, rows, _span(spark, sf)), ["k"], 3600)).select("seq", "k")
+        return _drain(spark, ST.throttle_stream(_inbox(spark, rows, _span(spark, sf)), ["k"], 3600)).filter("NOT late").select("seq", "k")
 
 
 INGESTED = f"""{ASOF}, firsts AS (SELECT * FROM captures JOIN suspends USING (seq) JOIN locks USING (seq)

@@ -99,16 +99,20 @@ def run_cycle(
     backends: tuple[str, ...] = BACKENDS,
     compat: bool = False,
     dry_run: bool = False,
+    rejects: DataFrame | None = None,
     clock: Callable[[], float] = time.monotonic,
 ) -> CycleReport:
     """One cycle: index keywords, then embed up to `cap` pending documents.
 
     Documents are numbered in path order and written in batches of `batch_docs`. The budget is
     checked between batches and never interrupts one. A failed batch goes to `dead_letters`,
-    its documents stay pending, and later batches take over its ids. If every batch fails, the cycle is recorded and raises.
+    its documents stay pending, and later batches take over its ids. `rejects` (path, reason) are files that could not be read
+    as text: they are reported the same way and stay pending. If every batch fails, the cycle is recorded and raises.
     """
     begin = clock()
     report = CycleReport()
+    if rejects is not None and not dry_run:
+        store.append("dead_letters", rejects.select("path", F.col("reason").alias("error")), store.next_batch("dead_letters"))
     if KEYWORD in backends and not dry_run:
         update_keyword_index(store, docs, store.next_batch("doc_stats"))
     if SEMANTIC not in backends:

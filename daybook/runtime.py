@@ -79,6 +79,12 @@ def _hadoop(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of its file system."""
+    target, fs = _hadoop(spark, path)
+    return fs.makeQualified(target).toString()
+
+
 def remove_dirs(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         target, fs = _hadoop(spark, p)

@@ -41,12 +41,12 @@ def split_valid_utf8(files: DataFrame, content: str = "content") -> tuple[DataFr
     return files.filter(ok), files.filter(~ok).withColumn("reason", F.lit("undecodable"))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Every decodable *.txt directly below `path` as DOCS rows, newlines normalised."""
+def read_texts_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Decodable *.txt files directly below `path` as DOCS rows, newlines normalised; and (path, mtime, size, reason) of the others."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    good, _ = split_valid_utf8(files)
+    good, bad = split_valid_utf8(files)
     key = parse_capture_key(F.col("path"))
-    return good.select(
+    texts = good.select(
         "path",
         key["window_id"].alias("window_id"),
         key["ts"].alias("ts"),
@@ -54,6 +54,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         F.col("modificationTime").alias("mtime"),
         F.col("length").alias("size"),
     )
+    return texts, bad.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "reason")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Every decodable *.txt directly below `path`; `read_texts_and_rejects` also gives the rest."""
+    return read_texts_and_rejects(spark, path)[0]
 
 
 def texts_to_write(captures: DataFrame) -> DataFrame:

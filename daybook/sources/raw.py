@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from daybook.runtime import qualified
+
+
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark itself resolves it (a path without a scheme lies in the default file system), in Arrow's spelling."""
+    scheme, _, rest = qualified(spark, path).partition(":")
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest.removeprefix('//')}"
 
 
 def write_files(rows: DataFrame, path: str) -> None:
     """One file per row of (name, content); tasks write on their own, the driver sees no content."""
-    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+    uri = arrow_uri(rows.sparkSession, path)
 
     def save(part: Iterator) -> None:
         target, base = fs.FileSystem.from_uri(uri)

@@ -19,6 +19,8 @@ from daybook.runtime import make_dir
 from daybook.sources.feeds import stream_table
 
 NEVER = -(1 << 62)
+#: State of a key without rows for this long (in the rows' own time) is dropped: the default retention. Rows older than that are not taken.
+IDLE_DAYS = 90
 
 
 def _ordered(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -26,8 +28,20 @@ def _ordered(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 def _stateful(df: DataFrame, keys: list[str], fn, state: str, out: T.StructType | None = None) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(
-        fn, out or df.schema, state, "append", GroupStateTimeout.NoTimeout
+    """Run `fn` per key with state that ends when the stream's time is IDLE_DAYS past the key's last row."""
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        chunks = list(chunks)
+        yield from fn(key, iter(chunks), group)
+        if group.exists:
+            newest = int(max(c["ts"].max() for c in chunks).timestamp() * 1000) + 1
+            group.setTimeoutTimestamp(max(newest, group.getCurrentWatermarkMs() + 1))
+
+    return df.withWatermark("ts", f"{IDLE_DAYS} days").groupBy(*keys).applyInPandasWithState(
+        step, out or df.schema, state, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -62,7 +76,9 @@ def drop_unchanged_stream(captures: DataFrame) -> DataFrame:
 def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, pause_when_locked=True) -> DataFrame:
     """Pass captures taken while their session is neither suspended nor locked.
 
-    Both streams feed one state per session: the newest suspend and lock flags.
+    Both streams feed one state per session: the newest suspend and lock flags with their times. A state that is older than the newest
+    one of its kind changes nothing. A capture that is older than a state of an earlier micro-batch cannot be judged any more:
+    it is emitted with `late` = true for a side output, whatever the flags.
     """
     cols = captures.columns
     left = captures.select(
@@ -74,46 +90,55 @@ def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, p
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
     )
     both = left.unionByName(right)
-    out = T.StructType([both.schema["_row"]])
+    out = T.StructType([both.schema["_row"], T.StructField("late", T.BooleanType())])
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(chunks, ["ts", "_side", "seq"])
-        before = state.get if state.exists else (False, False)
+        before = state.get if state.exists else (False, NEVER, False, NEVER)
+        t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
         side, kind = rows["_side"].to_numpy(), rows["_kind"].to_numpy()
         active = rows["_active"].fillna(False).to_numpy().astype(bool)
-        flags = []
-        for name, old in zip(("suspend", "lock"), before):
+        flags, after = [], []
+        for name, old, since in zip(("suspend", "lock"), before[::2], before[1::2]):
             # Position of the newest state of this kind at each row; 0 stands for the state kept from before.
-            at = np.maximum.accumulate(np.where((side == 0) & (kind == name), np.arange(1, len(rows) + 1), 0))
+            at = np.maximum.accumulate(np.where((side == 0) & (kind == name) & (t >= since), np.arange(1, len(rows) + 1), 0))
             flags.append(np.concatenate([[bool(old)], active])[at])
-        suspended, locked = flags
-        open_ = (side == 1) & ~(suspended & pause_on_suspend) & ~(locked & pause_when_locked)
-        state.update((bool(suspended[-1]), bool(locked[-1])))
-        if open_.any():
-            yield rows.loc[open_, ["_row"]]
+            after += [bool(flags[-1][-1]), int(np.concatenate([[since], t])[at[-1]])]
+        late = (side == 1) & (t < max(before[1], before[3]))
+        open_ = (side == 1) & ~late & ~(flags[0] & pause_on_suspend) & ~(flags[1] & pause_when_locked)
+        state.update(tuple(after))
+        if (open_ | late).any():
+            yield rows.loc[open_ | late, ["_row"]].assign(late=late[open_ | late])
 
-    return _stateful(both, ["session"], step, "suspended boolean, locked boolean", out).select("_row.*")
+    names = "suspended boolean, suspended_at long, locked boolean, locked_at long"
+    return _stateful(both, ["session"], step, names, out).select("_row.*", "late")
 
 
 def throttle_stream(events: DataFrame, keys: list[str], interval_seconds: float = 60) -> DataFrame:
-    """Emit an event, then nothing of its key until more than the interval has passed."""
+    """Emit an event, then nothing of its key until more than the interval has passed.
+
+    An event older than the newest one of an earlier micro-batch comes too late to be weighed against what was emitted; it is emitted
+    with `late` = true for a side output.
+    """
     interval = int(interval_seconds * 1_000_000)
+    out = T.StructType([*events.schema.fields, T.StructField("late", T.BooleanType())])
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(chunks, ["ts", "seq"])
         t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        last = state.get[0] if state.exists else NEVER
-        hit = []
-        i = int(np.searchsorted(t, last + interval, side="right"))
+        last, newest = state.get if state.exists else (NEVER, NEVER)
+        n_late = int(np.searchsorted(t, newest))
+        hit = list(range(n_late))
+        i = max(n_late, int(np.searchsorted(t, last + interval, side="right")))
         while i < len(t):
             hit.append(i)
             last = int(t[i])
             i = int(np.searchsorted(t, last + interval, side="right"))
-        state.update((last,))
+        state.update((last, max(newest, int(t[-1]))))
         if hit:
-            yield rows.iloc[hit]
+            yield rows.iloc[hit].assign(late=np.array(hit) < n_late)[out.fieldNames()]
 
-    return _stateful(events, keys, step, "last_emit long")
+    return _stateful(events, keys, step, "last_emit long, newest long", out)
 
 
 def ingest(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> DataStreamWriter:
@@ -136,11 +161,13 @@ def capture_stream(
     The first applies the gates and drops missing windows and excluded titles; the second reads
     what it wrote to `root/gated`, drops unchanged frames and writes `root/kept`. Both keep
     state, and Spark allows one such operator per stream. A window belongs to one session, so
-    one file holds all its captures of a micro-batch and their order survives.
+    one file holds all its captures of a micro-batch and their order survives. Captures that came too late for the gate stay in
+    `root/gated` with `late_gate` = true.
     """
-    gated = exclude_titles(with_window(gate_stream(captures, states, **gates)), excluded)
+    gated = exclude_titles(with_window(gate_stream(captures, states, **gates)), excluded).withColumnRenamed("late", "late_gate")
     first = ingest(gated, f"{root}/gated", f"{root}/checkpoints/gated", every)
     make_dir(captures.sparkSession, f"{root}/gated")
     arriving = stream_table(captures.sparkSession, f"{root}/gated", gated.schema, files_per_trigger)
-    second = ingest(drop_unchanged_stream(arriving), f"{root}/kept", f"{root}/checkpoints/kept", every)
+    judged = arriving.filter("NOT late_gate").drop("late_gate")
+    second = ingest(drop_unchanged_stream(judged), f"{root}/kept", f"{root}/checkpoints/kept", every)
     return [first, second]

@@ -58,7 +58,8 @@ def test_gate_stream_equals_batch(spark, folder):
     cap, sig = captures(spark, caps), states(spark, signals)
     cuts = [40, 90]
     stream = ST.gate_stream(arriving(spark, cap, f"{folder}/c", cuts), arriving(spark, sig, f"{folder}/s", cuts))
-    assert values(drain(spark, stream, folder), "seq") == values(S.gate_paused(cap, sig), "seq")
+    got = drain(spark, stream, folder)
+    assert values(got, "seq") == values(S.gate_paused(cap, sig), "seq") and got.filter("late").count() == 0
 
 
 def test_throttle_stream_equals_batch(spark, folder):
@@ -68,6 +69,68 @@ def test_throttle_stream_equals_batch(spark, folder):
     assert values(got, "seq") == brute_throttle([(w, t, n) for w, t, n, _ in caps], 20)
 
 
+def swapped(spark, df, path, cuts):
+    """Files of time spans, the second span arriving last."""
+    begin = 1704067200
+    spans = list(zip([0, *cuts], [*cuts, 10**6]))
+    for low, high in (spans[0], *spans[2:], spans[1]):
+        part = df.filter((F.unix_seconds("ts") >= begin + low) & (F.unix_seconds("ts") < begin + high))
+        part.repartition(1).write.mode("append").parquet(path)
+    return stream_table(spark, path, df.schema, files_per_trigger=1)
+
+
+def test_late_events_of_a_throttle_are_marked(spark, folder):
+    caps, _ = sample(9)
+    df = captures(spark, caps).select(F.col("window_id").alias("k"), "ts", "seq")
+    got = drain(spark, ST.throttle_stream(swapped(spark, df, f"{folder}/in", [60, 120]), ["k"], 20), folder)
+    in_time = [r for r in caps if not 60 <= int(r[1]) < 120]
+    assert values(got.filter("NOT late"), "seq") == brute_throttle([(w, t, n) for w, t, n, _ in in_time], 20)
+    assert values(got.filter("late"), "seq") == sorted(n for _, t, n, _ in caps if 60 <= int(t) < 120)
+
+
+def test_late_captures_and_states_of_a_gate(spark, folder):
+    cap = captures(spark, [("a", 10, 1, "x"), ("a", 70, 2, "x"), ("a", 130, 3, "x")])
+    sig = states(spark, [("a", 5, 1, "lock", True), ("a", 65, 2, "lock", True), ("a", 125, 3, "lock", False)])
+    sources = swapped(spark, cap, f"{folder}/c", [60, 120]), swapped(spark, sig, f"{folder}/s", [60, 120])
+    got = drain(spark, ST.gate_stream(*sources), folder)
+    # The capture of second 70 comes after the state of second 125 was known; that state is not overwritten.
+    assert values(got, "seq", "late") == [(2, True), (3, False)]
+
+
+def test_cycles_and_streams_share_one_store(spark, folder):
+    from daybook.plans.cycle import run_cycle
+
+    rows = [(f"d{i:02d}", f"text {i}") for i in range(12)]
+    store, enc = ArchiveStore(spark, f"{folder}/store"), default_encoder(8)
+    schema = docs(spark, rows).schema
+
+    def stream(part, name):
+        docs(spark, part).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        return index_stream(stream_table(spark, f"{folder}/{name}", schema, files_per_trigger=1), store, enc, f"{folder}/ck-{name}").start()
+
+    run_cycle(store, docs(spark, rows[:3]), enc)
+    stream(rows[3:6], "one").awaitTermination()
+    run_cycle(store, docs(spark, rows[:8]), enc)
+    stream(rows[8:10], "two").awaitTermination()
+    stream(rows[10:], "one").awaitTermination()
+    assert values(load_vector_index(store), "path") == [p for p, _ in rows]
+    assert values(load_vector_index(store), "id") == list(range(12))
+    assert values(live_postings(store), "term", "path") == values(build_postings(docs(spark, rows)), "term", "path")
+
+
+def test_a_micro_batch_repeated_after_another_writer_changes_nothing(spark, folder):
+    from daybook.plans.cycle import run_cycle
+    from daybook.streaming.index import index_batch
+
+    store, enc = ArchiveStore(spark, f"{folder}/store"), default_encoder(8)
+    first, later = docs(spark, [("a", "x"), ("b", "y")]), docs(spark, [("a", "x"), ("b", "y"), ("c", "z")])
+    index_batch(store, first, enc, store.reserve("s", 0))
+    run_cycle(store, later, enc)
+    before = values(load_vector_index(store), "id", "path")
+    index_batch(store, first, enc, store.reserve("s", 0))
+    assert values(load_vector_index(store), "id", "path") == before == [(0, "a"), (1, "b"), (2, "c")]
+
+
 def test_capture_stream_equals_the_batch_chain(spark, folder):
     caps, signals = sample(11)
     cap, sig = captures(spark, caps), states(spark, signals)
