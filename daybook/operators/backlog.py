@@ -17,6 +17,17 @@ def pending_docs(docs: DataFrame, indexed: DataFrame) -> DataFrame:
     return docs.join(indexed.select("path"), "path", "left_anti")
 
 
+def of_their_days(docs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The documents of the capture days on which any of `paths` lies, if documents are stored by `day`; else all of them.
+
+    Days are few (one per calendar day), so they become a partition filter and other days' files are not opened.
+    """
+    if "day" not in docs.columns:
+        return docs
+    days = docs.select("path", "day").join(paths.select("path"), "path", "left_semi").select("day").distinct()
+    return docs.filter(F.col("day").isin([r.day for r in days.collect()]))
+
+
 def except_paths(docs: DataFrame, indexed: DataFrame) -> DataFrame:
     """Set difference of the bare paths."""
     return docs.select("path").subtract(indexed.select("path"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
-from daybook.operators.backlog import changed_docs, removed_docs
+from daybook.operators.backlog import changed_docs, of_their_days, removed_docs
 from daybook.runtime import broadcast_if_small, durable
 from daybook.sources.store import ArchiveStore
 
@@ -87,7 +87,7 @@ def update_keyword_index(store: ArchiveStore, docs: DataFrame, batch: int) -> Da
     """
     known = current_stats(store, without_batch=batch)
     changed = durable(changed_docs(docs.select("path", "mtime"), known).select("path"))
-    todo = docs.join(broadcast_if_small(changed, 1_000_000), "path", "left_semi")
+    todo = of_their_days(docs, changed).join(broadcast_if_small(changed, 1_000_000), "path", "left_semi")
     store.append("postings", spread_postings(build_postings(todo)), batch)
     entries = todo.select(
         "path", F.size(tokens(F.col("text"))).cast("long").alias("len"), "mtime", F.lit(False).alias("removed")

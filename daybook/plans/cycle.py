@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.display import progress_pct
 from daybook.functions.text import is_non_blank
-from daybook.operators.backlog import capped_pending, pending_docs, ranked_paths
+from daybook.operators.backlog import capped_pending, of_their_days, pending_docs, ranked_paths
 from daybook.operators.embed import Encoder, embed_texts, index_state
 from daybook.operators.postings import update_keyword_index
 from daybook.plans.search import BACKENDS, KEYWORD, SEMANTIC
@@ -72,7 +72,7 @@ def pending_work(
         done = done.unionByName(store.read("skipped", without_batch).select("path"))
     blank = ~F.coalesce(is_non_blank(F.col("text")), F.lit(False))
     fresh = durable(pending_docs(docs.select("path"), done))
-    tested = docs.select("path", blank.alias("blank"))
+    tested = of_their_days(docs, fresh).select("path", blank.alias("blank"))
     pending = durable(tested.join(broadcast_if_small(fresh, MAX_BROADCAST), "path", "left_semi"))
     n = pending.agg(F.count_if(~F.col("blank")).alias("full"), F.count_if("blank").alias("blank")).first()
     full, empty = pending.filter(~F.col("blank")).select("path"), pending.filter("blank").select("path")
@@ -127,13 +127,14 @@ def run_cycle(
     state = index_state(load_vector_index(store), encoder)
     record_skipped(store, work, store.next_batch("skipped"))
     queue = ranked_paths(work.paths) if report.queued else None
+    texts = of_their_days(docs, work.paths) if report.queued else docs
     batch = store.next_batch("vectors")
     started, failure = clock(), None
     for low in range(0, report.queued, batch_docs):
         part = queue.filter((F.col("position") >= low) & (F.col("position") < low + batch_docs))
         first_id = state.next_id + report.added - low
         ids = part.select("path", (F.col("position") + first_id).alias("id"))
-        numbered = docs.join(small(ids, batch_docs <= MAX_BROADCAST), "path")
+        numbered = texts.join(small(ids, batch_docs <= MAX_BROADCAST), "path")
         try:
             append_vectors(store, numbered, encoder, batch)
             report.added += min(batch_docs, report.queued - low)

@@ -103,6 +103,39 @@ def test_failed_batch_is_left_pending_and_ids_stay_dense(spark, folder):
     assert [i for i, _ in got] == list(range(12)) and len({p for _, p in got}) == 12
 
 
+def test_cycle_raises_if_no_batch_gets_through(spark, folder):
+    store, d = ArchiveStore(spark, folder), many(spark, 6)
+    with pytest.raises(RuntimeError, match="all 2 batches"):
+        CY.run_cycle(store, d, failing({1, 2}), batch_docs=3, **ONLY)
+    assert store.read("dead_letters").count() == 6
+    assert CY.run_cycle(store, d, ENC, **ONLY).added == 6
+
+
+def test_undecodable_files_are_reported_and_stay_pending(spark, folder):
+    from daybook.sources.files import read_texts_and_rejects
+    from daybook.sources.raw import write_files
+
+    data = [("w_1704067200.txt", b"fine"), ("w_1704067201.txt", b"\xff\xfe")]
+    write_files(spark.createDataFrame([(n, bytearray(c)) for n, c in data], "name string, content binary"), f"{folder}/raw")
+    texts, rejects = read_texts_and_rejects(spark, f"{folder}/raw")
+    store = ArchiveStore(spark, f"{folder}/store")
+    for _ in range(2):
+        CY.run_cycle(store, texts, ENC, rejects=rejects, **ONLY)
+    assert len(index(store)) == 1 and store.read("skipped").count() == 0
+    assert {(p.rpartition("/")[2], e) for p, e in values(store.read("dead_letters"), "path", "error")} == {("w_1704067201.txt", "undecodable")}
+
+
+def test_cluster_sessions_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from daybook.runtime import shared_dir
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=nothing))
+
+
 def test_repeating_a_batch_does_not_duplicate(spark, folder):
     from daybook.streaming.index import index_batch
 

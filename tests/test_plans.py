@@ -61,3 +61,16 @@ def test_long_exclusion_lists_join_on_runs(spark):
     assert "NestedLoop" not in plan(kept) and "Cartesian" not in plan(kept)
     assert sorted(r.title for r in kept.collect()) == ["", "a b", "ban k"]
     assert kept.filter(F.col("title").isNull()).count() == 0
+
+
+def test_a_cycle_opens_only_the_days_of_new_documents(spark, folder):
+    from daybook.operators.embed import default_encoder
+    from daybook.plans.cycle import run_cycle
+
+    rows = docs(spark, [("a", "x y", 0), ("b", "y", 10), ("c", "z", 86_400 * 3)])
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{folder}/docs")
+    d, store, encoder = spark.read.parquet(f"{folder}/docs"), ArchiveStore(spark, f"{folder}/store"), default_encoder(8)
+    run_cycle(store, d.filter("path <> 'c'"), encoder)
+    text = plan(B.of_their_days(d, d.filter("path = 'c'")))
+    assert "PartitionFilters: [isnotnull(day" in text and "2024-01-04" in text and "2024-01-01" not in text
+    assert run_cycle(store, d, encoder).added == 1
