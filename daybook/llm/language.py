@@ -110,7 +110,8 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     ).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id"), 11) / F.lit(float(1 << 53))).alias("draw")
-    near = rows.select("id", "text", "lang", draw).join(counts, "lang").where(
+    # One row per language, as the model has one column per language: small enough for the driver, hence for a broadcast.
+    near = rows.select("id", "text", "lang", draw).join(F.broadcast(counts), "lang").where(
         F.col("draw") * F.col("n") < 4 * per_language + 40
     )
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
