@@ -6,6 +6,9 @@ five characters for each edit). A line is cut into `edits` + 1 even segments; at
 with, shifted by no more than the edits allow. Segments are indexed by line length and ordinal; every line probes the indexes of its own and slightly
 smaller lengths. Equal lines are one class from the start, so copies cost nothing here. Native: DataFrame functions only.
 Null texts have no lines. A line of any length is compared whole.
+
+Texts are not shuffled: lines travel as digests, and only lines of candidate pairs are fetched. Where a set decides which lines to look at, it is
+broadcast as numbers of hash buckets, so it has at most `HOT_BUCKETS` or `FETCH_BUCKETS` rows whatever the data; the exact decision follows.
 """
 
 from __future__ import annotations
@@ -15,12 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.runtime import durable
+from daybook.runtime import durable, scratch
 
 EDITS = 2
 BLANKS = " \t\x0b\x0c\r"
 #: Characters counted for the cheap lower bound of the distance.
 COUNTED = "etaoinshrdlu "
+#: Of these, the characters whose counts travel with segments that very many lines share.
+PACKED = COUNTED[:8]
+#: Lines with more copies than this are brought together before they are cut up; buckets of the two broadcast sets.
+COPIES, HOT_BUCKETS, FETCH_BUCKETS = 64, 1 << 16, 1 << 20
+#: A segment of more lines than this is shared by many; numbers of key buckets.
+SHARED, KEY_BUCKETS = 16, 1 << 20
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,54 +39,94 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
 
 
-def digest(line: Column) -> list[Column]:
-    """Two hashes that stand for a line in joins; the first alone is enough to find candidates, which are compared by text."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")]
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows from a table written in the shared folder; compressed, unlike a checkpoint."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark(line: Column) -> Column:
+    """Sixteen bytes that stand for a line."""
+    return F.unhex(F.md5(line))
+
+
+def bucket(line: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(line), F.lit(n))
+
 
+def in_buckets(lines: DataFrame, chosen: DataFrame, n: int, how: str) -> DataFrame:
+    """Lines whose bucket is (`left_semi`) or is not (`left_anti`) among `chosen.bucket`, a set of at most n small numbers."""
+    return lines.join(F.broadcast(chosen.select(F.col("bucket").alias("_bucket")).distinct()), bucket(F.col("line"), n) == F.col("_bucket"), how)
 
-def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
+
+def _segment(length: Column, k: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment k of an even partition; the later segments are the longer ones."""
-    small = F.floor(length / parts)
-    longer = length - small * parts
-    first_long = F.lit(parts) - longer
-    start = small * k + F.greatest(F.lit(0), F.lit(k) - first_long)
-    return start.cast("int"), (small + (F.lit(k) >= first_long).cast("int")).cast("int")
+    small = F.floor(length / parts).cast("int")
+    first_long = parts - (length - small * parts)
+    return small * k + F.greatest(F.lit(0), k - first_long), small + (k >= first_long).cast("int")
 
 
-def indexed(classes: DataFrame, edits: int) -> DataFrame:
-    """(key, h1, n) for each segment of each line."""
+def indexed(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, h1, line) for each segment of each line."""
     parts = edits + 1
-    keys = []
-    for k in range(parts):
-        start, size = _segment(F.col("n"), k, parts)
-        keys.append(F.xxhash64(F.col("n"), F.lit(k), F.substring(F.col("line"), start + 1, size)))
-    return classes.select("h1", "n", F.explode(F.array(*keys)).alias("key"))
+    start, size = _segment(F.col("n"), F.col("k"), parts)
+    key = F.xxhash64("n", "k", F.substring("line", start + 1, size))
+    return lines.select("h1", "n", "line", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).select(key.alias("key"), "h1", "line")
 
 
-def probes(classes: DataFrame, edits: int) -> DataFrame:
-    """(key, h1, n) for each substring of a line that can be a segment of a line as long or up to `edits` shorter.
+def probed(edits: int) -> list[tuple[int, int, int]]:
+    """(difference in length, segment, shift) of all substrings of a line that can be a segment of an equally long or shorter line.
 
-    Segment k may stand at its own place or shifted by at most k edits before it, and by so few that the edits behind it suffice for the
-    rest of the difference in length; only substrings that meet both bounds are probed.
+    Segment k may be shifted by at most k edits before it, and by so few that the edits behind it suffice for the rest of
+    the difference in length.
     """
-    parts, keys = edits + 1, []
-    for less in range(edits + 1):
-        length = F.col("n") - less
-        for k in range(parts):
-            start, size = _segment(length, k, parts)
-            low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))
-            for shift in range(low, high + 1):
-                at = start + shift
-                ok = (length > 0) & (at >= 0) & (at + size <= F.col("n"))
-                keys.append(F.when(ok, F.xxhash64(length, F.lit(k), F.substring(F.col("line"), at + 1, size))))
-    return classes.select("h1", "n", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    return [
+        (less, k, shift)
+        for less in range(edits + 1)
+        for k in range(edits + 1)
+        for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)
+    ]
+
+
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, h1, line) for each substring of a line that can be a segment of a line as long or up to `edits` shorter."""
+    ways = F.array(*(F.struct(F.lit(a).alias("less"), F.lit(k).alias("k"), F.lit(x).alias("shift")) for a, k, x in probed(edits)))
+    rows = lines.select("h1", "n", "line", F.explode(ways).alias("w")).select("h1", "n", "line", (F.col("n") - F.col("w.less")).alias("other"), "w.k", "w.shift")
+    start, size = _segment(F.col("other"), F.col("k"), edits + 1)
+    at = start + F.col("shift")
+    rows = rows.where((F.col("other") > 0) & (at >= 0) & (at + size <= F.col("n")))
+    return rows.select(F.xxhash64("other", "k", F.substring("line", at + 1, size)).alias("key"), "h1", "line")
+
+
+def packed_letters(line: Column) -> Column:
+    """Counts of a few characters, modulo 256, in the bytes of one long."""
+    count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("long")
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c), 8 * i) for i, c in enumerate(PACKED)))
+
+
+def packed_gap(a: Column, b: Column) -> Column:
+    """Summed difference of two packed counts; an edit changes it by two at most, and turning over 255 only makes it smaller."""
+    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
+    apart = lambda i: (byte(a, i) - byte(b, i)).bitwiseAND(F.lit(255))
+    return reduce(lambda x, y: x + y, (F.least(apart(i), 256 - apart(i)) for i in range(len(PACKED))))
+
+
+def keyed(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, h1, letters): letters are counted only where the key's bucket holds a segment that many lines share."""
+    many = F.broadcast(shared.select(F.col("bucket").alias("_bucket")))
+    met = rows.join(many, F.pmod("key", F.lit(KEY_BUCKETS)) == F.col("_bucket"), "left")
+    return met.select("key", "h1", F.when(F.col("_bucket").isNotNull(), packed_letters(F.col("line"))).alias("letters"))
+
+
+def letters(line: Column) -> Column:
+    """How often a few characters stand in a line."""
+    return F.array(*(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED))
 
 
 def letter_gap(a: Column, b: Column) -> Column:
-    """Half the summed difference in counts of a few characters, rounded up: no distance is smaller."""
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    total = reduce(lambda x, y: x + y, (F.abs(count(a, c) - count(b, c)) for c in COUNTED))
-    return F.ceil(total / 2)
+    """Half the summed difference of two letter counts, rounded up: no distance is smaller."""
+    return F.ceil(reduce(lambda x, y: x + y, (F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(COUNTED)))) / 2)
 
 
 def _let(value: Column, use) -> Column:
@@ -132,25 +181,53 @@ def allowed(longer: Column, edits: int) -> Column:
     return F.least(F.lit(edits), F.floor(longer / 5))
 
 
-def line_links(classes: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs of different lines that link: (a1, a2, b1, b2, distance) by their digests. `classes` has h1, h2, line, n; it should be durable."""
+def candidates(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of line hashes that share a segment, each once, a < b.
+
+    A line with many copies is brought down to one before it is cut; lines of a bucket that holds such a line take the same way.
+    Under a segment that many lines share, only lines whose letter counts lie near enough meet, so such a group does not yield all its pairs.
+    """
+    hot = classes.where(F.col("n_copies") > COPIES).select("bucket")
+    hot = durable(hot.distinct())
+    several = in_buckets(lines, hot, HOT_BUCKETS, "left_semi").groupBy(mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line")).drop("mark")
+    long_enough = in_buckets(lines, hot, HOT_BUCKETS, "left_anti").select("line").unionByName(several)
+    # A line of 4 characters can link with one of 5; shorter ones link with none.
+    cut = long_enough.select(F.xxhash64("line").alias("h1"), F.length("line").alias("n"), "line").where("n >= 4")
+    index = indexed(cut, edits)
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select(F.pmod("key", F.lit(KEY_BUCKETS)).alias("bucket"))
+    shared = durable(shared.distinct())
+    probe = keyed(probes(cut, edits), shared).select("key", F.col("h1").alias("b"), F.col("letters").alias("_letters"))
+    near = F.coalesce(packed_gap(F.col("letters"), F.col("_letters")) <= 2 * edits, F.lit(True))
+    found = keyed(index, shared).join(probe, "key").where((F.col("h1") != F.col("b")) & near)
+    return found.select(F.least("h1", "b").alias("a"), F.greatest("h1", "b").alias("b")).distinct()
+
+
+def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Pairs of different lines that link: (a_mark, b_mark, distance)."""
     if edits not in (1, 2, 3):
         raise ValueError("edits must be 1, 2 or 3")
-    # A line of 4 characters can link with one of 5; shorter ones link with none.
-    long_enough = classes.where(F.col("n") >= 4)
-    probe = probes(long_enough, edits).select("key", F.col("h1").alias("b"), F.col("n").alias("m"))
-    found = indexed(long_enough, edits).join(probe, "key").where(
-        (F.col("n") <= F.col("m")) & (F.col("m") <= F.col("n") + edits) & ((F.col("n") < F.col("m")) | (F.col("h1") < F.col("b")))
-    )
-    pairs = found.select(F.col("h1").alias("a"), "b").distinct()
-    side = lambda h, name: long_enough.select(F.col("h1").alias(h), F.col("h1").alias(f"{name}1"), F.col("h2").alias(f"{name}2"), F.col("line").alias(f"{name}_line"), F.col("n").alias(f"{name}_n"))
-    met = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b")
+    pairs = durable(candidates(lines, classes, edits))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    wanted = durable(ids.select(F.pmod("h1", F.lit(FETCH_BUCKETS)).alias("bucket")).distinct())
+    near = in_buckets(lines, wanted, FETCH_BUCKETS, "left_semi").select(F.xxhash64("line").alias("h1"), "line")
+    near = near.join(ids, "h1").groupBy("h1", mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line"))
+    near = stored(near.withColumn("n", F.length("line")).withColumn("letters", letters(F.col("line"))), "lines")
+    # Lengths and letters drop most pairs before any text is joined to them.
+    small = lambda h: near.select(F.col("h1").alias(h), *(F.col(c).alias(f"{h}_{c}") for c in ("mark", "n", "letters")))
     limit = allowed(F.greatest("a_n", "b_n"), edits)
-    met = met.where(letter_gap(F.col("a_line"), F.col("b_line")) <= limit)
-    chars = lambda c: F.split(F.col(c), "")
-    # The rows of the matrix are the shorter line's characters.
-    distance = band_distance(chars("a_line"), chars("b_line"), edits)
-    return met.withColumn("distance", distance).where(F.col("distance") <= limit).select("a1", "a2", "b1", "b2", "distance")
+    met = pairs.join(small("a"), "a").join(small("b"), "b").where(
+        (F.abs(F.col("a_n") - F.col("b_n")) <= limit) & (F.col("a_mark") != F.col("b_mark")) & (letter_gap(F.col("a_letters"), F.col("b_letters")) <= limit)
+    )
+    met = durable(met.select("a_mark", "b_mark", "a_n", "b_n"))
+    text = lambda h: near.select(F.col("mark").alias(f"{h}_mark"), F.col("line").alias(f"{h}_line"))
+    met = met.join(text("a"), "a_mark").join(text("b"), "b_mark")
+    # The rows of the matrix are the shorter line's characters. The arrays are columns of their own: an expression inside the
+    # column-by-column function would be computed again for every character.
+    chars = lambda first: F.split(F.when((F.col("a_n") <= F.col("b_n")) == F.lit(first), F.col("a_line")).otherwise(F.col("b_line")), "")
+    met = met.select("a_mark", "b_mark", limit.alias("limit"), chars(True).alias("short"), chars(False).alias("long"))
+    # For the same reason the verdict is a filter over kept rows: pushed below, it would bring the expressions back in.
+    met = durable(met.select("a_mark", "b_mark", "limit", band_distance(F.col("short"), F.col("long"), edits).alias("distance")))
+    return met.where(F.col("distance") <= F.col("limit")).select("a_mark", "b_mark", "distance")
 
 
 def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -160,24 +237,20 @@ def join_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first of its class in the order of (doc_id, line_no) and links with no class that comes earlier.
     """
     lines = lines_of(docs, id_col, text_col)
-    keyed = lines.select("doc_id", "line_no", *digest(F.col("line")), "line")
     place = F.struct("doc_id", "line_no")
-    classes = durable(
-        keyed.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count("*").alias("n_copies"))
-        .withColumn("n", F.length("line"))
-    )
-    pairs = durable(line_links(classes, edits))
-    turned = pairs.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    ends = pairs.select("a1", "a2", "b1", "b2").unionByName(turned)
-    firsts = classes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
-    linked = ends.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(
-        F.count("*").alias("n_links"), F.min("other").alias("earliest")
+    marked = stored(lines.select("doc_id", "line_no", mark(F.col("line")).alias("mark"), bucket(F.col("line"), HOT_BUCKETS).alias("bucket")), "marks")
+    classes = stored(marked.groupBy("mark").agg(F.min(place).alias("first"), F.count("*").alias("n_copies"), F.min("bucket").alias("bucket")), "classes")
+    pairs = durable(line_links(lines, classes, edits))
+    ends = pairs.select(F.col("a_mark").alias("mark"), F.col("b_mark").alias("other"))
+    ends = ends.unionByName(pairs.select(F.col("b_mark").alias("mark"), F.col("a_mark").alias("other")))
+    firsts = classes.select(F.col("mark").alias("other"), F.col("first").alias("other_first"))
+    linked = ends.join(firsts, "other").groupBy("mark").agg(F.count("*").alias("n_links"), F.min("other_first").alias("earliest"))
+    facts = classes.join(linked, "mark", "left").select(
+        "mark", "first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("late")
     )
-    facts = classes.select("h1", "h2", "first", "n_copies").join(linked, ["h1", "h2"], "left")
-    facts = durable(facts.select("h1", "h2", "first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("late")))
-    rows = keyed.select("doc_id", "line_no", "h1", "h2", F.md5("line").alias("class_id"))
-    return rows.join(facts, ["h1", "h2"]).select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), "class_id", "n_copies", "n_links",
+    facts = stored(facts, "facts")
+    return marked.drop("bucket").join(facts, "mark").select(
+        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.lower(F.hex("mark")).alias("class_id"), "n_copies", "n_links",
         (place.eqNullSafe(F.col("first")) & ~F.col("late")).alias("kept"),
     )
 
