@@ -27,6 +27,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def identity(column: str) -> Column:
+    """A value as text that is never null, so that rows can be joined and grouped on it alike; null is told from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit("null"))
+
+
 def slices(texts: pa.Array) -> Iterator[list]:
     """Values of an Arrow batch in runs of bounded length, so that Python objects stay few at a time."""
     run, size = [], 0

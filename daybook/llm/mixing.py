@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.batches import columns_of, fresh
+from daybook.llm.batches import columns_of, fresh, identity
 from daybook.llm.order import running
 from daybook.runtime import durable
 
@@ -27,7 +27,7 @@ CELLS = 4096
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size and the document's place in its source's shuffle (a digest of its id)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    place = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))  # a struct of keys reads as {..}
+    place = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place.alias("place"))
 
 
@@ -147,23 +147,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A source's stream ends within one document at most; that one is counted by the nearest whole number. Documents without
     words have no part in a mix of words. Rows alike in id, source and text are one document with the takes of all.
     """
-    digest = lambda: F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
-    mark = fresh(docs.columns, "_mark")
-    key = docs.withColumn(mark, F.struct(F.col(id_col).alias("id"), digest().alias("digest")))
-    taken = mix(key, mark, text_col, source_col, **options).where("size > 0")
-    times = taken.groupBy("doc_id", "source").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times")).where("times > 0")
-    times = times.select(F.col("doc_id.id").alias("_i"), F.col("doc_id.digest").alias("_d"), F.col("source").alias("_s"), "times")
-    names = {c: fresh(docs.columns, c) for c in ("_i", "_d", "_s", "times", "_number")}
-    times = times.select(*(F.col(c).alias(names[c]) for c in ("_i", "_d", "_s", "times")))
-    marked = docs.withColumn(mark, digest())
-    same = (
-        F.col(id_col).eqNullSafe(F.col(names["_i"])) & (F.col(mark) == F.col(names["_d"]))
-        & F.col(source_col).cast("string").eqNullSafe(F.col(names["_s"]))
-    )
-    once = Window.partitionBy(id_col, mark, F.col(source_col).cast("string")).orderBy(mark)
-    met = marked.join(times, same).withColumn(names["_number"], F.row_number().over(once)).where(F.col(names["_number"]) == 1)
-    copies = F.explode(F.sequence(F.lit(1), F.col(names["times"]).cast("int")))
-    return met.select(*columns_of(docs), copies.alias(names["_number"])).select(*columns_of(docs))
+    digest = F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0))
+    key, mark, number = (fresh(docs.columns, x) for x in ("_id", "_mark", "_number"))
+    own = F.concat_ws(":", identity(id_col), identity(source_col), digest.cast("string"))
+    taken = mix(docs.withColumn(mark, own), mark, text_col, source_col, **options).where("size > 0")
+    times = taken.groupBy("doc_id").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times")).where("times > 0")
+    times = times.select(F.col("doc_id").alias(key), F.col("times").alias(number))
+    # Join and row number use the same column, so the texts are shuffled once.
+    once = Window.partitionBy(key).orderBy(mark)
+    met = docs.withColumn(key, own).join(times, key).withColumn(mark, F.lit(0))
+    met = met.withColumn(mark, F.row_number().over(once)).where(F.col(mark) == 1)
+    copies = F.explode(F.sequence(F.lit(1), F.col(number).cast("int")))
+    return met.select(*columns_of(docs), copies.alias(number)).select(*columns_of(docs))
 
 
 ORACLE = r"""

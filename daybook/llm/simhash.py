@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.batches import columns_of, fresh, struct_column
+from daybook.llm.batches import columns_of, fresh, identity, struct_column
 from daybook.llm.graph import components
 from daybook.runtime import durable
 
@@ -55,22 +55,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def position_sets(width: int, distance: int = DISTANCE) -> list[tuple[int, ...]]:
     """Sets of `width` byte positions such that every set of 8 - `distance` positions contains one of them.
 
-    Greedy cover: the smallest families known are only slightly smaller, and the rule holds for every distance.
+    Either all sets inside a few groups of positions (one group must hold `width` of them), or a greedy cover if that is smaller.
     """
     least = 8 - distance
     if not 1 <= width <= least:
         raise ValueError(f"width {width} is not between 1 and {least}")
+    if width == 1:
+        return [(p,) for p in range(distance + 1)]
+    n_groups = (least - 1) // (width - 1)
+    grouped = [x for i in range(n_groups) for x in combinations(range(i, 8, n_groups), width)]
     open_sets, chosen = {frozenset(x) for x in combinations(range(8), least)}, []
     while open_sets:
         best = max(combinations(range(8), width), key=lambda x: sum(set(x) <= y for y in open_sets))
         chosen.append(best)
         open_sets = {y for y in open_sets if not set(best) <= y}
-    return chosen
+    return min(grouped, chosen, key=len)
 
 
 def best_width(n: int, distance: int = DISTANCE) -> int:
-    """Index width with the least expected work for n fingerprints: index rows, plus tallies at a fraction of a row's price."""
-    return min(range(1, 9 - distance), key=lambda w: len(position_sets(w, distance)) * n * (1 + n / 256**w / 2000))
+    """Index width with the least expected work for n fingerprints: index rows, plus tallies at a hundredth of a row's price."""
+    return min(range(1, 9 - distance), key=lambda w: len(position_sets(w, distance)) * n * (1 + n / 256**w / 100))
 
 
 def _links(own: np.ndarray, distance: int, rows: int = 256) -> np.ndarray:
@@ -171,8 +175,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     tied = durable(rooted(rows, distance))
     best = F.min(F.struct(F.isnull("id").alias("none"), "id", "mark"))
     first = rows.groupBy("fp").agg(best.alias("best")).join(tied, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    first = durable(first.select(F.col("best.id").alias(key), F.col("best.mark").alias(f"{mark}2")))
-    marked = docs.withColumn(mark, text)
-    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(f"{mark}2")), "left_semi")
-    same = Window.partitionBy(id_col, mark).orderBy(mark)
+    first = durable(first.select(F.col("best.id").alias("id"), F.col("best.mark").alias(mark)).select(identity("id").alias(key), mark))
+    # Join and row number use the same two columns, so the texts are shuffled once.
+    kept = docs.withColumns({key: identity(id_col), mark: text}).join(first, [key, mark], "left_semi")
+    same = Window.partitionBy(key, mark).orderBy(mark)
     return kept.withColumn(number, F.row_number().over(same)).where(F.col(number) == 1).select(*columns_of(docs))
