@@ -8,7 +8,7 @@ smaller lengths. Equal lines are one class from the start, so copies cost nothin
 Null texts have no lines. A line of any length is compared whole.
 
 Texts are not shuffled: lines travel as digests, and only lines of candidate pairs are fetched. Where a set decides which lines to look at, it is
-broadcast as numbers of hash buckets, so it has at most `HOT_BUCKETS` or `FETCH_BUCKETS` rows whatever the data; the exact decision follows.
+broadcast as numbers of hash buckets, so it has at most a million rows whatever the data; the exact decision follows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ COUNTED = "etaoinshrdlu "
 #: Of these, the characters whose counts travel with segments that very many lines share.
 PACKED = COUNTED[:8]
 #: Lines with more copies than this are brought together before they are cut up; buckets of the two broadcast sets.
-COPIES, HOT_BUCKETS, FETCH_BUCKETS = 64, 1 << 16, 1 << 20
+COPIES, HOT_BUCKETS, FETCH_BUCKETS = 2, 1 << 20, 1 << 20
 #: A segment of more lines than this is shared by many; numbers of key buckets.
 SHARED, KEY_BUCKETS = 16, 1 << 20
 
