@@ -13,7 +13,7 @@ from daybook.llm import decontaminate, language, mixing, sharding, simhash
 from daybook.llm.batches import columns_of, fresh
 from daybook.runtime import scratch
 
-#: Least score of a predicted language; a document below it is in none of the languages learned.
+#: Least score of a predicted language. Far texts score near 0.5 whatever they hold; `language.KnownTrigrams` rejects those.
 LEAST_SCORE = 0.3
 
 
@@ -22,9 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.fit(docs)
     if not model.labels:
         return docs
-    predict, name = language.scorer(spark, model), fresh(docs.columns, "_language")
-    rows = docs.withColumn(name, predict(F.col("text")))
-    kept = rows.where((F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE))
+    judge, name = language.judge(spark, model), fresh(docs.columns, "_language")
+    rows = docs.withColumn(name, judge(F.col("text")))
+    kept = rows.where(F.col(f"{name}.learned") & (F.col(f"{name}.score") >= LEAST_SCORE))
     return kept.select(*columns_of(docs))
 
 

@@ -62,3 +62,48 @@ def test_held_out_accuracy(spark):
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = L.identify(table, L.fit(table)).join(table.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+FOREIGN = {
+    "Turkish": "Türkiye'nin en kalabalık şehri olan İstanbul, tarih boyunca birçok medeniyete ev sahipliği yapmıştır ve bugün de önemli bir merkezdir.",
+    "Finnish": "Suomen kieli kuuluu uralilaisiin kieliin ja sitä puhuu äidinkielenään noin viisi miljoonaa ihmistä, joista suurin osa asuu Suomessa.",
+    "Dutch": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+    "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "Greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "Korean": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다.",
+    "Chinese": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "keys": "asdf jkl qwer uiop zxcv lkjh asdfg poiu mnbv qwe rty asd fgh jkl zxc vbn",
+    "noise": "kqzv wxptm rbdfj hqxz vvkpt zzgw nqjx bwqk xjhv pzqm ktgx wqvb jzzx",
+    "short": "xq zzkp",
+    "digests": "b64b244acde2e3b0 7f1e99ac",
+}
+
+
+def test_unlearned_languages_and_noise_are_not_learned(spark):
+    import corpus_pipeline as C
+
+    foreign = [(5000 + i, x, None, "s", 0) for i, x in enumerate(["ефг ефф ггф", "zqx xqz qqzx zxq", "人人生而自由", "b64b 7f1e"])]
+    both = (6000, " ".join(["aba bab abba baba"] * 40 + ["cdc dcd cddc dcdc"] * 40), None, "s", 0)
+    kept = {r.doc_id for r in C.language_stage(spark, docs(spark, labelled() + foreign + [both]), "").collect()}
+    assert kept == {r[0] for r in labelled()} | {6000}
+
+
+def test_language_with_few_samples_is_not_rejected(spark):
+    import corpus_pipeline as C
+
+    few = [(7001, "ефг ефф ггф", "z", "s", 0), (7003, "ефг фге егг", "z", "s", 0), (7004, "ггф ефг гге", None, "s", 0)]
+    kept = {r.doc_id for r in C.language_stage(spark, docs(spark, labelled() + few), "").collect()}
+    assert kept == {r[0] for r in labelled() + few}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="given tables are absent")
+def test_given_languages_stay_and_planted_ones_go(spark):
+    import corpus_pipeline as C
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = [(10**9 + i, x, None, "s", 0) for i, x in enumerate(FOREIGN.values())]
+    more = docs(spark, planted, extra=False).select(*table.columns)
+    kept = {r.doc_id for r in C.language_stage(spark, table.unionByName(more), "").select("doc_id").collect()}
+    assert not kept & {r[0] for r in planted}
+    spoken = table.where("text rlike '[a-z]{3}'").count()
+    assert len(kept) >= 0.995 * spoken
