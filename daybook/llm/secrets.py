@@ -153,11 +153,29 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, _, kind in spans)
 
 
+def _without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text with a space in place of each range; ranges may overlap."""
+    kept, at = [], 0
+    for start, end in sorted(ranges):
+        if end > at:
+            kept += [text[at : max(at, start)], " "]
+            at = end
+    return "".join(kept) + text[at:]
+
+
+def _reads_as_text(value: str, head: str) -> bool:
+    """An ordinary word or hyphenated words behind a colon or "is", as in `login: testing`; an equals sign or a quote makes a value."""
+    plain = re.sub(r"[-_/.’]", "", value)
+    ordinary = plain.isalpha() and (plain.islower() or plain.isupper() or plain == plain.capitalize())
+    return ordinary and "=" not in head and head[-1] not in "\"'"
+
+
 def scan(text: str | None, strong: float) -> tuple:
     """Base counts and digest, all spans, and the guess costs of credential values.
 
-    A value behind a further credential word becomes a `guess` span if guessing it takes more than 10**strong tries, or if
-    it consists of nothing but password material (words, dates, walks, repeats), unless a base span covers it.
+    A value behind a further credential word becomes a `guess` span if guessing it takes 10**strong tries or more, or if it holds
+    password material: dates, walks or repeats, with or without words; or any of these and words beside brute-force spans, unless it reads like
+    running text (`_reads_as_text`). A base span that covers it comes first. The text's own words are those that occur outside all values.
     """
     text = text or ""
     lower = text.lower()
@@ -166,7 +184,8 @@ def scan(text: str | None, strong: float) -> tuple:
     extra, costs = [], []
     context = list(CONTEXT.finditer(text)) if any(w in lower for w in CONTEXT_WORDS) else []
     if base or context:
-        words = Counter(re.findall(r"[^\W\d_]{3,24}", text.lower()))
+        values = [(end - len(value), end) for _, _, end, value, _ in base] + [m.span(1) for m in context]
+        words = Counter(re.findall(r"[^\W\d_]{3,24}", _without(text, values).lower()))
         ranked = sorted(words.items(), key=lambda x: (-x[1], x[0]))
         own = {w: i + len(COMMON) + 1 for i, (w, _) in enumerate(ranked)}
         costs = [guess_cost(value, own)[0] for _, _, _, value, kind in base if kind == "assign"]
@@ -177,7 +196,8 @@ def scan(text: str | None, strong: float) -> tuple:
                 continue
             cost, kinds = guess_cost(value, own)
             parts = set(kinds.split("+"))
-            if cost >= strong or len(parts | {"word"}) > 1 and "brute" not in parts:
+            mixed = len(parts) > 1 and not _reads_as_text(value, text[m.start() : m.start(1)])
+            if cost >= strong or (mixed if "brute" in parts else len(parts | {"word"}) > 1):
                 extra.append((start, 3, end, value, "guess"))
                 costs.append(cost)
     spans = sorted(base + extra, key=lambda x: x[:2])

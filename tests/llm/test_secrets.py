@@ -83,3 +83,25 @@ def test_guess_cost_orders_secrets():
 def test_awkward_rows(spark):
     assert S.find_secrets(docs(spark)).count() == len(rows())
     assert S.find_secrets(docs(spark, [])).count() == 0
+
+
+def guesses(text):
+    return {text[int(a) : int(b)] for k, a, b in (x.split(":") for x in S.scan(text, 10.0)[4].split(",") if x) if k == "guess"}
+
+
+def test_a_value_is_no_word_of_its_own_text():
+    for value in ("kqzvxwptmrbd", "aGhTyRwQzPk12", "KqzvXwptMrbd"):
+        for head in ("pwd=", "auth: ", "login: "):
+            text = f"Some words here. {head}{value} and more, {head}{value} once more"
+            assert guesses(text) == {value}
+            assert S.scan(text, 10.0)[6] >= 10 and S.scan(text, 10.0)[8] == 0
+    # A value of the base pattern is no word either; a word that stands elsewhere too is one.
+    assert S.scan("password=kqzvxwptmrbd", 10.0)[6:] == (round(12 * S.math.log10(26), 6),) * 2 + (0,)
+    assert S.scan("the riverbank, password=riverbank", 10.0)[8] == 1
+    assert not guesses("the passengers wait. login: passengers")
+
+
+def test_password_material_beside_short_brute_spans():
+    text = "pwd=dragonzq pwd: qwerty2019x login: Summer7! pin: 1987kq"
+    assert guesses(text) == {"dragonzq", "qwerty2019x", "Summer7", "1987kq"}
+    assert not guesses("login: testing, pin is passes and auth: well-tested; the well")
