@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.batches import columns_of, fresh, identity
@@ -56,11 +56,18 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return found.select("source", "source_size", "weight", F.coalesce(open_share, F.col("limit")).alias("target"))
 
 
+def _point(slot: Column) -> Column:
+    """The golden-ratio point of a slot, in two parts so that large numbers of slots are not rounded."""
+    low = 20
+    return (F.shiftright(slot, low) * F.lit(GOLDEN * (1 << low) % 1.0) + slot.bitwiseAND(F.lit((1 << low) - 1)) * F.lit(GOLDEN)) % 1.0
+
+
 def schedule(spark: SparkSession, goal: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Slots in order: slot, source, turn (from 0 within the source), words that the turn takes.
 
     `goal` has one row per source, `target` words and its shares. Golden-ratio points run until every source has had its turns
-    (points that fall to a source beyond its last turn are passed over). Turns are counted per chunk of slots and offset by chunk totals.
+    (points that fall to a source beyond its last turn are passed over). Sources that the first points leave short, small ones beside large
+    ones, go on with the points behind them. Turns are counted per chunk of slots and offset by chunk totals.
     """
     wanted = F.round("target").cast("long")
     shares = goal.where(F.round("target") > 0).select("source", wanted.alias("words"), F.ceil(wanted / block).alias("turns"))
@@ -70,15 +77,24 @@ def schedule(spark: SparkSession, goal: DataFrame, block: int = BLOCK, chunk: in
     if not total:
         return spark.createDataFrame([], "slot long, source string, turn long, words long")
     shares = durable(shares.select("source", "words", "turns", (F.col("high") / total).alias("to"), ((F.col("high") - F.col("turns")) / total).alias("from")))
-    # A source's share of the points errs by a slowly growing number of turns; the spare points cover it.
+    # A source's share of the points errs by a slowly growing number of turns; the spare points cover it for most sources.
     spare = shares.count() * (8 + 4 * int(math.log2(total + 1)))
-    tasks = max(1, (total + spare) // (16 * chunk))
-    slots = spark.range(0, total + spare, 1, int(tasks)).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % 1.0).alias("point"))
     # Points meet shares in cells of the unit interval, so no point is compared with all sources.
     cells = F.sequence(F.floor(F.col("from") * CELLS), F.floor(F.col("to") * CELLS))
-    given = slots.withColumn("cell", F.floor(F.col("point") * CELLS)).join(shares.withColumn("cell", F.explode(cells)), "cell")
-    given = given.where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))
-    given = given.withColumn("chunk", F.floor(F.col("slot") / chunk)).drop("point", "from", "to", "cell")
+
+    def points(start: int, end: int, sources: DataFrame) -> DataFrame:
+        slots = spark.range(start, end, 1, max(1, (end - start) // (16 * chunk))).select(F.col("id").alias("slot"), _point(F.col("id")).alias("point"))
+        given = slots.withColumn("cell", F.floor(F.col("point") * CELLS)).join(sources.withColumn("cell", F.explode(cells)), "cell")
+        return given.where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to"))).drop("point", "from", "to", "cell")
+
+    given = durable(points(0, total + spare, shares))
+    had = given.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("had"))
+    short = shares.join(had, F.col("source").eqNullSafe(F.col("_s")), "left").where(F.coalesce("had", F.lit(0)) < F.col("turns")).drop("_s", "had")
+    short = durable(short)
+    if short.head(1):
+        # Of any 1.9 / x golden-ratio points in a row, at least one falls into any interval of length x; a turn is an interval of 1 / total.
+        given = given.unionByName(points(total + spare, 3 * total + spare + 8, short))
+    given = given.withColumn("chunk", F.floor(F.col("slot") / chunk))
     ranked = running(durable(given), ["source"], "chunk", [F.col("slot")], F.lit(1), "turn").where(F.col("turn") < F.col("turns"))
     return ranked.select("slot", "source", "turn", F.least(F.lit(block), F.col("words") - F.col("turn") * block).alias("words"))
 

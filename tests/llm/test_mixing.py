@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from daybook.llm import mixing as M
 from tests.llm.cases import docs, rows, same_as_sql, values
 
@@ -58,6 +60,13 @@ def test_schedule_is_even(spark):
         assert all(abs(share[s] - cut * w / 6) <= 6 for s, w in (("a", 3), ("b", 1), (None, 2)))
 
 
+def test_small_sources_beside_a_hot_one_have_all_turns(spark):
+    small = {**{f"s{i:02}": 1.0 for i in range(40)}, "t2": 2.0, "t5": 5.0, "t10": 10.0, None: 3.0}
+    goal = spark.createDataFrame([("hot", 1e6), *small.items()], "source string, target double")
+    got = M.schedule(spark, goal, block=1).groupBy("source").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.sum("words").alias("words"))
+    assert {r.source: (r.n, r.last, r.words) for r in got.collect()} == {s: (n, n - 1, n) for s, n in [("hot", 10**6), *small.items()]}
+
+
 def test_awkward_rows(spark):
     assert M.mix(docs(spark, [])).count() == 0
     none = M.mix(docs(spark, [(1, None, None, None, 0), (2, "", None, "a", 0)])).collect()
