@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import decontaminate, fertility, language, linejoin, mixing, pages, secrets, sharding, simhash, spans
+from daybook.llm import decontaminate, fertility, language, linejoin, mixing, pages, secrets, sharding, simhash, spans, spelling, whitening
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,11 +54,20 @@ def op10_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataF
     return decontaminate.check_documents(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fertility_rule, op2_string_kernel_language, op3_line_edit_join, op4_guess_cost_secrets, op5_low_discrepancy_mix,
         op6_simhash_near_dedup, op7_rendezvous_shards, op8_page_text, op9_sentence_span_dedup, op10_suffix_array_decontamination,
+        op11_spelling_variants, op12_embedding_whitening,
     )
 }
 
@@ -67,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op5_low_discrepancy_mix": mixing.ORACLE.strip(),
     "op7_rendezvous_shards": sharding.ORACLE.strip(),
     "op10_suffix_array_decontamination": decontaminate.ORACLE.strip(),
+    "op11_spelling_variants": spelling.ORACLE.strip(),
 }
