@@ -37,7 +37,7 @@ LEAST_LENGTH, LEAST_COUNT, DROP = 5, 3, 97
 #: A word's form is at least so many times as frequent.
 RATIO = 2
 #: Words of one list that a query scans; distinct words that a task counts before it sends them on.
-LIST, HELD = 512, 200_000
+LIST, HELD = 128, 200_000
 LAST = "\U0010ffff"
 
 
@@ -205,7 +205,9 @@ def dealt(words: DataFrame, most: int = LIST) -> DataFrame:
 
 def near_counts(words: DataFrame, most: int = LIST) -> DataFrame:
     """(word, n_near, form_n, form): how many words are one edit away, and the most frequent of them (ties: the first in code-point order)."""
-    lists = dealt(words, most).groupBy("length", "low", "high", "key").agg(F.collect_list(F.struct("word", "n")).alias("list")).where(F.size("list") > 1)
+    # Lists are short in bytes and long in work: a number of tasks that Spark does not cut down to a few.
+    parts, lists = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["length", "low", "high", "key"]
+    lists = dealt(words, most).repartition(parts, *lists).groupBy(*lists).agg(F.collect_list(F.struct("word", "n")).alias("list")).where(F.size("list") > 1)
     found = lists.select("length", "low", "high", "list").mapInArrow(_scanned, "word string, near long, m long, form string")
     best = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "form")).alias("best"))
     return best.select("word", "n_near", (-F.col("best.m")).alias("form_n"), F.col("best.form").alias("form"))
