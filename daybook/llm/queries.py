@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import decontaminate, fertility, language, linejoin, mixing, pages, secrets, sharding, simhash, spans, spelling, whitening
+from daybook.llm import decontaminate, fertility, language, linejoin, minmax, mixing, pages, secrets, sharding, simhash, spans, spelling, whitening
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,12 +62,16 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op13_minmax_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.near_duplicates(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fertility_rule, op2_string_kernel_language, op3_line_edit_join, op4_guess_cost_secrets, op5_low_discrepancy_mix,
         op6_simhash_near_dedup, op7_rendezvous_shards, op8_page_text, op9_sentence_span_dedup, op10_suffix_array_decontamination,
-        op11_spelling_variants, op12_embedding_whitening,
+        op11_spelling_variants, op12_embedding_whitening, op13_minmax_near_dedup,
     )
 }
 
