@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.runtime import create_text, durable, exists, names_in, read_text, remove_dirs
+from daybook.runtime import create_text, durable, exists, make_dir, names_in, read_text, remove_dirs
 from daybook.schemas import STORE_TABLES, stored
 
 LOG_SCHEMA = "table string, version long, location string, op string, cutoff timestamp, committed_at timestamp"
@@ -73,6 +73,14 @@ class ArchiveStore:
     def _fresh(self, table: str) -> str:
         return f"{self.root}/{table}/{uuid.uuid4().hex}"
 
+    def location(self, table: str) -> str:
+        """The folder of a table's present version; a table without one gets an empty one."""
+        head = self.head(table)
+        if head is None:
+            head = self._commit(table, self._fresh(table), "create")
+            make_dir(self.spark, head.location)
+        return head.location
+
     # -- reads -----------------------------------------------------------------------------
 
     def read(self, table: str, without_batch: int | None = None) -> DataFrame:

@@ -45,6 +45,41 @@ def _stateful(df: DataFrame, keys: list[str], fn, state: str, out: T.StructType
     )
 
 
+def gate_rows(rows: pd.DataFrame, before: tuple, pause_on_suspend: bool, pause_when_locked: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Judge a session's rows, in order, by its suspend and lock flags: (passed captures, captures that came too late, flags after).
+
+    `before` and the flags after are (suspended, since, locked, since) in microseconds. `_side` is 0 for a state, 1 for a capture.
+    """
+    t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+    side, kind = rows["_side"].to_numpy(), rows["_kind"].to_numpy()
+    active = rows["_active"].astype(object).where(rows["_active"].notna(), False).to_numpy().astype(bool)
+    flags, after = [], []
+    for name, old, since in zip(("suspend", "lock"), before[::2], before[1::2]):
+        # Position of the newest state of this kind at each row; 0 stands for the state kept from before.
+        at = np.maximum.accumulate(np.where((side == 0) & (kind == name) & (t >= since), np.arange(1, len(rows) + 1), 0))
+        flags.append(np.concatenate([[bool(old)], active])[at])
+        after += [bool(flags[-1][-1]), int(np.concatenate([[since], t])[at[-1]])]
+    late = (side == 1) & (t < max(before[1], before[3]))
+    open_ = (side == 1) & ~late & ~(flags[0] & pause_on_suspend) & ~(flags[1] & pause_when_locked)
+    return open_, late, tuple(after)
+
+
+def changed_rows(seconds: np.ndarray, hashes: list, last: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+    """Judge a window's captures, in order: (kept, too late, (hash, second) after).
+
+    The first capture of each second counts, and is kept if its frame differs from the one before.
+    """
+    last_hash, last_second = last if last is not None else (object(), NEVER)
+    late = seconds < last_second
+    kept = np.zeros(len(seconds), bool)
+    after = last
+    for i in np.nonzero(~late)[0].tolist():
+        if seconds[i] > last_second:
+            kept[i] = hashes[i] != last_hash
+            last_hash, last_second = after = (hashes[i], int(seconds[i]))
+    return kept, late, after
+
+
 def drop_unchanged_stream(captures: DataFrame) -> DataFrame:
     """First capture per window and second, then drop frames equal to the window's last one.
 
@@ -56,19 +91,12 @@ def drop_unchanged_stream(captures: DataFrame) -> DataFrame:
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(chunks, ["ts", "seq"])
         second = rows["ts"].to_numpy().astype("datetime64[s]").astype("int64")
-        last_hash, last_second = state.get if state.exists else (None, NEVER)
-        late = second < last_second
-        fresh = rows[~late].assign(_s=second[~late])
-        fresh = fresh[fresh["_s"] > last_second].drop_duplicates("_s")
-        if len(fresh):
-            hashes = fresh["frame_hash"].astype(object).where(fresh["frame_hash"].notna(), None)
-            before = [last_hash if last_second != NEVER else object(), *hashes.iloc[:-1]]
-            changed = [h != b for h, b in zip(hashes, before)]
-            state.update((hashes.iloc[-1], int(fresh["_s"].iloc[-1])))
-            fresh = fresh[changed]
-        for part, is_late in ((fresh, False), (rows[late], True)):
-            if len(part):
-                yield part.assign(late=is_late)[out.fieldNames()]
+        hashes = rows["frame_hash"].astype(object).where(rows["frame_hash"].notna(), None).tolist()
+        kept, late, after = changed_rows(second, hashes, tuple(state.get) if state.exists else None)
+        if after is not None:
+            state.update(after)
+        if (kept | late).any():
+            yield rows[kept | late].assign(late=late[kept | late])[out.fieldNames()]
 
     return _stateful(captures, ["window_id"], step, "last_hash string, last_second long", out)
 
@@ -95,18 +123,8 @@ def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, p
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _ordered(chunks, ["ts", "_side", "seq"])
         before = state.get if state.exists else (False, NEVER, False, NEVER)
-        t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        side, kind = rows["_side"].to_numpy(), rows["_kind"].to_numpy()
-        active = rows["_active"].fillna(False).to_numpy().astype(bool)
-        flags, after = [], []
-        for name, old, since in zip(("suspend", "lock"), before[::2], before[1::2]):
-            # Position of the newest state of this kind at each row; 0 stands for the state kept from before.
-            at = np.maximum.accumulate(np.where((side == 0) & (kind == name) & (t >= since), np.arange(1, len(rows) + 1), 0))
-            flags.append(np.concatenate([[bool(old)], active])[at])
-            after += [bool(flags[-1][-1]), int(np.concatenate([[since], t])[at[-1]])]
-        late = (side == 1) & (t < max(before[1], before[3]))
-        open_ = (side == 1) & ~late & ~(flags[0] & pause_on_suspend) & ~(flags[1] & pause_when_locked)
-        state.update(tuple(after))
+        open_, late, after = gate_rows(rows, before, pause_on_suspend, pause_when_locked)
+        state.update(after)
         if (open_ | late).any():
             yield rows.loc[open_ | late, ["_row"]].assign(late=late[open_ | late])
 
@@ -147,7 +165,7 @@ def ingest(df: DataFrame, path: str, checkpoint: str, every: str | None = None)
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def capture_stream(
+def frame_streams(
     captures: DataFrame,
     states: DataFrame,
     root: str,
@@ -156,7 +174,7 @@ def capture_stream(
     files_per_trigger: int = 1000,
     **gates: bool,
 ) -> list[DataStreamWriter]:
-    """The ingest pipeline as two streams, to be started in this order.
+    """Frames kept by the ingest pipeline, as two streams to be started in this order; `ingest.capture_stream` goes on to texts in one.
 
     The first applies the gates and drops missing windows and excluded titles; the second reads
     what it wrote to `root/gated`, drops unchanged frames and writes `root/kept`. Both keep

@@ -131,11 +131,11 @@ def test_a_micro_batch_repeated_after_another_writer_changes_nothing(spark, fold
     assert values(load_vector_index(store), "id", "path") == before == [(0, "a"), (1, "b"), (2, "c")]
 
 
-def test_capture_stream_equals_the_batch_chain(spark, folder):
+def test_frame_streams_equal_the_batch_chain(spark, folder):
     caps, signals = sample(11)
     cap, sig = captures(spark, caps), states(spark, signals)
     sources = arriving(spark, cap, f"{folder}/c", [80]), arriving(spark, sig, f"{folder}/s", [80])
-    for stream in ST.capture_stream(*sources, folder, ["nothing"]):
+    for stream in ST.frame_streams(*sources, folder, ["nothing"]):
         stream.start().awaitTermination()
     want = C.drop_unchanged(C.exclude_titles(C.with_window(S.gate_paused(cap, sig)), ["nothing"]))
     assert values(spark.read.parquet(f"{folder}/kept").filter("NOT late"), "seq") == values(want, "seq")
