@@ -65,7 +65,12 @@ def feedback_terms(
     )
     seen = durable(seen.join(query_terms(queries).select("query_id", "term"), ["query_id", "term"], "left_anti"))
     df = postings_match(postings.select("term", "path"), seen).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (corpus - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return heaviest(seen, df, corpus, n_terms)
+
+
+def heaviest(seen: DataFrame, df: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+    """(query_id, term, weight): the best words of `seen` (query_id, term, _w) by weight times idf; `df` has (term, df)."""
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = seen.join(df, "term").select("query_id", "term", F.round(F.col("_w") * idf, 6).alias("weight"))
     best = Window.partitionBy("query_id").orderBy(F.col("weight").desc(), "term")
     return weighted.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= n_terms).drop("_n")
@@ -78,11 +83,11 @@ def refine_queries(
 
     The result has one row per query and is checkpointed, so later steps never repeat the search.
     """
-    extra = (
-        feedback_terms(postings, stats, queries, n_docs, n_terms)
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("_t"))
-    )
+    return durable(with_added(queries, feedback_terms(postings, stats, queries, n_docs, n_terms)))
+
+
+def with_added(queries: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Queries with the words of `weighted` (query_id, term, weight) appended, heaviest first."""
+    extra = weighted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("_t"))
     added = F.concat_ws(" ", F.col("text"), F.array_join(F.transform("_t", lambda x: x["term"]), " "))
-    refined = queries.join(extra, "query_id", "left").select("query_id", F.coalesce(added, "text").alias("text"))
-    return durable(refined)
+    return queries.join(extra, "query_id", "left").select("query_id", F.coalesce(added, "text").alias("text"))

@@ -55,6 +55,46 @@ DOC_STATS = T.StructType([
     T.StructField("indexed_at", T.TimestampType()),
 ])
 
+FORWARD = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("mtime", T.TimestampType()),
+    T.StructField("len", T.LongType()),
+    T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))),
+])
+
+BLOCKS = T.StructType([
+    T.StructField("term", T.StringType()),
+    T.StructField("block", T.LongType()),
+    T.StructField("level", T.IntegerType()),
+    T.StructField("max_tf", T.LongType()),
+    T.StructField("min_len", T.LongType()),
+    T.StructField("entries", T.ArrayType(T.StructType([
+        T.StructField("hash", T.LongType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("tf", T.LongType()),
+        T.StructField("len", T.LongType()),
+    ]))),
+])
+
+TERM_COUNTS = T.StructType([
+    T.StructField("term", T.StringType()),
+    T.StructField("added", T.LongType()),
+    T.StructField("gone", T.LongType()),
+    T.StructField("level", T.IntegerType()),
+])
+
+CORPUS = T.StructType([
+    T.StructField("n_docs", T.LongType()),
+    T.StructField("n_texts", T.LongType()),
+    T.StructField("total_len", T.LongType()),
+])
+
+DEAD = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("dead_batch", T.LongType()),
+    T.StructField("len", T.LongType()),
+])
+
 SKIPPED = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("reason", T.StringType()),
@@ -109,6 +149,11 @@ STORE_TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "vectors": (VECTORS, []),
     "postings": (POSTINGS, ["bucket"]),
     "doc_stats": (DOC_STATS, []),
+    "forward": (FORWARD, ["shelf"]),
+    "blocks": (BLOCKS, ["bucket"]),
+    "term_counts": (TERM_COUNTS, ["bucket"]),
+    "corpus": (CORPUS, []),
+    "dead": (DEAD, []),
     "skipped": (SKIPPED, []),
     "dead_letters": (DEAD_LETTERS, []),
     "cycles": (CYCLES, []),
@@ -119,5 +164,5 @@ def stored(table: str) -> T.StructType:
     """Row shape of a store table including its directory columns."""
     schema, levels = STORE_TABLES[table]
     fields = list(schema.fields) + [T.StructField("batch", T.LongType())]
-    kinds = {"day": T.DateType(), "bucket": T.IntegerType()}
+    kinds = {"day": T.DateType(), "bucket": T.IntegerType(), "shelf": T.IntegerType()}
     return T.StructType(fields + [T.StructField(c, kinds[c]) for c in levels])
