@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
+from daybook.operators.backlog import assign_ids
+from daybook.operators.embed import default_encoder
 from daybook.operators.postings import build_postings, doc_lengths
-from daybook.runtime import durable, widen
+from daybook.operators.ranked import build_ranked_index
+from daybook.plans.cycle import append_vectors
+from daybook.runtime import durable, scratch, widen
+from daybook.sources.store import ArchiveStore
 
 # First capture instant (2024-01-01 UTC), the "now" of age rules, encoder size.
 BASE = 1704067200
@@ -89,6 +94,20 @@ def text_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return durable(build_postings(d, positions=False)), durable(doc_lengths(d))
 
 
+_ARCHIVES: dict[tuple[str, str], ArchiveStore] = {}
+
+
+def archive(spark: SparkSession, sf: str) -> ArchiveStore:
+    """The kept index over all documents, keywords and vectors, filled once per application and folder; searches read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ARCHIVES:
+        store, d = ArchiveStore(spark, scratch(spark, "archive")), docs(spark, sf)
+        build_ranked_index(store, d)
+        append_vectors(store, assign_ids(d.select("path", "text")), default_encoder(DIM), 0)
+        _ARCHIVES[key] = store
+    return _ARCHIVES[key]
+
+
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 TEXT_INDEX = DOCS + f""", words AS (SELECT path, unnest({WORDS_SQL}) AS term FROM docs),

@@ -11,6 +11,7 @@ from daybook.operators import neighbours as N
 from daybook.operators.backlog import assign_ids
 from daybook.operators import refine as RF
 from daybook.operators.embed import default_encoder, embed_texts
+from daybook.operators.ranked import refine_from_store
 from daybook.plans import search as S
 
 ENCODER = default_encoder(X.DIM)
@@ -109,15 +110,21 @@ def _doc_vectors(spark, sf):
     SELECT query_id, rank, 'semantic' AS source, path, text AS content, NULL::DOUBLE AS score, distance FROM semantic JOIN docs USING (path)""",
 )
 def _(spark, sf):
-    return S.semantic_search(X.docs(spark, sf), _doc_vectors(spark, sf), X.queries(spark, sf), ENCODER, 5)
+    return S.semantic_search(X.docs(spark, sf), X.archive(spark, sf).read("vectors"), X.queries(spark, sf), ENCODER, 5)
 
 
 def hybrid(spark, sf, backends=S.BACKENDS, refine=True):
-    d = X.docs(spark, sf)
-    q = X.queries(spark, sf)
-    postings, stats = X.text_index(spark, sf) if S.KEYWORD in backends else (None, None)
-    refined = RF.refine_queries(postings, stats, q) if refine else None
-    return S.hybrid_search(d, postings, stats, _doc_vectors(spark, sf), q, ENCODER, refined, backends=backends)
+    """Search over the kept archive."""
+    store, q = X.archive(spark, sf), X.queries(spark, sf)
+    refined = refine_from_store(store, q) if refine else None
+    return S.archive_search(store, X.docs(spark, sf), q, ENCODER, refined, backends=backends)
+
+
+def hybrid_scan(spark, sf):
+    """The same with postings and vectors made for this search."""
+    d, q = X.docs(spark, sf), X.queries(spark, sf)
+    postings, stats = X.text_index(spark, sf)
+    return S.hybrid_search(d, postings, stats, _doc_vectors(spark, sf), q, ENCODER, RF.refine_queries(postings, stats, q))
 
 
 # Required words of the original text, score from original and added words.
@@ -137,6 +144,11 @@ def _(spark, sf):
     return hybrid(spark, sf)
 
 
+@register("hybrid_search_scan", HYBRID)
+def _(spark, sf):
+    return hybrid_scan(spark, sf)
+
+
 @register(
     "hybrid_union",
     f"""WITH {ALL_PAIRS}, k AS (SELECT vec_id AS query_id, 1 AS rank, label::VARCHAR AS path FROM embeddings)

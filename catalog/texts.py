@@ -9,6 +9,7 @@ from catalog.registry import register
 from daybook.functions.text import is_non_blank
 from daybook.operators import keyword as KW
 from daybook.operators import postings as P
+from daybook.operators import ranked as RK
 from daybook.operators import refine as RF
 from daybook.operators.extract import extract_html
 from daybook.runtime import durable, scratch
@@ -47,9 +48,9 @@ MODES_SQL = {
     "phrase": rf"""spaced AS MATERIALIZED (SELECT path, ' ' || array_to_string({X.WORDS_SQL}, ' ') || ' ' AS line FROM docs)
     SELECT query_id, path FROM queries JOIN spaced ON contains(line, ' ' || queries.text || ' ')""",
     "none": rf"""anyof AS (SELECT DISTINCT query_id, path FROM terms JOIN postings USING (term)),
-    barred AS (SELECT item_id AS query_id, list_max({X.WORDS_SQL}) AS term FROM benchmark)
-    SELECT a.query_id, a.path FROM anyof a WHERE NOT EXISTS
-      (SELECT 1 FROM barred f JOIN postings p USING (term) WHERE f.query_id = a.query_id AND p.path = a.path)""",
+    barred AS (SELECT item_id AS query_id, list_max({X.WORDS_SQL}) AS term FROM benchmark),
+    held AS MATERIALIZED (SELECT DISTINCT query_id, path FROM barred JOIN postings USING (term))
+    SELECT a.query_id, a.path FROM anyof a LEFT JOIN held h ON h.query_id = a.query_id AND h.path = a.path WHERE h.path IS NULL""",
 }
 PARTS = SEARCH.replace("postings AS (", "postings AS MATERIALIZED (").replace("terms AS (", "terms AS MATERIALIZED (", 1)
 
@@ -101,8 +102,17 @@ scores AS (SELECT query_id, path, round(sum({X.BM25_PART}), 6) AS score FROM mat
 ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path))::INTEGER AS rank, path, score FROM scores)"""
 
 
-@register("keyword_search", f"{SEARCH}, {RANKED} SELECT * FROM ranked WHERE rank <= 10")
+RANKED_SQL = f"{SEARCH}, {RANKED} SELECT * FROM ranked WHERE rank <= 10"
+
+
+@register("keyword_search", RANKED_SQL)
+def _(spark, sf):
+    return RK.ranked_search(X.archive(spark, sf), X.queries(spark, sf), 10)
+
+
+@register("keyword_search_scan", RANKED_SQL)
 def _(spark, sf):
+    """The same over plain postings, built for this search."""
     d = X.docs(spark, sf)
     stats = durable(P.doc_lengths(d))
     hits = KW.keyword_search(P.build_postings(d, positions=False), stats, X.queries(spark, sf), 10)
@@ -118,8 +128,17 @@ extra AS (SELECT query_id, string_agg(term, ' ' ORDER BY weight DESC, term) AS w
 REFINED = "refined AS (SELECT query_id, CASE WHEN words IS NULL THEN text ELSE text || ' ' || words END AS text FROM queries LEFT JOIN extra USING (query_id))"
 
 
-@register("refine_queries", f"{SEARCH}, {FEEDBACK}, {REFINED} SELECT query_id, text FROM refined")
+REFINED_SQL = f"{SEARCH}, {FEEDBACK}, {REFINED} SELECT query_id, text FROM refined"
+
+
+@register("refine_queries", REFINED_SQL)
 def _(spark, sf):
+    return RK.refine_from_store(X.archive(spark, sf), X.queries(spark, sf))
+
+
+@register("refine_queries_scan", REFINED_SQL)
+def _(spark, sf):
+    """The same over plain postings, built for this search."""
     return RF.refine_queries(*X.text_index(spark, sf), X.queries(spark, sf))
 
 
@@ -171,6 +190,26 @@ def _(spark, sf):
     return _flat(P.live_postings(store))
 
 
+@register(
+    "update_ranked_index",
+    f"""WITH {X.DOCS}, {FINAL}, final_words AS (SELECT path, unnest({X.WORDS_SQL}) AS term FROM final)
+    SELECT term, count(DISTINCT path) AS df FROM final_words GROUP BY term""",
+)
+def _(spark, sf):
+    """Document frequencies of the kept index after a second round that changes and removes documents."""
+    store = ArchiveStore(spark, scratch(spark, "ranked"))
+    d = X.docs(spark, sf)
+    RK.build_ranked_index(store, d.filter("doc_id % 6 <> 0"))
+    changed = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 6 != 0)
+    later = (
+        d.filter("doc_id % 7 <> 0")
+        .withColumn("text", F.when(changed, F.concat("text", F.lit(" revised edition"))).otherwise(F.col("text")))
+        .withColumn("mtime", F.when(changed, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime")))
+    )
+    RK.update_ranked_index(store, later, 1)
+    return RK.document_frequencies(store, store.read("term_counts"), list(range(P.BUCKETS)))
+
+
 @register("update_keyword_index", f"WITH {X.DOCS}, {FINAL}, {FINAL_POSTINGS}")
 def _(spark, sf):
     store = ArchiveStore(spark, scratch(spark, "keyword"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from daybook.operators.embed import Encoder, embed_texts
 from daybook.operators.keyword import keyword_search
 from daybook.operators.neighbours import knn_join
+from daybook.operators.ranked import ranked_search
 from daybook.runtime import fits, small
 from daybook.schemas import HITS
+from daybook.sources.store import ArchiveStore
 
 KEYWORD, SEMANTIC = "keyword", "semantic"
 BACKENDS = (KEYWORD, SEMANTIC)
@@ -95,3 +97,27 @@ def hybrid_search(
     if SEMANTIC in backends:
         semantic = semantic_search(docs, vectors, queries, encoder, k_semantic)
     return hybrid_union(keyword, semantic)
+
+
+def archive_search(
+    store: ArchiveStore,
+    docs: DataFrame,
+    queries: DataFrame,
+    encoder: Encoder,
+    refined: DataFrame | None = None,
+    k_keyword: int = 10,
+    k_semantic: int = 5,
+    expansion_required: bool = False,
+    backends: tuple[str, ...] = BACKENDS,
+) -> DataFrame:
+    """`hybrid_search` over what the store keeps: posting blocks and vectors. Nothing is indexed or embedded but the queries."""
+    keyword = semantic = None
+    if KEYWORD in backends:
+        refined = queries if refined is None else refined
+        required, optional = (refined, None) if expansion_required else (queries, refined)
+        hits = ranked_search(store, required, k_keyword, optional)
+        found = with_content(hits, docs, fits(queries, MAX_HITS // k_keyword))
+        keyword = _hits(found.withColumn("source", F.lit(KEYWORD)))
+    if SEMANTIC in backends:
+        semantic = semantic_search(docs, store.read("vectors"), queries, encoder, k_semantic)
+    return hybrid_union(keyword, semantic)
