@@ -207,7 +207,7 @@ def _(spark, sf):
         .withColumn("mtime", F.when(changed, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime")))
     )
     RK.update_ranked_index(store, later, 1)
-    return RK.document_frequencies(store, store.read("term_counts"), list(range(P.BUCKETS)))
+    return RK.document_frequencies(store, store.read("term_counts").select("term").distinct(), list(range(RK.BUCKETS)))
 
 
 @register("update_keyword_index", f"WITH {X.DOCS}, {FINAL}, {FINAL_POSTINGS}")

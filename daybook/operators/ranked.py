@@ -27,19 +27,25 @@ from pyspark.sql import functions as F
 from daybook.functions.text import tokens
 from daybook.operators.backlog import changed_docs, of_their_days, removed_docs
 from daybook.operators.keyword import B, K1, QUERY_TERM_ROWS, bm25, query_terms
-from daybook.operators.postings import bucket_of
 from daybook.operators.refine import heaviest, with_added
 from daybook.runtime import broadcast_if_small, durable, fits, small
 from daybook.sources.store import ArchiveStore
 
-SHELVES, BLOCK = 64, 128
+#: Folders of a batch. Up to 32, Spark lists them without a job of its own.
+BUCKETS, SHELVES, BLOCK = 32, 32, 128
 #: Blocks per query that are scored before the others are weighed against the result.
 SEEDS = 8
+#: Words that a query is taken to have when rows are counted for a broadcast.
+ASKED = 32
 #: Scores are rounded to six digits before ranking; a block that may reach the last place within that still counts.
 SLACK = 1e-6
 TABLES = ("forward", "blocks", "term_counts", "corpus", "dead")
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def shelf_of(path: Column) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(SHELVES)).cast("int")
 
@@ -131,16 +137,16 @@ class Trace:
     rounds: list[DataFrame] = field(default_factory=list)
 
 
-def document_frequencies(store: ArchiveStore, terms: DataFrame, buckets: list[int]) -> DataFrame:
-    """(term, df) of the terms that any document holds, summed over batches."""
-    wanted = broadcast_if_small(terms.select("term").distinct(), QUERY_TERM_ROWS)
+def document_frequencies(store: ArchiveStore, wanted: DataFrame, buckets: list[int]) -> DataFrame:
+    """(term, df) of the terms that any document holds, summed over batches. `wanted` has the terms, each once."""
     counts = store.read("term_counts").filter(F.col("bucket").isin(buckets)).join(wanted, "term", "left_semi")
     return counts.groupBy("term").agg((F.sum("added") - F.sum("gone")).alias("df")).filter("df > 0")
 
 
-def buckets_of(terms: DataFrame) -> list[int]:
-    """The buckets of some terms: numbers below the fixed number of buckets."""
-    return sorted(r[0] for r in terms.select(bucket_of(F.col("term"))).distinct().collect())
+def buckets_of(terms: DataFrame) -> tuple[list[int], bool]:
+    """The buckets of some terms, numbers below the fixed number of buckets, and whether the terms are few enough to broadcast."""
+    buckets, n = terms.agg(F.collect_set(bucket_of(F.col("term"))), F.count("*")).first()
+    return sorted(buckets), n <= QUERY_TERM_ROWS
 
 
 def corpus_counts(store: ArchiveStore) -> tuple[int, float]:
@@ -161,8 +167,7 @@ def ranked_search(store: ArchiveStore, queries: DataFrame, k: int = 10, optional
         terms = terms.unionByName(extra).groupBy("query_id", "term").agg(F.max("required").alias("required"))
     terms = durable(terms)
     n_docs, avg_len = corpus_counts(store)
-    trace.buckets = buckets_of(terms)
-    bounded = fits(terms, QUERY_TERM_ROWS)
+    trace.buckets, bounded = buckets_of(terms)
     wanted = small(terms.select("term").distinct(), bounded)
     blocks = store.read("blocks").filter(F.col("bucket").isin(trace.buckets))
     heads = durable(blocks.select("term", "batch", "bucket", "block", "level", "max_tf", "min_len").join(wanted, "term", "left_semi"))
@@ -171,32 +176,32 @@ def ranked_search(store: ArchiveStore, queries: DataFrame, k: int = 10, optional
     part = lambda tf, length: bm25(tf, F.col("df"), length, F.lit(n_docs), F.lit(avg_len))
     # Null lengths do not stand in blocks: a document without text has no terms.
     reach = F.max(F.col("max_tf") * (K1 + 1) / (F.col("max_tf") + K1 * (1 - B + B * F.col("min_len") / avg_len)))
-    reaches = durable(heads.groupBy("term").agg(reach.alias("reach")))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    sized = terms.join(document_frequencies(store, terms, trace.buckets), "term", "left").join(reaches, "term", "left")
+    sized = terms.join(document_frequencies(store, wanted, trace.buckets), "term", "left").join(heads.groupBy("term").agg(reach.alias("reach")), "term", "left")
     sized = durable(sized.withColumn("most", F.coalesce(idf * F.col("reach"), F.lit(0.0))))
-    weighed = small(sized.filter("df IS NOT NULL").select("query_id", "term", "required", "df"), bounded)
 
     # The rarest required word leads; a required word that no document holds leaves a query without hits.
-    lead = F.min(F.when(F.col("required") == 1, F.struct("df", "term"))).alias("lead")
+    rare = F.min(F.when(F.col("required") == 1, F.struct("df", "term", "most"))).alias("rare")
     plans = sized.groupBy("query_id").agg(
-        lead, F.sum("required").alias("n_required"), F.sum("most").alias("all"), F.count_if((F.col("required") == 1) & F.col("df").isNull()).alias("absent")
+        rare, F.sum("required").alias("n_required"), F.sum("most").alias("all"), F.count_if((F.col("required") == 1) & F.col("df").isNull()).alias("absent")
     )
-    plans = plans.filter("absent = 0 AND lead IS NOT NULL").select("query_id", F.col("lead.term").alias("term"), F.col("lead.df").alias("df"), "n_required", "all")
-    plans = durable(plans)
-    led = heads.join(small(plans, bounded), "term").join(small(reaches, bounded), "term")
-    rest = F.col("all") - idf * F.col("reach")
+    plans = plans.filter("absent = 0 AND n_required > 0").select(
+        "query_id", F.col("rare.term").alias("term"), F.col("rare.df").alias("df"), "n_required", (F.col("all") - F.col("rare.most")).alias("rest")
+    )
+    led = heads.join(small(plans, bounded), "term")
     ranked = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "batch", "block")
-    led = led.withColumn("bound", part(F.col("max_tf"), F.col("min_len")) + rest).withColumn("place", F.row_number().over(ranked))
+    led = led.withColumn("bound", part(F.col("max_tf"), F.col("min_len")) + F.col("rest")).withColumn("place", F.row_number().over(ranked))
     led = durable(led.select("query_id", "term", "batch", "bucket", "block", "bound", "place", "n_required"))
 
-    seeds, others = led.filter(F.col("place") <= SEEDS), led.filter(F.col("place") > SEEDS)
-    levels = heads.select("term", "batch", "level").distinct()
-    score = lambda chosen: durable(_scored(store, blocks, chosen, weighed, levels, part, bounded))
+    weighed = small(sized.filter("df IS NOT NULL").select("query_id", "term", "required", "df"), bounded)
+    levels = small(heads.select("term", "batch", "level").distinct(), bounded)
+    score = lambda chosen: _scored(store, blocks, chosen, weighed, levels, part, bounded)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path")
+    seeds, others = led.filter(F.col("place") <= SEEDS), led.filter(F.col("place") > SEEDS)
     found = score(seeds)
     trace.rounds = [seeds]
     if not others.isEmpty():
+        found = durable(found)
         last = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         others = others.join(last, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).drop("least")
         trace.rounds.append(others)
@@ -205,23 +210,24 @@ def ranked_search(store: ArchiveStore, queries: DataFrame, k: int = 10, optional
 
 
 def _scored(store: ArchiveStore, blocks: DataFrame, chosen: DataFrame, weighed: DataFrame, levels: DataFrame, part, bounded: bool) -> DataFrame:
-    """(query_id, path, score) of the documents in the chosen lead blocks that hold all required words of their query."""
+    """(query_id, path, score) of the documents in the chosen lead blocks that hold all required words of their query.
+
+    Candidates are looked up under each word of their query, in the one block that their hash points to. They travel to the blocks where
+    they are counted and few; otherwise both sides are shuffled.
+    """
     at = ["term", "batch", "bucket", "block"]
     posted = blocks.select(*at, "entries")
     dead = store.read("dead").select("path", F.col("dead_batch").alias("batch"))
     lead = posted.join(small(chosen.select("query_id", "n_required", *at), bounded), at)
-    held = lead.select("query_id", "n_required", F.col("term").alias("lead"), "batch", F.inline("entries"))
-    held = durable(held.join(dead, ["path", "batch"], "left_anti"))
-    first = held.join(weighed, (held.query_id == weighed.query_id) & (held.lead == weighed.term)).select(
-        held.query_id, "path", "n_required", part(F.col("tf"), F.col("len")).alias("part"), "required"
-    )
-    asked = held.drop("tf").join(weighed.withColumnRenamed("query_id", "_query"), (F.col("query_id") == F.col("_query")) & (F.col("lead") != F.col("term")))
-    asked = asked.join(small(levels, bounded), ["term", "batch"])
-    asked = asked.withColumns({"block": block_of(F.col("hash"), F.col("level")), "bucket": bucket_of(F.col("term"))})
-    met = posted.join(asked, at)
-    entry = F.get(F.filter("entries", lambda e: (e["hash"] == F.col("hash")) & (e["path"] == F.col("path"))), F.lit(0))
-    more = met.withColumn("tf", entry["tf"]).filter("tf IS NOT NULL").select("query_id", "path", "n_required", part(F.col("tf"), F.col("len")).alias("part"), "required")
-    sums = first.unionByName(more).groupBy("query_id", "path").agg(
+    held = lead.select("query_id", "n_required", "batch", F.inline("entries")).join(dead, ["path", "batch"], "left_anti").drop("tf")
+    held = durable(held)
+    few = fits(held, QUERY_TERM_ROWS // ASKED)
+    asked = held.join(weighed, "query_id").join(levels, ["term", "batch"])
+    asked = asked.withColumns({"block": block_of(F.col("hash"), F.col("level")), "bucket": bucket_of(F.col("term"))}).drop("level", "hash")
+    met = posted.join(small(asked, few), at).withColumn("at", F.array_position("entries.path", F.col("path"))).filter("at > 0")
+    tf = F.element_at("entries.tf", F.col("at").cast("int"))
+    rows = met.select("query_id", "path", "n_required", "required", part(tf, F.col("len")).alias("part"))
+    sums = rows.groupBy("query_id", "path").agg(
         F.round(F.sum("part"), 6).alias("score"), F.sum("required").alias("found"), F.first("n_required").alias("n_required")
     )
     return sums.filter("found = n_required").select("query_id", "path", "score")
@@ -244,7 +250,8 @@ def feedback_of_store(store: ArchiveStore, queries: DataFrame, n_docs: int = 5,
     seen = terms_of(store, top).join(top, "path").select("query_id", "len", F.inline("terms"))
     seen = seen.groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len")).alias("_w"))
     seen = durable(seen.join(query_terms(queries).select("query_id", "term"), ["query_id", "term"], "left_anti"))
-    df = document_frequencies(store, seen, buckets_of(seen))
+    buckets, bounded = buckets_of(seen)
+    df = document_frequencies(store, small(seen.select("term").distinct(), bounded), buckets)
     return heaviest(seen, df, corpus_counts(store)[0], n_terms)
 
 

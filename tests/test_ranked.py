@@ -60,7 +60,7 @@ def test_changed_and_removed_documents(spark, folder, monkeypatch):
         d = docs(spark, texts)
         want = {(r.term, r.df) for r in P.term_statistics(P.build_postings(d, positions=False)).collect()}
         everything = spark.createDataFrame([(w,) for w in [*WORDS, "back"]], "term string")
-        assert {tuple(r) for r in R.document_frequencies(store, everything, list(range(P.BUCKETS))).collect()} == want
+        assert {tuple(r) for r in R.document_frequencies(store, everything, list(range(R.BUCKETS))).collect()} == want
         n, mean = R.corpus_counts(store)
         lengths = [len(t.split()) for _, t in texts if t is not None]
         assert (n, round(mean, 9)) == (len(texts), round(sum(lengths) / len(lengths), 9))
