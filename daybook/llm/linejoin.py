@@ -24,8 +24,8 @@ EDITS = 2
 BLANKS = " \t\x0b\x0c\r"
 #: Characters counted for the cheap lower bound of the distance.
 COUNTED = "etaoinshrdlu "
-#: Of these, the characters whose counts travel with segments that very many lines share.
-PACKED = COUNTED[:8]
+#: The characters whose counts travel with segments that very many lines share, eight to a long.
+PACKED = ("etaoinsh", "rdlu cmg")
 #: Lines with more copies than this are brought together before they are cut up; buckets of the two broadcast sets.
 COPIES, HOT_BUCKETS, FETCH_BUCKETS = 2, 1 << 20, 1 << 20
 #: A segment of more lines than this is shared by many; numbers of key buckets.
@@ -100,16 +100,21 @@ def probes(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def packed_letters(line: Column) -> Column:
-    """Counts of a few characters, modulo 256, in the bytes of one long."""
+    """Counts of a few characters, modulo 256, in the bytes of longs."""
     count = lambda c: (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("long")
-    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c), 8 * i) for i, c in enumerate(PACKED)))
+    word = lambda chars: reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(count(c), 8 * i) for i, c in enumerate(chars)))
+    return F.struct(*(word(chars).alias(f"w{i}") for i, chars in enumerate(PACKED)))
 
 
-def packed_gap(a: Column, b: Column) -> Column:
-    """Summed difference of two packed counts; an edit changes it by two at most, and turning over 255 only makes it smaller."""
+def packed_near(a: Column, b: Column, most: int) -> Column:
+    """Whether packed counts differ by `most` at most; an edit changes them by two, and turning over 255 only makes a difference smaller.
+
+    The first long alone drops most pairs, so it is weighed first.
+    """
     byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
-    apart = lambda i: (byte(a, i) - byte(b, i)).bitwiseAND(F.lit(255))
-    return reduce(lambda x, y: x + y, (F.least(apart(i), 256 - apart(i)) for i in range(len(PACKED))))
+    apart = lambda w, i: (byte(a[f"w{w}"], i) - byte(b[f"w{w}"], i)).bitwiseAND(F.lit(255))
+    gap = lambda words: reduce(lambda x, y: x + y, (F.least(apart(w, i), 256 - apart(w, i)) for w in words for i in range(len(PACKED[w]))))
+    return (gap([0]) <= most) & (gap(range(len(PACKED))) <= most)
 
 
 def keyed(rows: DataFrame, shared: DataFrame) -> DataFrame:
@@ -192,12 +197,12 @@ def candidates(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     several = in_buckets(lines, hot, HOT_BUCKETS, "left_semi").groupBy(mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line")).drop("mark")
     long_enough = in_buckets(lines, hot, HOT_BUCKETS, "left_anti").select("line").unionByName(several)
     # A line of 4 characters can link with one of 5; shorter ones link with none.
-    cut = long_enough.select(F.xxhash64("line").alias("h1"), F.length("line").alias("n"), "line").where("n >= 4")
+    cut = stored(long_enough.select(F.xxhash64("line").alias("h1"), F.length("line").alias("n"), "line").where("n >= 4"), "cut")
     index = indexed(cut, edits)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select(F.pmod("key", F.lit(KEY_BUCKETS)).alias("bucket"))
     shared = durable(shared.distinct())
     probe = keyed(probes(cut, edits), shared).select("key", F.col("h1").alias("b"), F.col("letters").alias("_letters"))
-    near = F.coalesce(packed_gap(F.col("letters"), F.col("_letters")) <= 2 * edits, F.lit(True))
+    near = F.coalesce(packed_near(F.col("letters"), F.col("_letters"), 2 * edits), F.lit(True))
     found = keyed(index, shared).join(probe, "key").where((F.col("h1") != F.col("b")) & near)
     return found.select(F.least("h1", "b").alias("a"), F.greatest("h1", "b").alias("b")).distinct()
 
