@@ -209,3 +209,25 @@ def _(spark, sf):
         index_stream(stream, store, ENCODER, scratch(spark, "checkpoint")).start().awaitTermination()
     entries = current_stats(store).groupBy("path").agg(F.count("*").alias("entries"))
     return CY.load_vector_index(store).select("id", "path").join(entries, "path")
+
+
+REVISED = f"""{X.DOCS}, final AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN text || ' revised edition' ELSE text END AS text FROM docs),
+numbered AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS id FROM docs), {X.embedded_sql('emb', 'final', 'path')}"""
+
+
+@register(
+    "reembed_changed",
+    f"""WITH {REVISED} SELECT id, path, (unnest(range({X.DIM})))::INTEGER AS slot,
+    unnest(list_transform(vec, lambda x: round(x::DOUBLE, 6) + 0.0)) AS value FROM emb JOIN numbered USING (path)""",
+)
+def _(spark, sf):
+    """After a second cycle every document has one vector under its first id, of its present text; a fifth of the texts changed."""
+    store, d = _store(spark), X.docs(spark, sf)
+    CY.run_cycle(store, d, ENCODER)
+    changed = F.col("doc_id") % 5 == 0
+    later = d.withColumn("text", F.when(changed, F.concat("text", F.lit(" revised edition"))).otherwise(F.col("text"))).withColumn(
+        "mtime", F.when(changed, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime"))
+    )
+    CY.run_cycle(store, later, ENCODER, reembed=True)
+    rows = CY.load_vector_index(store).select("id", "path", F.posexplode("vec").alias("slot", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6) + F.lit(0.0))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from daybook.functions.display import progress_pct
 from daybook.functions.text import is_non_blank
-from daybook.operators.backlog import capped_pending, of_their_days, pending_docs, ranked_paths
+from daybook.operators.backlog import capped_pending, changed_docs, of_their_days, pending_docs, ranked_paths
 from daybook.operators.embed import Encoder, embed_texts, index_state
-from daybook.operators.postings import update_keyword_index
+from daybook.operators.postings import current_stats, update_keyword_index
 from daybook.plans.search import BACKENDS, KEYWORD, SEMANTIC
 from daybook.runtime import broadcast_if_small, durable, small
 from daybook.sources.store import ArchiveStore
@@ -49,6 +49,25 @@ def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, b
     store.append("vectors", rows, batch)
 
 
+def reembed_changed(store: ArchiveStore, docs: DataFrame, changed: DataFrame, encoder: Encoder) -> int:
+    """Give indexed documents of `changed` (path) a vector of their present text under the same id; returns how many had one.
+
+    The new vectors are a batch of their own; then the batches that hold the old ones are rewritten without them, and no other. A crash
+    in between leaves both, and the next call removes all but the newest. A document that is blank now loses its vector.
+    """
+    old = load_vector_index(store).join(broadcast_if_small(changed.select("path").distinct(), MAX_BROADCAST), "path", "left_semi")
+    old = durable(old.select("id", "path", "batch"))
+    touched = [r.batch for r in old.select("batch").distinct().collect()]
+    if not touched:
+        return 0
+    ids = old.groupBy("path").agg(F.min("id").alias("id"))
+    texts = of_their_days(docs, ids).filter(F.coalesce(is_non_blank(F.col("text")), F.lit(False)))
+    append_vectors(store, texts.join(broadcast_if_small(ids, MAX_BROADCAST), "path"), encoder, store.next_batch("vectors"))
+    kept = load_vector_index(store).filter(F.col("batch").isin(touched)).join(old.select("id", "batch"), ["id", "batch"], "left_anti")
+    store.rewrite_batches("vectors", touched, kept)
+    return ids.count()
+
+
 @dataclass(frozen=True)
 class Work:
     """The pending documents of a cycle: paths only. Texts are never shuffled to find them."""
@@ -100,6 +119,7 @@ def run_cycle(
     compat: bool = False,
     dry_run: bool = False,
     rejects: DataFrame | None = None,
+    reembed: bool = False,
     clock: Callable[[], float] = time.monotonic,
 ) -> CycleReport:
     """One cycle: index keywords, then embed up to `cap` pending documents.
@@ -107,12 +127,17 @@ def run_cycle(
     Documents are numbered in path order and written in batches of `batch_docs`. The budget is
     checked between batches and never interrupts one. A failed batch goes to `dead_letters`,
     its documents stay pending, and later batches take over its ids. `rejects` (path, reason) are files that could not be read
-    as text: they are reported the same way and stay pending. If every batch fails, the cycle is recorded and raises.
+    as text: they are reported the same way and stay pending. If every batch fails, the cycle is recorded and raises. With `reembed`
+    documents that changed since the keyword index saw them get new vectors, before the keyword index forgets that they changed.
     """
     begin = clock()
     report = CycleReport()
     if rejects is not None and not dry_run:
         store.append("dead_letters", rejects.select("path", F.col("reason").alias("error")), store.next_batch("dead_letters"))
+    if reembed and SEMANTIC in backends and not dry_run:
+        known = current_stats(store)
+        changed = changed_docs(docs.select("path", "mtime"), known).join(known, "path", "left_semi")
+        reembed_changed(store, docs, changed, encoder)
     if KEYWORD in backends and not dry_run:
         update_keyword_index(store, docs, store.next_batch("doc_stats"))
     if SEMANTIC not in backends:

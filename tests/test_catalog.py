@@ -28,7 +28,7 @@ reset_vector_index reconcile_index retain_then_reset delete_latest clear_index f
 
 # Many small jobs each; check_queries.py runs every query at any scale.
 SLOW = {
-    "capture_stream", "frame_streams", "index_captured_texts", "drop_unchanged_stream", "gate_stream", "throttle_stream", "index_stream", "mixed_cycles", "append_vectors",
+    "reembed_changed", "update_ranked_index", "hybrid_search_scan", "refine_queries_scan", "capture_stream", "frame_streams", "index_captured_texts", "drop_unchanged_stream", "gate_stream", "throttle_stream", "index_stream", "mixed_cycles", "append_vectors",
     "cycle_report", "durable_batches", "time_budget", "force_cycle", "keyword_match", "hybrid_search", "refine_queries",
     "build_keyword_index", "update_keyword_index", "dry_run", "apply_retention", "retain_then_reset", "full_rebuild",
     "clear_index", "import_snapshot", "export_snapshot", "reconcile_index", "throttle", "backend_toggle",
