@@ -78,7 +78,7 @@ def guess_cost(value: str, own_words: dict[str, int] | None = None) -> tuple[flo
     """Base-10 logarithm of the guesses needed for a value, and the kinds of the cheapest segmentation.
 
     Dynamic programming over end positions. A segment is a word (common, or of the same text, by rank; capital letters and
-    digits for letters cost extra), a date, a repeat, a keyboard walk or a brute-force span. Segments multiply.
+    digits for letters cost extra), a date, a repeat, a keyboard walk or a brute-force span. Segments multiply. Time grows with the length.
     """
     own_words = own_words or {}
     n, low = len(value), value.lower()
@@ -96,7 +96,8 @@ def guess_cost(value: str, own_words: dict[str, int] | None = None) -> tuple[flo
     for i in range(1, n):
         same[i] = same[i - 1] + 1 if value[i] == value[i - 1] else 1
         walk[i] = walk[i - 1] + 1 if _neighbours(low[i - 1], low[i]) else 1
-    run_from = 0
+    # Per width, how many characters in a row equal the one that many places before.
+    told = [0] * 9
     for end in range(1, n + 1):
         last = best[end - 1]
         # A brute-force span grows by one character without a new segment's price.
@@ -126,11 +127,10 @@ def guess_cost(value: str, own_words: dict[str, int] | None = None) -> tuple[flo
                     offer(end - length, end, math.log10(alphabet * length) + turns, kind)
         # A block of two to eight characters told again, any number of times.
         for width in range(2, 9):
-            if end >= 2 * width and value[end - width : end] == value[end - 2 * width : end - width]:
-                run_from = end - 2 * width
-                while run_from >= width and value[run_from - width : run_from] == value[end - width : end]:
-                    run_from -= width
-                offer(run_from, end, width * math.log10(_alphabet(value[end - width : end])) + math.log10((end - run_from) / width), "repeat")
+            told[width] = told[width] + 1 if end > width and value[end - 1] == value[end - 1 - width] else 0
+            if told[width] >= width:
+                times = told[width] // width + 1
+                offer(end - times * width, end, width * math.log10(_alphabet(value[end - width : end])) + math.log10(times), "repeat")
     kinds, at = [], n
     while at > 0:
         kinds.append(best[at][2])

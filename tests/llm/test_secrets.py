@@ -105,3 +105,16 @@ def test_password_material_beside_short_brute_spans():
     text = "pwd=dragonzq pwd: qwerty2019x login: Summer7! pin: 1987kq"
     assert guesses(text) == {"dragonzq", "qwerty2019x", "Summer7", "1987kq"}
     assert not guesses("login: testing, pin is passes and auth: well-tested; the well")
+
+
+def test_repeats_of_any_length_take_linear_time():
+    import time
+
+    for unit in ("a", "ab", "abcdefgh", "xY3"):
+        # A repeat is one segment: its unit and the number of turns.
+        for turns in (9, 50):
+            cost, kinds = S.guess_cost(unit * turns)
+            assert kinds == "repeat" and cost < S.guess_cost(unit * turns + "q7")[0]
+        begin = time.process_time()
+        S.guess_cost(unit * (40_000 // len(unit)))
+        assert time.process_time() - begin < 8
