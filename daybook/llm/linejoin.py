@@ -42,7 +42,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows from a table written in the shared folder; compressed, unlike a checkpoint."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -197,7 +197,8 @@ def candidates(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     several = in_buckets(lines, hot, HOT_BUCKETS, "left_semi").groupBy(mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line")).drop("mark")
     long_enough = in_buckets(lines, hot, HOT_BUCKETS, "left_anti").select("line").unionByName(several)
     # A line of 4 characters can link with one of 5; shorter ones link with none.
-    cut = stored(long_enough.select(F.xxhash64("line").alias("h1"), F.length("line").alias("n"), "line").where("n >= 4"), "cut")
+    cut = stored(long_enough.select("line").where(F.length("line") >= 4), "cut")
+    cut = cut.select(F.xxhash64("line").alias("h1"), F.length("line").alias("n"), "line")
     index = indexed(cut, edits)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select(F.pmod("key", F.lit(KEY_BUCKETS)).alias("bucket"))
     shared = durable(shared.distinct())
