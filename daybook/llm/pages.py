@@ -1,12 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-A line is a block of the page: the text between two block-level tags, with inline tags counted. Null and empty pages have
-an empty text. Nothing is cut: a block of any length is one line. Repeated rows give repeated results.
+A line is a block of the page: the text between two block-level tags, with inline tags counted. The clusters choose the region of the
+page that is read; inside it every line outside page furniture stays, however short. Null and empty pages have an empty text. Nothing
+is cut: a block of any length is one line. Open tags are found by name, so deep and unclosed markup takes linear time. Repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,36 +28,86 @@ SILENT = frozenset("script style noscript template iframe object svg math canvas
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|header|footer|"
+    r"(?:^|[-_])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|header|footer|"
     r"masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|reply|"
-    r"respond|disqus|pagination|pager|copyright|legal|toolbar|skip|login|signup)(?:$|[-_ ]|\d)",
+    r"respond|disqus|pagination|pager|copyright|legal|toolbar|skip|login|signup)(?:$|[-_]|\d)",
     re.IGNORECASE,
 )
+# Of an article or main element only these names make furniture: other words describe what it holds.
+FOREIGN = re.compile(r"(?:^|[-_])(?:advert\w*|sponsor\w*|related|recommend\w*|comments?|replies|reply)(?:$|[-_]|\d)", re.IGNORECASE)
+# Compound names that are none: the head of an article, and states of a page such as "has-sidebar".
+OWN_HEAD = re.compile(r"(?:article|post|entry|story)[-_]+header|(?:has|no|with|without|is)[-_].*", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main)(?:$|[-_ ]|\d)", re.IGNORECASE)
+CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
+IMPLIED_STOPS = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+PARTS = frozenset("p li dt dd option tr td th".split())
 WHITE = re.compile(r"\s+")
 
 
+def furniture_name(names: str, pattern: re.Pattern = NAMES) -> bool:
+    """Whether a class or id names page furniture. A furniture word wins over the other words of a compound name."""
+    return any(pattern.search(name) and not OWN_HEAD.fullmatch(name) for name in names.split())
+
+
+@dataclass(frozen=True)
+class Line:
+    """A block's text, the tags inside, its characters inside links, its article (0: none), container, and whether it is furniture."""
+
+    text: str
+    tags: int
+    linked: int
+    furniture: bool
+    article: int
+    container: int
+
+
+@dataclass(frozen=True)
+class Open:
+    tag: str
+    silent: bool = False
+    furniture: bool = False
+    article: int = 0
+    container: int = 0
+    link: bool = False
+
+
+ROOT = Open("")
+
+
 class Lines(HTMLParser):
-    """Collects lines as (text, tags inside, under furniture, article number or 0) while a page streams through."""
+    """Collects lines while a page streams through; `parents` holds the parent of each container, container 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, silent, furniture, article
+        self.lines: list[Line] = []
+        self.parents = [0]
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}  # places of the open tags of a name
+        self.barriers: list[int] = []  # places of open block-level and silent tags
         self.text: list[str] = []
-        self.tags = self.articles = 0
+        self.tags = self.articles = self.linked = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> Open:
+        return self.open[-1] if self.open else ROOT
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, furniture, article = self.state()
-            self.lines.append((text, self.tags, furniture, article))
+            at = self.state()
+            self.lines.append(Line(text, self.tags, self.linked, at.furniture, at.article, at.container))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def close_from(self, place: int) -> None:
+        for i in range(len(self.open) - 1, place - 1, -1):
+            self.places[self.open[i].tag].pop()
+            if self.barriers and self.barriers[-1] == i:
+                self.barriers.pop()
+        del self.open[place:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -62,39 +115,49 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # a new one ends an open one
+        if tag in PARTS:  # a new one ends an open one
             self.close_implied(tag)
-        silent, furniture, article = self.state()
+        at = self.state()
         named = {k: v or "" for k, v in attrs}
         names = f"{named.get('class', '')} {named.get('id', '')}"
-        if tag == "article" or tag == "main" or named.get("role") in ("main", "article"):
-            if not article:
-                self.articles += 1
-                article = self.articles
+        role = named.get("role", "")
+        main, article = tag in ("article", "main") or role in ("main", "article"), at.article
+        if main and not article:
+            self.articles += 1
+            article = self.articles
         # Inside an article, header is the article's own head.
-        furniture = furniture or (tag in FURNITURE and not (tag == "header" and article)) or named.get("role") in ROLES
-        furniture = furniture or (tag not in ("body", "html", "article", "main", "p") and bool(NAMES.search(names)) and not MAIN_NAMES.search(names))
+        furniture = at.furniture or (tag in FURNITURE and not (tag == "header" and article)) or role in ROLES
+        if tag not in ("body", "html", "p"):
+            furniture = furniture or furniture_name(names, FOREIGN if main else NAMES)
         furniture = furniture or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        self.open.append((tag, silent or tag in SILENT, furniture, article))
+        container = at.container
+        if tag in CONTAINERS:
+            self.parents.append(container)
+            container = len(self.parents) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS or tag in SILENT:
+            self.barriers.append(len(self.open))
+        self.open.append(Open(tag, at.silent or tag in SILENT, furniture, article, container, at.link or tag == "a"))
 
     def close_implied(self, tag: str) -> None:
-        stops = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}.get(tag)
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                del self.open[i:]
-                return
-            if (stops and name in stops) or (not stops and name in BLOCKS) or name in SILENT:
-                return
+        """End an open tag of the name unless another list, table or block has been opened inside it."""
+        place, stops = self.last(tag), IMPLIED_STOPS.get(tag)
+        if place < 0:
+            return
+        if stops:
+            blocked = any(self.last(name) > place for name in (*stops, *SILENT))
+        else:
+            blocked = bool(self.barriers) and self.barriers[-1] > place
+        if not blocked:
+            self.close_from(place)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        place = self.last(tag)
+        if place >= 0:
+            self.close_from(place)
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -102,8 +165,11 @@ class Lines(HTMLParser):
         self.tags += 1
 
     def handle_data(self, data):
-        if not self.state()[0]:
+        at = self.state()
+        if not at.silent:
             self.text.append(data)
+            if at.link:
+                self.linked += len(data.strip())
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -114,27 +180,50 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def content_lines(lines: list[tuple[str, int, bool, int]], sigma: float = 1.0) -> list[int]:
+def content_lines(lines: list[Line], parents: list[int], sigma: float = 1.0) -> list[int]:
     """Numbers of the lines that belong to the main text.
 
-    Lines outside furniture are scored by characters per tag, smoothed, and cut at the standard deviation of the page. Each
-    run above the threshold is a cluster. A page with articles (or a main part) keeps all lines of those that hold a cluster's line, or of
-    the richest one; without any, the clusters are kept and grown over their direct neighbours.
+    Lines outside furniture are scored by characters per tag, smoothed, and cut at the standard deviation of the page. Runs above the
+    threshold are the clusters. A page with articles (or a main part) keeps all lines of those that hold a cluster's line. On
+    any other page the region is the smallest container that holds every cluster and at least half of the text. All lines of
+    the region stay, but before the first and behind the last cluster those that are mostly links, which are menus without a name, go.
     """
-    free = [i for i, (_, _, furniture, _) in enumerate(lines) if not furniture]
+    free = [i for i, line in enumerate(lines) if not line.furniture]
     if not free:
         return []
-    ratios = smooth(np.array([len(lines[i][0]) / max(1, lines[i][1]) for i in free], np.float64), sigma)
+    sizes = np.array([len(lines[i].text) for i in free], np.float64)
+    ratios = smooth(sizes / np.array([max(1, lines[i].tags) for i in free]), sigma)
     dense = ratios >= min(ratios.std(), ratios.max())
-    articles = {lines[i][3] for i in free} - {0}
-    if articles:
-        hit = {lines[i][3] for i, ok in zip(free, dense, strict=True) if ok} & articles
-        hit = hit or {max(articles, key=lambda a: sum(len(lines[i][0]) for i in free if lines[i][3] == a))}
-        return [i for i in free if lines[i][3] in hit]
-    grown = dense.copy()
-    grown[1:] |= dense[:-1]
-    grown[:-1] |= dense[1:]
-    return [i for i, ok in zip(free, grown, strict=True) if ok]
+    hit = {lines[i].article for i, ok in zip(free, dense, strict=True) if ok} - {0}
+    if any(lines[i].article for i in free):
+        articles = sorted({lines[i].article for i in free} - {0})
+        held = [sum(len(lines[i].text) for i in free if lines[i].article == a) for a in articles] if not hit else []
+        hit = hit or {articles[int(np.argmax(held))]}
+        return [i for i in free if lines[i].article in hit]
+    inside = region([lines[i].container for i in free], parents, dense, sizes)
+    first, last = np.nonzero(dense)[0][[0, -1]]
+    return [
+        i for at, i in enumerate(free)
+        if inside[lines[i].container] and (first <= at <= last or 2 * lines[i].linked <= len(lines[i].text))
+    ]
+
+
+def region(containers: list[int], parents: list[int], dense: np.ndarray, sizes: np.ndarray) -> list[bool]:
+    """For each container whether it lies in the smallest one that holds all dense lines and half of the text.
+
+    Containers are numbered as they open, so a parent comes before its children and sums need one pass.
+    """
+    clustered, held = np.zeros(len(parents), np.int64), np.zeros(len(parents))
+    np.add.at(clustered, containers, dense.astype(np.int64))
+    np.add.at(held, containers, sizes)
+    for k in range(len(parents) - 1, 0, -1):
+        clustered[parents[k]] += clustered[k]
+        held[parents[k]] += held[k]
+    chosen = int(np.nonzero((clustered == clustered[0]) & (2 * held >= held[0]))[0][-1])
+    inside = [False] * len(parents)
+    for k in range(len(parents)):
+        inside[k] = k == chosen or (k > 0 and inside[parents[k]])
+    return inside
 
 
 def main_text(html: str | None) -> str:
@@ -144,7 +233,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n".join(parser.lines[i][0] for i in content_lines(parser.lines))
+    return "\n".join(parser.lines[i].text for i in content_lines(parser.lines, parser.parents))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
