@@ -1,10 +1,15 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Documents are read in shards (runs of an Arrow batch). The word sequence of a shard gets a suffix array; every suffix of every benchmark item is
-looked up by binary search, which gives the places where its window stands verbatim and the longest match there. A place of the shard whose
-word is in no item cannot be part of a match, so only stretches of benchmark words enter the array. Items travel to the documents
-in blocks of bounded size; the documents are not shuffled. Null texts have no words; an item without words matches nothing; equal items
-are searched once and all named. A null item id is named `null`.
+looked up by binary search, which gives the places where its window stands verbatim. Places and the items found there are then sorted
+together once more, which gives the longest match. A place of the shard whose word is in no item cannot be part of a match, so only stretches of
+benchmark words enter the array.
+
+Items of equal words are merged before anything else. A block of items is one flat array of word numbers with offsets, so its memory
+grows with its words, however long an item is. Items travel to the documents in blocks of bounded size. With one block the verdict is a column
+and documents are not shuffled; with more, each block is one pass that writes the texts it hits, keyed by a digest, and blocks follow one
+another, so that one block at a time is in memory. Null texts have no words; an item without words matches nothing; equal items are searched
+once and all named. A null item id is named `null`.
 """
 
 from __future__ import annotations
@@ -12,20 +17,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.batches import columns_of, fresh, struct_column
+from daybook.runtime import durable, scratch
 
 WINDOW = 13
-#: Bytes of benchmark text in one block, which the driver holds and every worker receives.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one block, which the driver holds and every worker receives. A longer item is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Windows that are searched together.
+SEARCH = 1 << 16
 
 # Bytes that belong to words are digits, letters (A-Z as a-z) and everything beyond ASCII; others separate.
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,57 +48,106 @@ class _Known(dict):
         return 0
 
 
+def _doubled(rank: np.ndarray, reach: int) -> np.ndarray:
+    """Ranks over twice `reach` values from the ranks over `reach`."""
+    ahead = np.zeros(len(rank), np.int64)
+    ahead[: max(0, len(rank) - reach)] = rank[reach:] + 1
+    return np.unique(rank.astype(np.int64) * (len(rank) + 2) + ahead, return_inverse=True)[1]
+
+
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Start positions in the order of their suffixes, compared over at least `depth` values (prefix doubling)."""
     _, rank = np.unique(ids, return_inverse=True)
     reach = 1
-    while reach < depth:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: max(0, len(rank) - reach)] = rank[reach:] + 1
-        values, rank = np.unique(rank.astype(np.int64) * (len(rank) + 2) + ahead, return_inverse=True)
+    while reach < depth and rank.max(initial=0) + 1 < len(rank):
+        rank = _doubled(rank, reach)
         reach *= 2
-        if len(values) == len(rank):
-            break
     return np.argsort(rank, kind="stable")
 
 
+def longest_matches(part: np.ndarray, places: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """For each place of `part` the longest run of values from there on that stands in `items`; zeros match nothing.
+
+    Both sequences are sorted together. The item suffixes next to a place in that order share the most with it; ranks over 1, 2, 4, ...
+    values tell how much.
+    """
+    both = np.concatenate([part, [0], items, [0]])
+    ends = both == 0
+    both = np.where(ends, -np.cumsum(ends), both)  # no end equals another, so nothing matches across it
+    levels = [np.unique(both, return_inverse=True)[1]]
+    while levels[-1].max() + 1 < len(both):
+        levels.append(_doubled(levels[-1], 1 << (len(levels) - 1)))
+    order = np.argsort(levels[-1])
+    at = levels[-1][places]
+    own = order > len(part)
+    slots = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(own, slots, -1))[at]
+    behind = np.minimum.accumulate(np.where(own, slots, len(order))[::-1])[::-1][at]
+    best = np.zeros(len(places), np.int64)
+    for other, there in ((before, before >= 0), (behind, behind < len(order))):
+        a, b = places.copy(), order[np.clip(other, 0, len(order) - 1)]
+        shared = np.zeros(len(places), np.int64)
+        for step in range(len(levels) - 1, -1, -1):
+            same = levels[step][a] == levels[step][b]
+            shared += same * (1 << step)
+            a, b = (np.minimum(x + same * (1 << step), len(both) - 1) for x in (a, b))
+        best = np.maximum(best, np.where(there, shared, 0))
+    return best
+
+
 class Items:
-    """Benchmark items of one block, ready to be searched for."""
-
-    def __init__(self, items: list[tuple], window: int = WINDOW):
-        same: dict[tuple, list[str]] = {}
-        for item_id, text in items:
-            words = tuple(words_of(text))
-            if words:
-                same.setdefault(words, []).append("null" if item_id is None else str(item_id))
-        self.names = [sorted(set(x)) for x in same.values()]
+    """Benchmark items of one block, each with its names, ready to be searched for.
+
+    `flat` holds the word numbers of all items with a zero behind each. Per width of window: start of each distinct window in `flat`, and
+    the items that hold it.
+    """
+
+    def __init__(self, items: list[tuple[list[str], str]], window: int = WINDOW):
+        self.window = window
+        self.names = [names for names, _ in items]
         self.known = _Known()
-        for words in same:
+        sizes, numbers = [], []
+        for _, text in items:
+            words = words_of(text)
             for w in words:
                 self.known.setdefault(w, len(self.known) + 1)
-        self.longest = max(map(len, same), default=0)
-        self.shortest = min((min(window, len(x)) for x in same), default=0)
-        # Suffixes by window width: item, and the item's words from there on, padded with -1.
-        self.tests: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_width: dict[int, list[tuple[int, list[int]]]] = {}
-        for k, words in enumerate(same):
-            ids, width = [self.known[w] for w in words], min(window, len(words))
-            for start in range(len(ids) - width + 1):
-                by_width.setdefault(width, []).append((k, ids[start:]))
-        for width, found in by_width.items():
-            padded = np.full((len(found), max(len(x) for _, x in found)), -1, np.int64)
-            for row, (_, ids) in zip(padded, found, strict=True):
-                row[: len(ids)] = ids
-            self.tests[width] = (np.array([k for k, _ in found]), padded)
+            sizes.append(len(words))
+            numbers.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+            numbers.append(np.zeros(1, np.int64))
+        self.sizes = np.array(sizes, np.int64)
+        self.flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.shortest = int(min(self.sizes.min(), window)) if len(self.sizes) else 0
+        # Windows by width: start in flat, and the items of each in slices of one array.
+        self.tests: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.sizes[self.sizes < window]).tolist():
+            which = np.nonzero(self.sizes == width)[0]  # an item of fewer words is a window itself
+            self.tests[width] = (self.starts[which], np.arange(len(which) + 1), which)
+        long = np.nonzero(self.sizes >= window)[0]
+        if len(long):
+            self.tests[window] = self.windows(long)
+
+    def windows(self, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of the items: two overlapping runs of a power of two words, ranked, name one exactly."""
+        counts = self.sizes[long] - self.window + 1
+        item = np.repeat(long, counts)
+        start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.starts[long], counts)
+        rank, reach = np.unique(self.flat, return_inverse=True)[1], 1
+        while 2 * reach <= self.window:
+            rank, reach = _doubled(rank, reach), 2 * reach
+        pair = rank[start].astype(np.int64) * (len(rank) + 1) + rank[start + self.window - reach]
+        _, first, number = np.unique(pair, return_index=True, return_inverse=True)
+        held = np.unique(np.stack([number, item]), axis=1) if len(long) > 1 else np.stack([np.arange(len(first)), np.repeat(long, len(first))])
+        return start[first], np.searchsorted(held[0], np.arange(len(first) + 1)), held[1]
 
     def shard(self, texts: list) -> list[tuple]:
         """(words, disjoint hit spans, names of items, words of the longest match, its place) for each text."""
         own = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         starts = np.cumsum(sizes + 1) - sizes - 1
-        none = [(int(n), [], [], 0, None) for n in sizes]
+        out = [(int(n), [], [], 0, None) for n in sizes]
         if not self.tests or not sizes.any():
-            return none
+            return out
         ids = np.zeros(int(sizes.sum()) + len(own), np.int64)
         for at, words in zip(starts.tolist(), own, strict=True):
             ids[at : at + len(words)] = list(map(self.known.__getitem__, words))
@@ -100,36 +158,70 @@ class Items:
         use = end - begin >= self.shortest
         begin, end = begin[use], end[use]
         if not len(begin):
-            return none
+            return out
         lengths = end - begin + 1
-        shift = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
-        place = np.arange(int(lengths.sum())) + shift
+        tails = np.cumsum(lengths) - 1
+        place = np.arange(int(lengths.sum())) + np.repeat(begin - (tails + 1 - lengths), lengths)
         part = ids[np.minimum(place, len(ids) - 1)]
-        part[np.cumsum(lengths) - 1] = 0
-        order = suffix_array(part, self.longest)
-        hits: dict[int, list] = {}
-        for width, (items, tests) in self.tests.items():
-            low = self.bound(part, order, tests[:, :width], False)
-            high = self.bound(part, order, tests[:, :width], True)
-            for row in np.nonzero(high > low)[0]:
-                at = order[low[row] : high[row]]
-                length = self.extend(part, at, tests[row], width)
-                text = np.searchsorted(starts, place[at], side="right") - 1
-                for t, p, n in zip(text.tolist(), (place[at] - starts[text]).tolist(), length.tolist(), strict=True):
-                    hits.setdefault(t, []).append((p, p + width, int(items[row]), n))
-        out = none
-        for t, found in hits.items():
-            spans, names = [], set()
-            best = max(found, key=lambda x: (x[3], -x[0]))
-            for a, b, k, _ in sorted(found):
-                names.update(self.names[k])
-                if spans and a <= spans[-1]["high"]:
-                    spans[-1]["high"] = max(spans[-1]["high"], b)
-                else:
-                    spans.append({"low": a, "high": b})
-            out[t] = (int(sizes[t]), spans, sorted(names), best[3], best[0])
+        part[tails] = 0
+        order = suffix_array(part, self.window)
+        at, width, window = self.search(part, order)
+        if not len(at):
+            return out
+        length = width.copy()
+        full = width == self.window
+        if full.any():
+            length[full] = self.extend(part, tails, at[full], window[full])
+        text = np.searchsorted(starts, place[at], side="right") - 1
+        local = place[at] - starts[text]
+        by_text = np.lexsort((local, text))
+        cuts = np.nonzero(np.diff(text[by_text]))[0] + 1
+        for rows in np.split(by_text, cuts):
+            t = int(text[rows[0]])
+            low, high = local[rows], np.maximum.accumulate(local[rows] + width[rows])
+            new = np.concatenate([[True], low[1:] > high[:-1]])
+            last = np.concatenate([new[1:], [True]])
+            spans = [{"low": a, "high": b} for a, b in zip(low[new].tolist(), high[last].tolist(), strict=True)]
+            best = rows[np.argmax(length[rows])]
+            out[t] = (int(sizes[t]), spans, self.named(width[rows], window[rows]), int(length[best]), int(local[best]))
         return out
 
+    def search(self, part: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of `part` where a window stands, with its width and number; a place has one window of a width at most."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for width, (begin, _, _) in self.tests.items():
+            for base in range(0, len(begin), SEARCH):
+                tests = self.flat[begin[base : base + SEARCH, None] + np.arange(width)]
+                low, high = self.bound(part, order, tests, False), self.bound(part, order, tests, True)
+                rows = np.nonzero(high > low)[0]
+                count = (high - low)[rows]
+                slots = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[rows], count)
+                found.append((order[slots], np.full(len(slots), width), np.repeat(rows + base, count)))
+        at, width, window = map(np.concatenate, zip(*found, strict=True))
+        return at, width, window
+
+    def extend(self, part: np.ndarray, tails: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Words of the longest match at each place where a full window stands; only the stretches and items found take part."""
+        stretch = np.searchsorted(tails, at)
+        used = np.unique(stretch)
+        begin = np.concatenate([[0], tails[:-1] + 1])[used]
+        size = tails[used] - begin + 1
+        shift = begin - (np.cumsum(size) - size)
+        near = part[np.arange(int(size.sum())) + np.repeat(shift, size)]
+        _, offsets, holders = self.tests[self.window]
+        items = np.unique(np.concatenate([holders[offsets[w] : offsets[w + 1]] for w in np.unique(window)]))
+        texts = np.concatenate([self.flat[self.starts[k] : self.starts[k] + self.sizes[k] + 1] for k in items])
+        return longest_matches(near, at - shift[np.searchsorted(used, stretch)], texts)
+
+    def named(self, width: np.ndarray, window: np.ndarray) -> list[str]:
+        names = set()
+        for w in np.unique(width).tolist():
+            _, offsets, holders = self.tests[w]
+            held = [holders[offsets[x] : offsets[x + 1]] for x in np.unique(window[width == w])]
+            for k in np.unique(np.concatenate(held)):
+                names.update(self.names[k])
+        return sorted(names)
+
     @staticmethod
     def bound(part: np.ndarray, order: np.ndarray, tests: np.ndarray, above: bool) -> np.ndarray:
         """For each test the first place in the suffix order that is not below it (or, `above`, that is above it)."""
@@ -148,82 +240,93 @@ class Items:
             high = np.where(open_rows & ~below, middle, high)
         return low
 
-    @staticmethod
-    def extend(part: np.ndarray, at: np.ndarray, test: np.ndarray, width: int) -> np.ndarray:
-        """Words of the match at each place, from the window on to the item's end."""
-        length = np.full(len(at), width, np.int64)
-        going = np.ones(len(at), bool)
-        for step in range(width, int((test >= 0).sum())):
-            going &= part[np.minimum(at + step, len(part) - 1)] == test[step]
-            if not going.any():
-                break
-            length += going
-        return length
-
 
 FOUND = "n_words long, spans array<struct<low:long,high:long>>, items array<string>, longest long, place long"
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in blocks of about `block_bytes` bytes at most, collected one after another."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+def distinct_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """One row per sequence of words: names (sorted), words (lower case, one space between). Items without words are left out."""
+    upper, lower = (bytes(range(first, first + 26)).decode() for first in (0x41, 0x61))
+    words = F.trim(F.regexp_replace(F.translate(F.col(text_col), upper, lower), SEPARATORS, " "))
+    name = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
+    named = benchmark.select(words.alias("words"), name.alias("name")).where("words <> ''")
+    return named.groupBy("words").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[list[str], str]]]]:
+    """How many blocks there are, and the items of one after another; a block is about `block_bytes` bytes or one longer item."""
+    rows = durable(distinct_items(benchmark, item_col, text_col))
+    total = rows.agg(F.sum(F.octet_length("words") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r.item, r.text) for r in part.collect()]
 
+    def read():
+        for k in range(n):
+            part = rows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == k) if n > 1 else rows
+            yield [(r.names, r.words) for r in part.collect()]
 
-def find_columns(
-    benchmark: DataFrame, text: Column, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
-) -> list[Column]:
-    """One struct column per block of items with what the block's suffixes find in `text`."""
-    out = []
-    for part in blocks(benchmark, item_col, text_col, block_bytes):
-        shared = benchmark.sparkSession.sparkContext.broadcast(Items(part, window))
-        out.append(struct_column(lambda shared=shared: shared.value.shard, FOUND)(text))
-    return out
+    return n, read()
 
 
-def contamination(found: list[str]) -> dict[str, Column]:
-    """Columns n_words, n_hit, n_items, items_sha256, contaminated, longest from the struct columns of all blocks."""
-    spans = F.array_sort(F.concat(*(F.col(f"{c}.spans") for c in found)))
+def verdict(n_words: Column, spans: Column, items: Column, longest: Column) -> dict[str, Column]:
+    """Columns n_words, n_hit, n_items, items_sha256, contaminated, longest from what all blocks found."""
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     added = F.aggregate(
-        spans, start,
+        F.array_sort(spans), start,
         lambda acc, x: F.struct(
             F.greatest(acc["end"], x["high"]).alias("end"),
             (acc["hit"] + F.greatest(F.lit(0).cast("long"), x["high"] - F.greatest(acc["end"], x["low"]))).alias("hit"),
         ),
         lambda acc: acc["hit"],
     )
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{c}.items") for c in found))))
-    n_words = F.col(f"{found[0]}.n_words")
+    names = F.array_sort(F.array_distinct(items))
     return {
-        "n_words": n_words, "n_hit": added, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ","), 256),
-        "contaminated": (added > 0) & (20 * added >= n_words), "longest": F.greatest(*(F.col(f"{c}.longest") for c in found), F.lit(0).cast("long")),
+        "n_words": n_words, "n_hit": added, "n_items": F.size(names).cast("long"), "items_sha256": F.sha2(F.array_join(names, ","), 256),
+        "contaminated": (added > 0) & (20 * added >= n_words), "longest": longest,
     }
 
 
 def judged(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> tuple[DataFrame, dict[str, Column]]:
-    """The documents with a struct column per block (named `_found0`, ...), and the verdict's columns over them."""
-    found = find_columns(benchmark, F.col(text_col), item_col, item_text_col, window, block_bytes)
-    names = [fresh(docs.columns, f"_found{k}") for k in range(len(found))]
-    return docs.withColumns(dict(zip(names, found, strict=True))), contamination(names)
+    """The documents with a struct column of what the blocks found, and the verdict's columns over it."""
+    context = docs.sparkSession.sparkContext
+    n, parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    text, found = F.col(f"`{text_col}`"), fresh(docs.columns, "_found")
+    part_of = lambda name: F.col(f"{found}.{name}")
+    if n == 1:
+        shared = context.broadcast(Items(next(parts), window))
+        rows = docs.withColumn(found, struct_column(lambda: shared.value.shard, FOUND)(text))
+        return rows, verdict(part_of("n_words"), part_of("spans"), part_of("items"), part_of("longest"))
+    key = F.md5(text)
+    folder = scratch(docs.sparkSession, "benchmark-hits")
+    for k, items in enumerate(parts):
+        shared = context.broadcast(Items(items, window))
+        hits = docs.select(text.alias("text")).withColumn("found", struct_column(lambda shared=shared: shared.value.shard, FOUND)(F.col("text")))
+        hits = hits.where(F.size("found.spans") > 0).select(F.md5("text").alias("key"), "found.spans", "found.items", "found.longest")
+        hits.dropDuplicates(["key"]).write.parquet(f"{folder}/block={k}")
+        shared.destroy()
+    own = fresh(docs.columns, "_key")
+    merged = docs.sparkSession.read.parquet(folder).groupBy(F.col("key").alias(own)).agg(
+        F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest")).alias(found)
+    )
+    rows = docs.join(merged, key == F.col(own), "left").drop(own)
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    none = [F.array().cast(kind) for kind in ("array<struct<low:long,high:long>>", "array<string>")]
+    return rows, verdict(
+        n_words, F.coalesce(part_of("spans"), none[0]), F.coalesce(part_of("items"), none[1]), F.coalesce(part_of("longest"), F.lit(0).cast("long"))
+    )
 
 
 def check_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: counts of words, hit words and items, their digest, the verdict, the longest match."""
-    rows, verdict = judged(docs, benchmark, **options)
-    return rows.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in verdict.items()))
+    rows, columns = judged(docs, benchmark, **options)
+    return rows.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in columns.items()))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, all columns as they were."""
-    rows, verdict = judged(docs, benchmark, **options)
-    return rows.where(~verdict["contaminated"]).select(*columns_of(docs))
+    rows, columns = judged(docs, benchmark, **options)
+    return rows.where(~columns["contaminated"]).select(*columns_of(docs))
 
 
 ORACLE = r"""

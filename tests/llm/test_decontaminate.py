@@ -15,6 +15,42 @@ def test_suffix_array_orders_suffixes():
         assert got == sorted(range(len(ids)), key=lambda i: ids[i:])
 
 
+def test_longest_matches_against_all_pairs():
+    rng = random.Random(2)
+    for _ in range(60):
+        part, items = ([rng.randrange(4) for _ in range(rng.randint(1, 50))] for _ in range(2))
+
+        def common(p, s, part=part, items=items):
+            n = 0
+            while p + n < len(part) and s + n < len(items) and part[p + n] == items[s + n] != 0:
+                n += 1
+            return n
+
+        places = np.array([i for i, x in enumerate(part) if x] or [0])
+        want = [max(common(p, s) for s in range(len(items))) for p in places]
+        assert D.longest_matches(np.array(part), places, np.array(items)).tolist() == want
+
+
+def test_very_long_and_periodic_items():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(100_000)]
+    items = D.Items([(["1"], " ".join(words)), (["2"], "na " * 50_000)])
+    assert items.flat.nbytes < 2_000_000 and len(items.tests[13][0]) == 100_000 - 12 + 1
+    text = "x " + " ".join(words[500:90_500]) + " y " + "na " * 70_000
+    (n, spans, names, longest, place), none = items.shard([text, "w1 w2 unknown"])
+    assert n == 160_002 and names == ["1", "2"] and (longest, place) == (90_000, 1)
+    assert spans == [{"low": 1, "high": 90_001}, {"low": 90_002, "high": 160_002}] and none[1] == []
+
+
+def test_copies_of_one_item_are_searched_once(spark):
+    copies = [(i, "One  two, three FOUR five six" + " " * (i % 3)) for i in range(3000)]
+    bench = spark.createDataFrame(copies, "item_id long, text string")
+    assert D.distinct_items(bench, "item_id", "text").count() == 1
+    (row,) = D.check_documents(docs(spark, [(1, "a one two three four five six b", None, None, 0)]), bench).collect()
+    names = ",".join(sorted(str(i) for i in range(3000)))
+    assert row.n_items == 3000 and row.n_hit == 6 and row.items_sha256 == hashlib.sha256(names.encode()).hexdigest()
+
+
 def fixture():
     rng = random.Random(6)
     words = [f"w{i}" for i in range(30)]
@@ -53,5 +89,6 @@ def test_clean_keeps_columns(spark):
     given, items = fixture()
     table = docs(spark, given).withColumnRenamed("fp", "_found0")
     out = D.clean(table, spark.createDataFrame(items, "item_id long, text string"))
-    assert out.columns == table.columns
+    many = D.clean(table, spark.createDataFrame(items, "item_id long, text string"), block_bytes=64)
+    assert out.columns == table.columns == many.columns and sorted(map(repr, out.collect())) == sorted(map(repr, many.collect()))
     assert 200 not in {r.doc_id for r in out.collect()} and 202 in {r.doc_id for r in out.collect()}
