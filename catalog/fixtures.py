@@ -108,6 +108,24 @@ def archive(spark: SparkSession, sf: str) -> ArchiveStore:
     return _ARCHIVES[key]
 
 
+_COUNTED: dict[tuple[str, str], ArchiveStore] = {}
+
+
+def counted_archive(spark: SparkSession, sf: str) -> ArchiveStore:
+    """Texts in four batches by age, vectors, and a keyword index that was last written when the middle document was captured; filled once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _COUNTED:
+        store, d = ArchiveStore(spark, scratch(spark, "counted")), docs(spark, sf).withColumn("day", F.to_date("mtime"))
+        last = d.agg(F.max("doc_id")).first()[0] or 0
+        for k in range(4):
+            store.append("texts", d.filter(F.least(F.floor(F.col("doc_id") * 4 / (last + 1)), F.lit(3)) == k), k)
+        indexed = d.filter(F.col("doc_id") <= last // 2)
+        store.append("doc_stats", indexed.select("path", F.lit(0).cast("long").alias("len"), "mtime", F.lit(False).alias("removed"), F.col("mtime").alias("indexed_at")), 0)
+        store.append("vectors", vectors(spark, sf), 0)
+        _COUNTED[key] = store
+    return _COUNTED[key]
+
+
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 TEXT_INDEX = DOCS + f""", words AS (SELECT path, unnest({WORDS_SQL}) AS term FROM docs),

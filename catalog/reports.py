@@ -92,14 +92,16 @@ def _(spark, sf):
     return rows.select(X.us("sample_ts").alias("ts_us"), "cpu_pct", "mem_mib", "read_kib", "write_kib")
 
 
-@register(
-    "archive_status",
+STATUS = (
     f"""WITH {X.VECTORS}, {INDEX_FILES}, {X.SAMPLES}, {CHOSEN}, {VSTATS}, {KSTATS}, used AS (SELECT {USED} FROM chosen)
     SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT round(sum(size) / 1048576.0, 2)::DOUBLE FROM docs) AS db_mib,
     k.processed::VARCHAR AS keyword_processed, k.pending::VARCHAR AS keyword_pending, strftime(k.last_run, '%H:%M:%S') AS keyword_last_run,
     v.processed::VARCHAR AS vector_processed, v.pending_reported::VARCHAR AS vector_pending, strftime(v.last_run, '%H:%M:%S') AS vector_last_run,
-    used.*, '~ 12:45' AS next_update, '2024-02-11 12:45:00' AS next_run FROM vstats v, kstats k, used""",
+    used.*, '~ 12:45' AS next_update, '2024-02-11 12:45:00' AS next_run FROM vstats v, kstats k, used"""
 )
+
+
+@register("archive_status", STATUS)
 def _(spark, sf):
     now = F.lit(X.NOW).cast("timestamp")
     return RP.archive_status(
@@ -107,6 +109,12 @@ def _(spark, sf):
     )
 
 
+@register("archive_status_stored", STATUS)
+def _(spark, sf):
+    """From the counters of a store that was filled in four batches of texts."""
+    return RP.stored_status(X.counted_archive(spark, sf), X.samples(spark, sf), X.NEEDLES, F.lit(X.NOW).cast("timestamp"))
+
+
 RAN = f"logs_marked AS (SELECT line_no, line FROM logs WHERE {' AND '.join(f'contains(line, {m!r})' for m in X.MARKERS)})"
 LAST_RUN = "coalesce((SELECT trim(split_part(line, ',', 1)) FROM logs_marked ORDER BY line_no DESC LIMIT 1), 'Pending')"
 

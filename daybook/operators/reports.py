@@ -11,6 +11,7 @@ from daybook.functions import display as D
 from daybook.functions.keys import before_first_comma
 from daybook.functions.schedule import fmt_quarter_hour, next_slot
 from daybook.operators.backlog import pending_docs
+from daybook.sources.store import ArchiveStore
 
 DISABLED = "Disabled"
 
@@ -164,13 +165,10 @@ def archive_health(docs: DataFrame, vectors: DataFrame, logs: DataFrame, markers
     )
 
 
-def archive_status(
-    docs: DataFrame, vectors: DataFrame, index_files: DataFrame, samples: DataFrame, needles: list[str], now: Column,
-    keyword_enabled: bool = True, vector_enabled: bool = True, schedule: str = "*:0/15",
+def _status(
+    totals: DataFrame, samples: DataFrame, needles: list[str], now: Column, keyword_enabled: bool, vector_enabled: bool, schedule: str
 ) -> DataFrame:
-    """Everything the status page shows, in one typed row."""
-    v = _one_row(vector_index_stats(docs, vectors, vector_enabled))
-    k = _one_row(keyword_index_stats(docs, index_files, keyword_enabled))
+    """The status row from totals: n_docs, total_bytes, newer, keyword_last, n_vectors, vector_last."""
     used = engine_processes(samples, needles).agg(
         F.struct(
             F.round(F.sum("cpu"), 1).alias("cpu_pct"),
@@ -179,15 +177,16 @@ def archive_status(
             D.kib(F.sum("io_write")).alias("write_kib"),
         )
     ).scalar()
-    return corpus_stats(docs).select(
+    keyword, vector = F.lit(keyword_enabled), F.lit(vector_enabled)
+    return totals.select(
         "n_docs",
         D.mib(F.col("total_bytes")).alias("db_mib"),
-        shown_count(k["enabled"], k["processed"]).alias("keyword_processed"),
-        shown_count(k["enabled"], k["pending_reported"]).alias("keyword_pending"),
-        D.fmt_time(k["last_run"]).alias("keyword_last_run"),
-        shown_count(v["enabled"], v["processed"]).alias("vector_processed"),
-        shown_count(v["enabled"], v["pending_reported"]).alias("vector_pending"),
-        D.fmt_time(v["last_run"]).alias("vector_last_run"),
+        shown_count(keyword, D.clamp0(F.col("n_docs") - F.col("newer"))).alias("keyword_processed"),
+        shown_count(keyword, F.col("newer")).alias("keyword_pending"),
+        D.fmt_time(F.when(keyword, F.col("keyword_last"))).alias("keyword_last_run"),
+        shown_count(vector, F.col("n_vectors")).alias("vector_processed"),
+        shown_count(vector, D.clamp0(F.col("n_docs") - F.col("n_vectors"))).alias("vector_pending"),
+        D.fmt_time(F.when(vector, F.col("vector_last"))).alias("vector_last_run"),
         used["cpu_pct"].alias("cpu_pct"),
         used["mem_mib"].alias("mem_mib"),
         used["read_kib"].alias("read_kib"),
@@ -195,3 +194,38 @@ def archive_status(
         fmt_quarter_hour(now).alias("next_update"),
         D.fmt_instant(next_slot(now, F.lit(schedule))).alias("next_run"),
     )
+
+
+def archive_status(
+    docs: DataFrame, vectors: DataFrame, index_files: DataFrame, samples: DataFrame, needles: list[str], now: Column,
+    keyword_enabled: bool = True, vector_enabled: bool = True, schedule: str = "*:0/15",
+) -> DataFrame:
+    """Everything the status page shows, in one typed row; each table is scanned once."""
+    latest = index_files.agg(F.max("mtime")).scalar()
+    v = vectors.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("indexed_at").alias("last"))).scalar()
+    totals = docs.agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
+        F.count_if(latest.isNull() | (F.col("mtime") > latest)).alias("newer"),
+    ).select("*", latest.alias("keyword_last"), v["n"].alias("n_vectors"), v["last"].alias("vector_last"))
+    return _status(totals, samples, needles, now, keyword_enabled, vector_enabled, schedule)
+
+
+def stored_status(
+    store: ArchiveStore, samples: DataFrame, needles: list[str], now: Column, keyword_enabled: bool = True, vector_enabled: bool = True, schedule: str = "*:0/15"
+) -> DataFrame:
+    """The same row from the counters of a store's batches: `texts`, the keyword index (`doc_stats`) and `vectors` are not scanned.
+
+    Of the texts only batches that hold both older and newer ones than the last keyword run are looked into.
+    """
+    docs, vectors, latest = store.counts("texts"), store.counts("vectors"), store.counts("doc_stats").newest_at
+    newer = docs if latest is None else store.counts("texts", above=latest)
+    totals = store.spark.range(1).select(
+        F.lit(docs.rows).cast("long").alias("n_docs"),
+        F.lit(docs.bytes).cast("long").alias("total_bytes"),
+        F.lit(newer.rows).cast("long").alias("newer"),
+        F.lit(latest).cast("timestamp").alias("keyword_last"),
+        F.lit(vectors.rows).cast("long").alias("n_vectors"),
+        F.lit(vectors.newest_at).cast("timestamp").alias("vector_last"),
+    )
+    return _status(totals, samples, needles, now, keyword_enabled, vector_enabled, schedule)

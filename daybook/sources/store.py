@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from daybook.runtime import create_text, durable, exists, make_dir, names_in, read_text, remove_dirs
 from daybook.schemas import STORE_TABLES, stored
+from daybook.sources import counts as C
 
 LOG_SCHEMA = "table string, version long, location string, op string, cutoff timestamp, committed_at timestamp"
 
@@ -100,6 +101,30 @@ class ArchiveStore:
             df = self.spark.createDataFrame([], schema)
         return df if without_batch is None else df.filter(F.col("batch") != without_batch)
 
+    def counts(self, table: str, above: dt.datetime | None = None) -> C.Counts:
+        """Rows, bytes and instants of a table from the counters of its batches; with `above`, of the rows newer than it.
+
+        Only batches without counters, and those that `above` cuts, are read. A table with a cutoff is counted whole, as rows of a batch may be hidden.
+        """
+        head = self.head(table)
+        if head is None:
+            return C.Counts()
+        limit = None if above is None else round((above - dt.datetime.fromtimestamp(0, dt.timezone.utc)) / dt.timedelta(microseconds=1))
+        total, unread = C.Counts(), []
+        for name in names_in(self.spark, head.location):
+            known = None if head.cutoff else C.kept(self.spark, f"{head.location}/{name}")
+            if known is None or (limit is not None and None not in (known.oldest, known.newest) and known.oldest <= limit < known.newest):
+                unread.append(int(name.removeprefix("batch=")))
+            elif limit is None or (known.newest is not None and known.newest > limit):
+                total += known
+        if unread:
+            rows = self.read(table).filter(F.col("batch").isin(unread))
+            if above is not None:
+                at = "indexed_at" if "indexed_at" in rows.columns else "mtime"
+                rows = rows.filter(F.col(at) > F.lit(above))
+            total += C.counted(rows)
+        return total
+
     def next_batch(self, table: str) -> int:
         """The number after the newest batch of the table and after every reserved number."""
         head = self.head(table)
@@ -132,9 +157,11 @@ class ArchiveStore:
     # -- writes ----------------------------------------------------------------------------
 
     def append(self, table: str, df: DataFrame, batch: int) -> None:
-        """Write one batch; writing the same batch again replaces it."""
+        """Write one batch with its counters; writing the same batch again replaces it."""
         head = self.head(table) or self._commit(table, self._fresh(table), "create")
-        self._write(table, df, f"{head.location}/batch={batch}")
+        rows, seen = C.observed(df)
+        self._write(table, rows, f"{head.location}/batch={batch}")
+        C.keep(self.spark, f"{head.location}/batch={batch}", seen)
 
     def replace(self, table: str, df: DataFrame, op: str = "replace") -> None:
         """A new version of the table; the old directory stays as the backup."""

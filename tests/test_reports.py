@@ -2,9 +2,11 @@ from pyspark.sql import functions as F
 
 from daybook.operators import reports as RP
 from daybook.operators import retention as R
-from daybook.runtime import broadcast_if_small, fits, scratch, shared_dir
+from daybook.runtime import broadcast_if_small, fits, remove_dirs, scratch, shared_dir
 from daybook.sources import files, logs
+from daybook.sources.counts import Counts, kept
 from daybook.sources.raw import write_files
+from daybook.sources.store import ArchiveStore
 from tests.helpers import at, docs, plan, utc, values
 
 LINES = [
@@ -139,3 +141,55 @@ def test_scratch_follows_the_session_setting(spark):
     one, two = scratch(spark, "x"), scratch(spark, "x")
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert one != two and all(p.startswith(named or shared_dir(spark)) for p in (one, two))
+
+
+def test_counters_follow_what_happens_to_batches(spark, tmp_path):
+    store = ArchiveStore(spark, str(tmp_path / "counted"))
+    assert store.counts("texts") == Counts()
+    d = docs(spark, [("a", "x", 0), ("b", "xx", 10), ("c", "xyz", 20)]).withColumn("day", F.to_date("mtime"))
+    us = lambda t: round(utc(t).timestamp() * 1_000_000)
+    store.append("texts", d.limit(0), 0)
+    store.append("texts", d, 1)
+    store.append("texts", d.filter("path = 'c'"), 2)
+    whole = store.counts("texts")
+    assert (whole.rows, whole.bytes, whole.oldest, whole.newest) == (4, 9, us(0), us(20))
+    assert store.counts("texts", above=utc(10)).rows == 2 and store.counts("texts", above=utc(20)).rows == 0
+    store.append("texts", d.filter("path <> 'c'"), 2)
+    assert store.counts("texts").rows == 5
+    # A batch without counters is counted, and so are the rows that a cutoff leaves.
+    folder = store.head("texts").location
+    remove_dirs(spark, [f"{folder}/batch=1/_counts.json"])
+    assert store.counts("texts").rows == 5
+    store.retain("texts", utc(10))
+    assert store.counts("texts").rows == 3
+    store.reset("texts")
+    assert store.counts("texts") == Counts()
+
+
+def test_rewritten_batches_lose_their_counters(spark, tmp_path):
+    store = ArchiveStore(spark, str(tmp_path / "skips"))
+    rows = spark.createDataFrame([(f"p{i}", "blank") for i in range(6)], "path string, reason string")
+    for batch in (0, 1):
+        store.append("skipped", rows, batch)
+    store.rewrite_batches("skipped", [0], store.read("skipped").filter("batch = 0 AND path < 'p2'"))
+    assert kept(spark, f"{store.head('skipped').location}/batch=0") is None and store.counts("skipped").rows == 8
+    store.replace("skipped", store.read("skipped").filter("path = 'p0'"))
+    assert store.counts("skipped").rows == 2
+
+
+def test_stored_status_equals_scanned_status(spark, tmp_path):
+    d = docs(spark, [(f"p{i}", "x" * i, i * 10) for i in range(12)])
+    vectors = spark.createDataFrame([(i, f"p{i}", [1.0], 1, "e", at(i)) for i in range(5)], "id long, path string, vec array<float>, dim int, encoder string, indexed_at timestamp")
+    samples = spark.createDataFrame([(at(0), 1, "run", 1.5, 10, 20, 30)], "sample_ts timestamp, pid long, cmdline string, cpu double, rss long, io_read long, io_write long")
+    store, now = ArchiveStore(spark, str(tmp_path / "status")), F.lit(utc(500)).cast("timestamp")
+    shown = lambda: RP.stored_status(store, samples, ["run"], now).collect()
+    assert shown()[0].n_docs == 0 and shown()[0].keyword_last_run == "N/A"
+    dated = d.withColumn("day", F.to_date("mtime"))
+    split = F.lit(utc(45)).cast("timestamp")
+    store.append("texts", dated.filter(F.col("mtime") < split), 0)
+    store.append("texts", dated.filter(F.col("mtime") >= split), 1)
+    store.append("vectors", vectors, 0)
+    files_ = d.filter("size <= 7").select("mtime")
+    stats = d.filter("size <= 7").select("path", F.lit(1).cast("long").alias("len"), "mtime", F.lit(False).alias("removed"), F.col("mtime").alias("indexed_at"))
+    store.append("doc_stats", stats, 0)
+    assert shown() == RP.archive_status(d, vectors, files_, samples, ["run"], now).collect()
