@@ -195,6 +195,27 @@ def test_queries_without_a_comparable_vector_have_no_hits(spark, join):
     assert join(v, q.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("join", [N.knn_join, N.knn_join_sql])
+def test_queries_beyond_one_block_keep_repeated_ids(spark, join):
+    rng = np.random.default_rng(9)
+    data, wanted = rng.normal(size=(70, 8)), rng.normal(size=(9, 8))
+    ids = [0, 1, 2, 2, 2, 2, 3, 4, 4]
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, wanted)], "query_id long, vec array<float>")
+    want = []
+    for i in sorted(set(ids)):
+        near = sorted((d, n) for _, _, n, d in brute_knn(data, [w for j, w in zip(ids, wanted) if j == i], 4))[:4]
+        want += [(i, r + 1, n, d) for r, (d, n) in enumerate(near)]
+    assert values(join(frame(spark, data).repartition(3), q, 4, 3), "query_id", "rank", "id", "distance") == want
+
+
+def test_knn_join_sql_ranks_few_of_all_pairs(spark):
+    rng = np.random.default_rng(10)
+    data = rng.normal(size=(600, 8))
+    v = frame(spark, data)
+    near = N._near_sql(v, v.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")), 3, 8, 600, 600, 256)
+    assert 1800 <= near.count() < 600 * 600 / 10
+
+
 def test_knn_plan_cuts_before_the_shuffle(spark):
     v = frame(spark, np.eye(4))
     text = plan(N.knn_join(v, v.select(F.col("id").alias("query_id"), "vec")))
