@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -68,6 +69,24 @@ def test_match_without(spark, index):
     assert values(hits, "path") == ["d1"]
 
 
+def test_match_any_puts_a_document_together_in_one_task(spark, index):
+    """Hits of each term are not shuffled: no exchange deals by query and document."""
+    some = spark.createDataFrame([(1, "quick fox"), (2, "dog"), (3, "missing"), (None, "fox")], "query_id long, text string")
+    anyof = KW.keyword_match(index[1], some, "any")
+    assert sorted(map(tuple, anyof.collect()), key=repr) == sorted(brute_any(index[1], some), key=repr)
+    barred = spark.createDataFrame([(1, "dog"), (2, "quick"), (2, "dog"), (None, "fox")], "query_id long, text string")
+    none = KW.keyword_match(index[1], some, "any", without=barred)
+    out = {(q, p) for q, p in brute_any(index[1], barred) if q is not None}
+    assert sorted(map(tuple, none.collect()), key=repr) == sorted(set(brute_any(index[1], some)) - out, key=repr)
+    for hits in (anyof, none):
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, path", plan(hits))
+
+
+def brute_any(postings, asked):
+    rows = [(r.term, r.path) for r in postings.collect()]
+    return {(q.query_id, p) for q in asked.collect() for t, p in rows if t in KW_tokens(q.text)}
+
+
 def brute_bm25(term_lists, texts):
     words = {p: KW_tokens(t) for p, t in texts}
     avg = sum(map(len, words.values())) / len(words)
