@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from daybook.functions import display as D
 from daybook.functions import keys as K
 from daybook.functions import schedule as SC
 from daybook.functions import text as T
+from daybook.functions import vectors as V
 from daybook.sources.files import split_valid_utf8
 from tests.helpers import at
 
@@ -107,3 +110,17 @@ def test_display(spark):
     assert one(spark, D.clamp0(F.col("n")), n=-3) == 0
     assert one(spark, D.progress_pct(F.col("a"), F.col("b")), a=1, b=3) == 33.3
     assert one(spark, D.progress_pct(F.col("a"), F.col("b")), a=1, b=0) is None
+
+
+def test_words_are_counted_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(V, "COUNTED_WORDS", 5)
+    texts = [["b", "a", "b"], None, [], ["c"], ["a"] * 9, ["x", "y"], ["x", "z", "x"], []]
+    seen = []
+    for rows, terms, doc, code, tf in V.counted(pa.array(texts, pa.list_(pa.string()))):
+        assert len(rows.flatten()) <= 5 or len(rows) == 1
+        names = np.array(terms.to_pylist(), object)[code]
+        for i, own in enumerate(rows.to_pylist()):
+            assert list(zip(names[doc == i], tf[doc == i])) == [(w, own.count(w)) for w in dict.fromkeys(own or [])]
+            seen.append(own)
+    assert seen == texts
+    assert [*V.counted(pa.array([], pa.list_(pa.string())))] == []
