@@ -15,16 +15,18 @@ the one block that a candidate's hash points to. The rows are those of a full BM
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.text import tokens
+from daybook.functions.vectors import counted
 from daybook.operators.backlog import changed_docs, of_their_days, removed_docs
 from daybook.operators.keyword import B, K1, QUERY_TERM_ROWS, bm25, query_terms
 from daybook.operators.refine import heaviest, with_added
@@ -33,6 +35,8 @@ from daybook.sources.store import ArchiveStore
 
 #: Folders of a batch. Up to 32, Spark lists them without a job of its own.
 BUCKETS, SHELVES, BLOCK = 32, 32, 128
+#: Postings that a task puts together in blocks, about, and terms of several blocks that are broadcast; more of these are joined by shuffle.
+CELL_POSTINGS, LEVELLED_ROWS = 250_000, 1_000_000
 #: Blocks per query that are scored before the others are weighed against the result.
 SEEDS = 8
 #: Words that a query is taken to have when rows are counted for a broadcast.
@@ -61,13 +65,14 @@ def block_of(hashed: Column, level: Column) -> Column:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = [Counter(words.as_py() or ()) for words in batch.column(2)]
-        ends = [0, *accumulate(map(len, counts))]
-        terms = pa.array([t for c in counts for t in c], pa.string())
-        tfs = pa.array([n for c in counts for n in c.values()], pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([terms, tfs], ["term", "tf"]))
-        lengths = pa.array([None if not w.is_valid else len(w) for w in batch.column(2)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lengths, lists], ["path", "mtime", "len", "terms"])
+        at = 0
+        for rows, terms, doc, code, tf in counted(batch.column(2)):
+            ends = pa.array(np.searchsorted(doc, np.arange(len(rows) + 1)), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(tf, pa.int64())], ["term", "tf"]))
+            part = batch.slice(at, len(rows))
+            at += len(rows)
+            lengths = pc.list_value_length(rows).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lengths, lists], ["path", "mtime", "len", "terms"])
 
 
 def forward_rows(docs: DataFrame) -> DataFrame:
@@ -76,6 +81,15 @@ def forward_rows(docs: DataFrame) -> DataFrame:
     return words.mapInArrow(_counted, "path string, mtime timestamp, len long, terms array<struct<term: string, tf: bigint>>")
 
 
+def in_shelves(rows: DataFrame) -> DataFrame:
+    """Rows of `forward` with their shelf, dealt out by it. A document's words travel as one string (no word holds a blank) beside their counts."""
+    flat = rows.select("path", "mtime", "len", F.array_join("terms.term", " ").alias("words"), F.col("terms.tf").alias("tfs"), shelf_of(F.col("path")).alias("shelf"))
+    words = F.when(F.size("tfs") > 0, F.split("words", " ")).otherwise(F.array().cast("array<string>"))
+    terms = F.arrays_zip(words.alias("term"), F.col("tfs").alias("tf")).cast("array<struct<term: string, tf: bigint>>")
+    dealt = flat.hint("rebalance", F.col("shelf")).select("path", "mtime", "len", terms.alias("terms"), "shelf")
+    return dealt.sortWithinPartitions("shelf", "path")
+
+
 def live_documents(store: ArchiveStore, without_batch: int | None = None) -> DataFrame:
     """(path, mtime, len, batch) of the documents in the index."""
     dead = store.read("dead", without_batch).select("path", F.col("dead_batch").alias("batch"))
@@ -88,7 +102,7 @@ def update_ranked_index(store: ArchiveStore, docs: DataFrame, batch: int) -> Non
     known = durable(live_documents(store, without_batch=batch))
     changed = durable(changed_docs(docs.select("path", "mtime"), known).select("path"))
     todo = of_their_days(docs, changed).join(broadcast_if_small(changed, QUERY_TERM_ROWS), "path", "left_semi")
-    store.append("forward", spread(forward_rows(todo).withColumn("shelf", shelf_of(F.col("path"))), "shelf", "path"), batch)
+    store.append("forward", in_shelves(forward_rows(todo)), batch)
     replaced = known.join(changed, "path", "left_semi")
     gone = replaced.unionByName(removed_docs(known, docs)).select("path", F.col("batch").alias("dead_batch"), "len")
     store.append("dead", gone, batch)
@@ -105,19 +119,35 @@ def update_ranked_index(store: ArchiveStore, docs: DataFrame, batch: int) -> Non
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("added"), F.lit(1)) / BLOCK))).cast("int")
     store.append("term_counts", spread(both.withColumns({"level": level, "bucket": bucket_of(F.col("term"))}), "bucket", "term"), batch)
 
-    levels = store.read("term_counts").filter((F.col("batch") == batch) & (F.col("added") > 0)).select("term", "level")
-    hashed = postings.join(levels, "term").withColumn("hash", F.xxhash64("path"))
-    lists = hashed.withColumn("block", block_of(F.col("hash"), F.col("level"))).groupBy("term", "block").agg(
-        F.first("level").alias("level"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
-        F.sort_array(F.collect_list(F.struct("hash", "path", "tf", "len"))).alias("entries"),
-    )
-    store.append("blocks", spread(lists.withColumn("bucket", bucket_of(F.col("term"))), "bucket", "term", "block"), batch)
+    counts = store.read("term_counts").filter(F.col("batch") == batch)
+    n_postings = counts.agg(F.sum("added")).first()[0] or 0
+    levels = counts.filter("level > 0 AND added > 0").select("term", "level")
+    store.append("blocks", in_blocks(postings, broadcast_if_small(levels, LEVELLED_ROWS), n_postings), batch)
 
     sums = lambda df: df.agg(F.count("*").alias("n_docs"), F.count("len").alias("n_texts"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
     less = sums(dead).select(*(F.col(c).alias(f"_{c}") for c in ("n_docs", "n_texts", "total_len")))
     store.append("corpus", sums(fresh).crossJoin(less).select(*((F.col(c) - F.col(f"_{c}")).alias(c) for c in ("n_docs", "n_texts", "total_len"))), batch)
 
 
+def in_blocks(postings: DataFrame, levels: DataFrame, n_postings: int) -> DataFrame:
+    """Postings (term, path, tf, len) put together in blocks, by one shuffle; `levels` (term, level) has the terms of more than one block.
+
+    Blocks are dealt out by cells, each a part of one bucket, so few files fall to a bucket and a term of very many blocks is spread.
+    """
+    slots = max(1, math.ceil(n_postings / BUCKETS / CELL_POSTINGS))
+    hashed, block = F.xxhash64("path"), block_of(F.col("hash"), F.col("level"))
+    placed = postings.join(levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("hash", hashed)
+    cell = bucket_of(F.col("term")) * slots + F.pmod(F.xxhash64("term", block), F.lit(slots)).cast("int")
+    dealt = placed.select("term", "path", "tf", "len", "level", cell.alias("cell")).repartition(BUCKETS * slots, "cell")
+    # What follows from a row is not shuffled.
+    whole = dealt.withColumn("hash", hashed).withColumn("block", block)
+    lists = whole.groupBy("cell", "term", "block").agg(
+        F.first("level").alias("level"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
+        F.sort_array(F.collect_list(F.struct("hash", "path", "tf", "len"))).alias("entries"),
+    )
+    return lists.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term", "block")
+
+
 def build_ranked_index(store: ArchiveStore, docs: DataFrame) -> None:
     """A fresh index over all documents."""
     for table in TABLES:

@@ -38,7 +38,12 @@ def load_vector_index(store: ArchiveStore, without_batch: int | None = None) ->
 
 def append_vectors(store: ArchiveStore, numbered: DataFrame, encoder: Encoder, batch: int) -> None:
     """Embed documents that carry ids and write them as one batch. A retry replaces the batch."""
-    rows = embed_texts(numbered, encoder).select(
+    store_vectors(store, embed_texts(numbered, encoder), encoder, batch)
+
+
+def store_vectors(store: ArchiveStore, embedded: DataFrame, encoder: Encoder, batch: int) -> None:
+    """Write documents that carry ids and vectors as one batch."""
+    rows = embedded.select(
         "id",
         "path",
         "vec",

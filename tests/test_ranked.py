@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.operators import keyword as KW
 from daybook.operators import postings as P
@@ -103,3 +104,26 @@ def test_an_empty_archive(spark, folder):
     store = ArchiveStore(spark, f"{folder}/store")
     R.build_ranked_index(store, docs(spark, [("x", "y")]).limit(0))
     assert ranked(store, asked(spark, 1), 5) == []
+
+
+def test_blocks_are_built_by_one_shuffle(spark, folder, monkeypatch):
+    plans, append = {}, ArchiveStore.append
+    monkeypatch.setattr(ArchiveStore, "append", lambda self, table, df, batch: (plans.update({table: plan(df)}), append(self, table, df, batch))[1])
+    R.build_ranked_index(ArchiveStore(spark, folder), docs(spark, [(f"d{i:03d}", f"all w{i % 7}", i) for i in range(300)]))
+    assert plans["blocks"].count("\nArguments: hashpartitioning") == 1
+
+
+def test_terms_of_several_blocks_by_a_shuffle_join(spark, folder, monkeypatch):
+    rows = [(f"d{i:03d}", f"all w{i % 7}" if i % 50 else None, i) for i in range(300)]
+    monkeypatch.setattr(R, "CELL_POSTINGS", 5)
+    found = {}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(R, "LEVELLED_ROWS", most)
+        store = ArchiveStore(spark, f"{folder}/{most}")
+        R.build_ranked_index(store, docs(spark, rows))
+        blocks = store.read("blocks")
+        assert {r.level for r in blocks.filter("term = 'all'").select("level").distinct().collect()} == {2}
+        found[most] = values(blocks.select("term", "level", F.inline("entries")), "term", "level", "path", "tf", "len")
+        assert store.read("forward").filter("len IS NULL AND size(terms) = 0").count() == 6
+    want = sorted((t, 2 if t == "all" else 0, p, 1, 2) for p, x, _ in rows if x for t in x.split())
+    assert found[0] == found[1_000_000] == want
