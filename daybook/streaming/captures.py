@@ -21,42 +21,76 @@ from daybook.sources.feeds import stream_table
 NEVER = -(1 << 62)
 #: State of a key without rows for this long (in the rows' own time) is dropped: the default retention. Rows older than that are not taken.
 IDLE_DAYS = 90
+#: Groups that hold the state of all keys. Each call into Python costs far more than the few rows that a key brings, so a call serves many keys.
+GROUPS = 1024
 
 
 def _ordered(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(chunks), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
-def _stateful(df: DataFrame, keys: list[str], fn, state: str, out: T.StructType | None = None) -> DataFrame:
-    """Run `fn` per key with state that ends when the stream's time is IDLE_DAYS past the key's last row."""
+def in_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `in_key`, one text per key (nulls are a key), and `in_group`, the number of the group that holds the key's state."""
+    return df.withColumn("in_key", F.to_json(F.struct(*keys))).withColumn("in_group", F.pmod(F.xxhash64("in_key"), F.lit(GROUPS)))
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
+
+def spans_of(keys: np.ndarray) -> list[tuple[str, int, int]]:
+    """(key, first row, row after the last) of each key in rows sorted by key."""
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return [(keys[low], low, high) for low, high in zip(cuts, cuts[1:])]
+
+
+def micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype("int64")
+
+
+def _stateful(df: DataFrame, keys: list[str], order: list[str], judge, state: str, out: T.StructType) -> DataFrame:
+    """Judge each key's rows, in `order`, by state that ends when the stream's time is IDLE_DAYS past the key's last row.
+
+    `judge(rows, spans, before)` gets rows of several keys, sorted, with their spans and states (None for a new key), and returns which rows leave,
+    which of these are late, and the states after.
+    """
+    held_as = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("until", T.ArrayType(T.LongType()))])
+    for f in T.StructType.fromDDL(state):
+        held_as.add(f.name, T.ArrayType(f.dataType))
+
+    def step(_: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held = {key: rest for key, *rest in zip(*group.get)} if group.exists else {}
+        now = group.getCurrentWatermarkMs()
+        rows = None if group.hasTimedOut else _ordered(chunks, ["in_key", *order])
+        spans = [] if rows is None else spans_of(rows["in_key"].to_numpy())
+        before = [tuple(held[key][1:]) if key in held else None for key, _, _ in spans]
+        # A key whose time is up goes, unless rows of it are here.
+        held = {key: rest for key, rest in held.items() if rest[0] >= now}
+        if spans:
+            leaving, late, after = judge(rows, spans, before)
+            t = micros(rows["ts"])
+            for (key, low, high), kept in zip(spans, after):
+                if kept is not None:
+                    held[key] = [max(int(t[low:high].max()) // 1000 + 1, now + 1), *kept]
+            if leaving.any():
+                yield rows[leaving].assign(late=late[leaving])[out.fieldNames()]
+        if not held:
             group.remove()
             return
-        chunks = list(chunks)
-        yield from fn(key, iter(chunks), group)
-        if group.exists:
-            newest = int(max(c["ts"].max() for c in chunks).timestamp() * 1000) + 1
-            group.setTimeoutTimestamp(max(newest, group.getCurrentWatermarkMs() + 1))
-
-    return df.withWatermark("ts", f"{IDLE_DAYS} days").groupBy(*keys).applyInPandasWithState(
-        step, out or df.schema, state, "append", GroupStateTimeout.EventTimeTimeout
-    )
+        group.update((list(held), *map(list, zip(*held.values()))))
+        group.setTimeoutTimestamp(max(min(rest[0] for rest in held.values()), now + 1))
+
+    grouped = in_groups(df.withWatermark("ts", f"{IDLE_DAYS} days"), keys).groupBy("in_group")
+    return grouped.applyInPandasWithState(step, out, held_as, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate_rows(rows: pd.DataFrame, before: tuple, pause_on_suspend: bool, pause_when_locked: bool) -> tuple[np.ndarray, np.ndarray, tuple]:
+def gate_rows(
+    t: np.ndarray, side: np.ndarray, kind: np.ndarray, active: np.ndarray, before: tuple, pause_on_suspend: bool, pause_when_locked: bool
+) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Judge a session's rows, in order, by its suspend and lock flags: (passed captures, captures that came too late, flags after).
 
-    `before` and the flags after are (suspended, since, locked, since) in microseconds. `_side` is 0 for a state, 1 for a capture.
+    `before` and the flags after are (suspended, since, locked, since) in microseconds, as `t`. `side` is 0 for a state, 1 for a capture.
     """
-    t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-    side, kind = rows["_side"].to_numpy(), rows["_kind"].to_numpy()
-    active = rows["_active"].astype(object).where(rows["_active"].notna(), False).to_numpy().astype(bool)
     flags, after = [], []
     for name, old, since in zip(("suspend", "lock"), before[::2], before[1::2]):
         # Position of the newest state of this kind at each row; 0 stands for the state kept from before.
-        at = np.maximum.accumulate(np.where((side == 0) & (kind == name) & (t >= since), np.arange(1, len(rows) + 1), 0))
+        at = np.maximum.accumulate(np.where((side == 0) & (kind == name) & (t >= since), np.arange(1, len(t) + 1), 0))
         flags.append(np.concatenate([[bool(old)], active])[at])
         after += [bool(flags[-1][-1]), int(np.concatenate([[since], t])[at[-1]])]
     late = (side == 1) & (t < max(before[1], before[3]))
@@ -64,6 +98,18 @@ def gate_rows(rows: pd.DataFrame, before: tuple, pause_on_suspend: bool, pause_w
     return open_, late, tuple(after)
 
 
+def gate_spans(rows: pd.DataFrame, spans: list, before: list[tuple | None], pause_on_suspend: bool, pause_when_locked: bool) -> tuple[np.ndarray, np.ndarray, list]:
+    """`gate_rows` for the sessions of some sorted rows."""
+    t, side, kind = micros(rows["ts"]), rows["_side"].to_numpy(), rows["_kind"].to_numpy()
+    active = rows["_active"].astype(object).where(rows["_active"].notna(), False).to_numpy().astype(bool)
+    open_, late, after = np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
+    for (_, low, high), old in zip(spans, before):
+        at = slice(low, high)
+        open_[at], late[at], flags = gate_rows(t[at], side[at], kind[at], active[at], old or (False, NEVER, False, NEVER), pause_on_suspend, pause_when_locked)
+        after.append(flags)
+    return open_, late, after
+
+
 def changed_rows(seconds: np.ndarray, hashes: list, last: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple | None]:
     """Judge a window's captures, in order: (kept, too late, (hash, second) after).
 
@@ -88,17 +134,16 @@ def drop_unchanged_stream(captures: DataFrame) -> DataFrame:
     """
     out = T.StructType([*captures.schema.fields, T.StructField("late", T.BooleanType())])
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(chunks, ["ts", "seq"])
+    def judge(rows: pd.DataFrame, spans: list, before: list) -> tuple[np.ndarray, np.ndarray, list]:
         second = rows["ts"].to_numpy().astype("datetime64[s]").astype("int64")
         hashes = rows["frame_hash"].astype(object).where(rows["frame_hash"].notna(), None).tolist()
-        kept, late, after = changed_rows(second, hashes, tuple(state.get) if state.exists else None)
-        if after is not None:
-            state.update(after)
-        if (kept | late).any():
-            yield rows[kept | late].assign(late=late[kept | late])[out.fieldNames()]
+        kept, late, after = np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
+        for (_, low, high), last in zip(spans, before):
+            kept[low:high], late[low:high], now = changed_rows(second[low:high], hashes[low:high], last)
+            after.append(now)
+        return kept | late, late, after
 
-    return _stateful(captures, ["window_id"], step, "last_hash string, last_second long", out)
+    return _stateful(captures, ["window_id"], ["ts", "seq"], judge, "last_hash string, last_second long", out)
 
 
 def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, pause_when_locked=True) -> DataFrame:
@@ -120,16 +165,12 @@ def gate_stream(captures: DataFrame, states: DataFrame, pause_on_suspend=True, p
     both = left.unionByName(right)
     out = T.StructType([both.schema["_row"], T.StructField("late", T.BooleanType())])
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(chunks, ["ts", "_side", "seq"])
-        before = state.get if state.exists else (False, NEVER, False, NEVER)
-        open_, late, after = gate_rows(rows, before, pause_on_suspend, pause_when_locked)
-        state.update(after)
-        if (open_ | late).any():
-            yield rows.loc[open_ | late, ["_row"]].assign(late=late[open_ | late])
+    def judge(rows: pd.DataFrame, spans: list, before: list) -> tuple[np.ndarray, np.ndarray, list]:
+        open_, late, after = gate_spans(rows, spans, before, pause_on_suspend, pause_when_locked)
+        return open_ | late, late, after
 
     names = "suspended boolean, suspended_at long, locked boolean, locked_at long"
-    return _stateful(both, ["session"], step, names, out).select("_row.*", "late")
+    return _stateful(both, ["session"], ["ts", "_side", "seq"], judge, names, out).select("_row.*", "late")
 
 
 def throttle_stream(events: DataFrame, keys: list[str], interval_seconds: float = 60) -> DataFrame:
@@ -141,22 +182,22 @@ def throttle_stream(events: DataFrame, keys: list[str], interval_seconds: float
     interval = int(interval_seconds * 1_000_000)
     out = T.StructType([*events.schema.fields, T.StructField("late", T.BooleanType())])
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(chunks, ["ts", "seq"])
-        t = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        last, newest = state.get if state.exists else (NEVER, NEVER)
-        n_late = int(np.searchsorted(t, newest))
-        hit = list(range(n_late))
-        i = max(n_late, int(np.searchsorted(t, last + interval, side="right")))
-        while i < len(t):
-            hit.append(i)
-            last = int(t[i])
-            i = int(np.searchsorted(t, last + interval, side="right"))
-        state.update((last, max(newest, int(t[-1]))))
-        if hit:
-            yield rows.iloc[hit].assign(late=np.array(hit) < n_late)[out.fieldNames()]
-
-    return _stateful(events, keys, step, "last_emit long, newest long", out)
+    def judge(rows: pd.DataFrame, spans: list, before: list) -> tuple[np.ndarray, np.ndarray, list]:
+        times, leaving, late, after = micros(rows["ts"]), np.zeros(len(rows), bool), np.zeros(len(rows), bool), []
+        for (_, low, high), old in zip(spans, before):
+            t = times[low:high]
+            last, newest = old or (NEVER, NEVER)
+            n_late = int(np.searchsorted(t, newest))
+            leaving[low : low + n_late] = late[low : low + n_late] = True
+            i = max(n_late, int(np.searchsorted(t, last + interval, side="right")))
+            while i < len(t):
+                leaving[low + i] = True
+                last = int(t[i])
+                i = int(np.searchsorted(t, last + interval, side="right"))
+            after.append((last, max(newest, int(t[-1]))))
+        return leaving, late, after
+
+    return _stateful(events, keys, ["ts", "seq"], judge, "last_emit long, newest long", out)
 
 
 def ingest(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> DataStreamWriter:

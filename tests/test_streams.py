@@ -167,3 +167,30 @@ def test_index_stream_survives_a_crash_after_the_write(spark, folder, monkeypatc
     assert values(load_vector_index(store), "id", "path") == [(i, f"d{i}") for i in range(6)]
     want = values(build_postings(docs(spark, rows)), "term", "path", "tf")
     assert values(live_postings(store), "term", "path", "tf") == want
+
+
+@pytest.mark.parametrize("groups", [1, 16])
+def test_many_sessions_share_the_state_of_a_group(spark, folder, monkeypatch, groups):
+    monkeypatch.setattr(ST, "GROUPS", groups)
+    rnd = random.Random(groups)
+    names = [None, *(f"s{i}" for i in range(60))]
+    caps = [(rnd.choice(names), rnd.uniform(0, 200), i, rnd.choice("xy")) for i in range(400)]
+    signals = [(rnd.choice(names[1:]), rnd.uniform(0, 200), i, rnd.choice(["lock", "suspend"]), rnd.random() < 0.5) for i in range(200)]
+    cap, sig, cuts = captures(spark, caps), states(spark, signals), [70, 140]
+    stream = ST.gate_stream(arriving(spark, cap, f"{folder}/c", cuts), arriving(spark, sig, f"{folder}/s", cuts))
+    query = ST.ingest(stream, f"{folder}/sink", f"{folder}/ck").start()
+    query.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= groups
+    got = spark.read.schema(stream.schema).parquet(f"{folder}/sink")
+    assert values(got, "seq") == values(S.gate_paused(cap, sig), "seq") and got.filter("late").count() == 0
+
+
+def test_an_idle_key_loses_its_state_and_others_of_its_group_keep_theirs(spark, folder, monkeypatch):
+    monkeypatch.setattr(ST, "GROUPS", 1)
+    day = 86_400
+    rows = [("a", 0, 1, "x"), ("b", 80 * day, 2, "x"), ("c", 100 * day, 3, "x"), ("c", 101 * day, 4, "x"), ("a", 102 * day, 5, "x"), ("b", 103 * day, 6, "x")]
+    for row in rows:
+        captures(spark, [row]).write.mode("append").parquet(f"{folder}/in")
+    source = stream_table(spark, f"{folder}/in", captures(spark, rows).schema, files_per_trigger=1)
+    # The state of "a" ended when the stream's time passed its day 90; the frame of "b" is still known.
+    assert values(drain(spark, ST.drop_unchanged_stream(source), folder), "seq") == [1, 2, 3, 5]
