@@ -13,6 +13,7 @@ from daybook.operators import refine as RF
 from daybook.operators.embed import default_encoder, embed_texts
 from daybook.operators.ranked import refine_from_store
 from daybook.plans import search as S
+from daybook.runtime import stored
 
 ENCODER = default_encoder(X.DIM)
 
@@ -100,8 +101,9 @@ semantic AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def _doc_vectors(spark, sf):
-    """Embedded documents with dense ids in path order."""
-    return embed_texts(assign_ids(X.docs(spark, sf).select("path", "text")), ENCODER).select("id", "path", "vec")
+    """Embedded documents with dense ids in path order. The ids are joined to vectors, which are shorter than texts."""
+    embedded = stored(embed_texts(X.docs(spark, sf).select("path", "text"), ENCODER).select("path", "vec"), "embedded")
+    return assign_ids(embedded).select("id", "path", "vec")
 
 
 @register(

@@ -310,3 +310,29 @@ def test_index_updates_equal_one_shot(spark, folder):
     again = final.unionByName(docs(spark, [("c", "gone", 90)]))
     P.update_keyword_index(store, again, 3)
     assert values(P.live_postings(store), "term", "path", "tf") == values(P.build_postings(again), "term", "path", "tf")
+
+
+def test_postings_counted_by_document_are_the_grouped_ones(spark):
+    rows = [("d1", "Red fox, red den é"), ("d2", "den den den"), ("d2", "a den"), (None, "fox"), (None, "fox red"), ("d3", None), ("d4", " ")]
+    some, once = spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame(rows[:2], "path string, text string")
+    for positions in (True, False):
+        names = ["term", "path", "tf", "positions"][: 3 + positions]
+        for d in (some, once, some.limit(0)):
+            made = P.build_postings(d, positions=positions, whole=True)
+            assert made.columns == names and made.dtypes == P.build_postings(d, positions=positions).dtypes
+            found, want = made.collect(), P.build_postings(d, positions=positions).collect()
+            assert sorted(found, key=repr) == sorted(want, key=repr)
+        # Nothing is shuffled where every path stands once.
+        assert "Exchange" not in plan(P.build_postings(once, positions=positions, whole=True))
+
+
+def test_postings_of_sliced_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from daybook.functions import vectors as V
+
+    monkeypatch.setattr(V, "COUNTED_WORDS", 4)
+    words = [["b", "a", "b"], None, [], ["a", "c", "a", "a", "b"], ["c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(5)]), pa.array(words, pa.list_(pa.string()))], ["path", "words"])
+    got = sorted((r["path"], r["term"], r["tf"], r["positions"]) for b in P._posted(iter([batch]), True) for r in b.to_pylist())
+    assert got == [("d0", "a", 1, [1]), ("d0", "b", 2, [0, 2]), ("d3", "a", 3, [0, 2, 3]), ("d3", "b", 1, [4]), ("d3", "c", 1, [1]), ("d4", "c", 1, [0])]
