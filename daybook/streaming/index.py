@@ -31,7 +31,7 @@ def index_batch(
     try:
         if KEYWORD in backends:
             if not store.has_batch("postings", batch):
-                store.append("postings", spread_postings(build_postings(docs)), batch)
+                store.append("postings", spread_postings(build_postings(docs, whole=True)), batch)
             if not store.has_batch("doc_stats", batch):
                 length = F.size(tokens(F.col("text"))).cast("long")
                 entries = docs.select("path", length.alias("len"), "mtime", F.lit(False).alias("removed"))
