@@ -4,7 +4,7 @@ A line is the text between line feeds, trimmed of blanks; empty ones are left ou
 substitutions of characters lead from one to the other and that is at most a fifth of the longer line (so a line needs
 five characters for each edit). A line is cut into `edits` + 1 even segments; at least one of them stands unchanged in any line that it links
 with, shifted by no more than the edits allow. Segments are indexed by line length and ordinal; every line probes the indexes of its own and slightly
-smaller lengths. Equal lines are one class from the start, so copies cost nothing here. Native: DataFrame functions only.
+smaller lengths; its own segments serve as probes of equal length. Equal lines are one class from the start, so copies cost nothing here. Native: DataFrame functions only.
 Null texts have no lines. A line of any length is compared whole.
 
 Texts are not shuffled: lines travel as digests, and only lines of candidate pairs are fetched. Where a set decides which lines to look at, it is
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.runtime import durable, scratch
+from daybook.runtime import durable, stored
 
 EDITS = 2
 BLANKS = " \t\x0b\x0c\r"
@@ -39,13 +39,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows from a table written in the shared folder; compressed, unlike a checkpoint."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mark(line: Column) -> Column:
     """Sixteen bytes that stand for a line."""
     return F.unhex(F.md5(line))
@@ -79,18 +72,19 @@ def probed(edits: int) -> list[tuple[int, int, int]]:
     """(difference in length, segment, shift) of all substrings of a line that can be a segment of an equally long or shorter line.
 
     Segment k may be shifted by at most k edits before it, and by so few that the edits behind it suffice for the rest of
-    the difference in length.
+    the difference in length. Between equally long lines the unshifted substrings are the lines' own segments, and up to three edits hold
+    one insertion and one deletion at most; either line may probe the other, and for one of the two the insertion comes first, so no shift is below zero.
     """
     return [
         (less, k, shift)
         for less in range(edits + 1)
         for k in range(edits + 1)
-        for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1)
+        for shift in range(max(-k, less - (edits - k)) if less else 1, min(k, less + (edits - k)) + 1)
     ]
 
 
 def probes(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, h1, line) for each substring of a line that can be a segment of a line as long or up to `edits` shorter."""
+    """(key, h1, line) for each substring of a line, its own segments aside, that can be a segment of a line as long or up to `edits` shorter."""
     ways = F.array(*(F.struct(F.lit(a).alias("less"), F.lit(k).alias("k"), F.lit(x).alias("shift")) for a, k, x in probed(edits)))
     rows = lines.select("h1", "n", "line", F.explode(ways).alias("w")).select("h1", "n", "line", (F.col("n") - F.col("w.less")).alias("other"), "w.k", "w.shift")
     start, size = _segment(F.col("other"), F.col("k"), edits + 1)
@@ -203,9 +197,13 @@ def candidates(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select(F.pmod("key", F.lit(KEY_BUCKETS)).alias("bucket"))
     shared = durable(shared.distinct())
     probe = keyed(probes(cut, edits), shared).select("key", F.col("h1").alias("b"), F.col("letters").alias("_letters"))
-    near = F.coalesce(packed_near(F.col("letters"), F.col("_letters"), 2 * edits), F.lit(True))
-    found = keyed(index, shared).join(probe, "key").where((F.col("h1") != F.col("b")) & near)
-    return found.select(F.least("h1", "b").alias("a"), F.greatest("h1", "b").alias("b")).distinct()
+    near = lambda x, y: F.coalesce(packed_near(F.col(x), F.col(y), 2 * edits), F.lit(True))
+    keys = keyed(index, shared)
+    found = keys.join(probe, "key").where((F.col("h1") != F.col("b")) & near("letters", "_letters"))
+    found = found.select(F.least("h1", "b").alias("a"), F.greatest("h1", "b").alias("b"))
+    # Own segments meet among themselves: the shuffled index is used twice.
+    alike = keys.alias("x").join(keys.alias("y"), "key").where((F.col("x.h1") < F.col("y.h1")) & near("x.letters", "y.letters"))
+    return found.unionByName(alike.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b"))).distinct()
 
 
 def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:

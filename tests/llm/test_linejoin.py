@@ -90,3 +90,12 @@ def test_lines_with_many_copies(spark, monkeypatch):
     monkeypatch.setattr(J, "COPIES", 3)
     given = [(i, "a common line of text\na common line of test\nrare line number " + "xyzvw"[i % 5], None, None, 0) for i in range(20)]
     same_as_sql(J.join_lines(docs(spark, given)), J.ORACLE, given)
+
+
+def test_own_segments_are_shuffled_once_and_each_way_is_probed_once(spark):
+    assert [len(J.probed(e)) for e in (1, 2, 3)] == [2, 8, 20]
+    assert not any(less == 0 and shift <= 0 for e in (1, 2, 3) for less, _, shift in J.probed(e))
+    # Equally long lines that only meet through a shifted middle segment, in either order.
+    given = [(i, t, None, None, 0) for i, t in enumerate(["abcdefghijklmnopqr", "Xabcdefghijklmnopq", "123456789012345678", "234567890123456789"])]
+    links = {r.doc_id: r.n_links for r in J.join_lines(docs(spark, given)).collect()}
+    assert links == {0: 1, 1: 1, 2: 1, 3: 1}
