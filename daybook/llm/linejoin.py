@@ -32,11 +32,17 @@ COPIES, HOT_BUCKETS, FETCH_BUCKETS = 2, 1 << 20, 1 << 20
 SHARED, KEY_BUCKETS = 16, 1 << 20
 
 
+def trimmed(line: Column) -> Column:
+    """A line without blanks at its ends. Trimming goes through all characters, so only lines that have some there are trimmed."""
+    ends = (F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c)) for c in BLANKS)
+    return F.when(reduce(lambda x, y: x | y, ends), F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, line_no (from 0, empty lines counted), line."""
     split = F.posexplode(F.split(F.col(text_col), "\n", -1))
     rows = docs.select(F.col(id_col).alias("doc_id"), split.alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line")).where("line <> ''")
+    return rows.select("doc_id", "line_no", trimmed(F.col("line")).alias("line")).where("line <> ''")
 
 
 def mark(line: Column) -> Column:
@@ -60,11 +66,17 @@ def _segment(length: Column, k: Column, parts: int) -> tuple[Column, Column]:
     return small * k + F.greatest(F.lit(0), k - first_long), small + (k >= first_long).cast("int")
 
 
+def cut_out(line: str, n: str, start: Column, size: Column) -> Column:
+    """UTF-8 bytes of `size` characters of a line from `start` (from 0) on; `n` names its length. If all its characters are single bytes, none have to be counted."""
+    plain = F.octet_length(line) == F.col(n)
+    return F.when(plain, F.substring(F.col(line).cast("binary"), start + 1, size)).otherwise(F.substring(line, start + 1, size).cast("binary"))
+
+
 def indexed(lines: DataFrame, edits: int) -> DataFrame:
     """(key, h1, line) for each segment of each line."""
     parts = edits + 1
     start, size = _segment(F.col("n"), F.col("k"), parts)
-    key = F.xxhash64("n", "k", F.substring("line", start + 1, size))
+    key = F.xxhash64("n", "k", cut_out("line", "n", start, size))
     return lines.select("h1", "n", "line", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).select(key.alias("key"), "h1", "line")
 
 
@@ -90,7 +102,7 @@ def probes(lines: DataFrame, edits: int) -> DataFrame:
     start, size = _segment(F.col("other"), F.col("k"), edits + 1)
     at = start + F.col("shift")
     rows = rows.where((F.col("other") > 0) & (at >= 0) & (at + size <= F.col("n")))
-    return rows.select(F.xxhash64("other", "k", F.substring("line", at + 1, size)).alias("key"), "h1", "line")
+    return rows.select(F.xxhash64("other", "k", cut_out("line", "n", at, size)).alias("key"), "h1", "line")
 
 
 def packed_letters(line: Column) -> Column:
@@ -188,7 +200,7 @@ def candidates(lines: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     """
     hot = classes.where(F.col("n_copies") > COPIES).select("bucket")
     hot = durable(hot.distinct())
-    several = in_buckets(lines, hot, HOT_BUCKETS, "left_semi").groupBy(mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line")).drop("mark")
+    several = in_buckets(lines, hot, HOT_BUCKETS, "left_semi").select("line").distinct()
     long_enough = in_buckets(lines, hot, HOT_BUCKETS, "left_anti").select("line").unionByName(several)
     # A line of 4 characters can link with one of 5; shorter ones link with none.
     cut = stored(long_enough.select("line").where(F.length("line") >= 4), "cut")
@@ -214,7 +226,7 @@ def line_links(lines: DataFrame, classes: DataFrame, edits: int = EDITS) -> Data
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     wanted = durable(ids.select(F.pmod("h1", F.lit(FETCH_BUCKETS)).alias("bucket")).distinct())
     near = in_buckets(lines, wanted, FETCH_BUCKETS, "left_semi").select(F.xxhash64("line").alias("h1"), "line")
-    near = near.join(ids, "h1").groupBy("h1", mark(F.col("line")).alias("mark")).agg(F.first("line").alias("line"))
+    near = near.join(ids, "h1").select("h1", "line").distinct().withColumn("mark", mark(F.col("line")))
     near = stored(near.withColumn("n", F.length("line")).withColumn("letters", letters(F.col("line"))), "lines")
     # Lengths and letters drop most pairs before any text is joined to them.
     small = lambda h: near.select(F.col("h1").alias(h), *(F.col(c).alias(f"{h}_{c}") for c in ("mark", "n", "letters")))

@@ -99,3 +99,23 @@ def test_own_segments_are_shuffled_once_and_each_way_is_probed_once(spark):
     given = [(i, t, None, None, 0) for i, t in enumerate(["abcdefghijklmnopqr", "Xabcdefghijklmnopq", "123456789012345678", "234567890123456789"])]
     links = {r.doc_id: r.n_links for r in J.join_lines(docs(spark, given)).collect()}
     assert links == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
+def test_lines_are_brought_down_to_one_without_sorting_them(spark, monkeypatch):
+    from tests.helpers import plan
+
+    written, stored = {}, J.stored
+    monkeypatch.setattr(J, "stored", lambda df, label: written.setdefault(label, plan(df)) and stored(df, label))
+    given = [(i, "a common line of text\na common line of test", None, None, 0) for i in range(5)]
+    assert {(r.n_copies, r.n_links) for r in J.join_lines(docs(spark, given)).collect()} == {(5, 1)}
+    assert {"cut", "lines"} <= set(written) and not any("SortAggregate" in written[x] for x in ("cut", "lines"))
+
+
+def test_trimming_and_cutting_leave_what_they_left(spark):
+    blanks = [*J.BLANKS, "", "\u00a0"]
+    lines = [a + x + b for a in blanks for b in blanks for x in ("", "x", "two words", "x \t y", "né \u20ac \U0001f600 n")] + [" \t ", "\r\r", "\u0000"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("n", F.length("line"))
+    got = df.select("line", J.trimmed(F.col("line")).alias("t"), *(J.cut_out("line", "n", F.lit(at), F.lit(size)).alias(f"c{at}{size}") for at in range(3) for size in range(4)))
+    for r in got.collect():
+        assert r.t == r.line.strip(J.BLANKS)
+        assert all(bytes(r[f"c{at}{size}"]) == r.line[at : at + size].encode() for at in range(3) for size in range(4))
