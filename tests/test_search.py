@@ -14,6 +14,7 @@ from daybook.operators import refine as RF
 from daybook.operators.embed import Encoder, default_encoder, embed_texts
 from daybook.operators.extract import extract_html, extract_text
 from daybook.plans import search as S
+from daybook.runtime import setting
 from daybook.sources.store import ArchiveStore
 from tests.helpers import docs, plan, values
 
@@ -336,3 +337,18 @@ def test_postings_of_sliced_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(5)]), pa.array(words, pa.list_(pa.string()))], ["path", "words"])
     got = sorted((r["path"], r["term"], r["tf"], r["positions"]) for b in P._posted(iter([batch]), True) for r in b.to_pylist())
     assert got == [("d0", "a", 1, [1]), ("d0", "b", 2, [0, 2]), ("d3", "a", 3, [0, 2, 3]), ("d3", "b", 1, [4]), ("d3", "c", 1, [1]), ("d4", "c", 1, [0])]
+
+
+def test_the_pairs_of_the_sql_join_are_compiled(spark):
+    """A join of two rows with 64 entries each is beyond Spark's limit of columns unless the limit is raised; its rows then pass an interpreter."""
+    rng = np.random.default_rng(5)
+    made = [(i, [float(x) for x in rng.standard_normal(64)]) for i in range(300)]
+    v = spark.createDataFrame(made, "id long, vec array<float>")
+    asked = v.select(F.col("id").alias("query_id"), F.col("vec").alias("_q"))
+    with setting(spark, "spark.sql.adaptive.enabled", False), setting(spark, "spark.sql.codegen.maxFields", 2 * N.SQL_DIMS + 16):
+        near = N._near_sql(v, asked, 5, 64, 300, 300, 64)
+        assert "* ShuffledHashJoin" in plan(near)
+    limit = spark.conf.get("spark.sql.codegen.maxFields")
+    want = values(N.knn_join(v, v.select(F.col("id").alias("query_id"), "vec"), 5), "query_id", "rank", "id", "distance")
+    assert values(N.knn_join_sql(v, v.select(F.col("id").alias("query_id"), "vec"), 5, 64), "query_id", "rank", "id", "distance") == want
+    assert spark.conf.get("spark.sql.codegen.maxFields") == limit
