@@ -10,7 +10,7 @@ from daybook.functions.keys import basename
 from daybook.runtime import scratch
 from daybook.schemas import PROC_SAMPLES, STATES
 from daybook.sources import feeds, files, logs
-from daybook.sources.raw import write_files
+from daybook.sources.raw import read_files, write_files
 
 
 def _text_files(spark, sf):
@@ -35,8 +35,7 @@ def _(spark, sf):
 
 @register("valid_utf8", f"WITH {X.DOCS} SELECT path, 'undecodable' AS reason FROM docs WHERE doc_id % 10 = 0")
 def _(spark, sf):
-    raw = spark.read.format("binaryFile").load(_text_files(spark, sf))
-    _, rejects = files.split_valid_utf8(raw)
+    _, rejects = files.split_valid_utf8(read_files(spark, _text_files(spark, sf)))
     return rejects.select(basename(F.col("path")).alias("path"), "reason")
 
 

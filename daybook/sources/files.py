@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daybook.functions.keys import basename, capture_key, parse_capture_key
 from daybook.functions.text import normalise_newlines
 from daybook.operators.captures import first_per_key
+from daybook.sources.raw import read_files
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
@@ -43,7 +44,7 @@ def split_valid_utf8(files: DataFrame, content: str = "content") -> tuple[DataFr
 
 def read_texts_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Decodable *.txt files directly below `path` as DOCS rows, newlines normalised; and (path, mtime, size, reason) of the others."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = read_files(spark, path, "*.txt")
     good, bad = split_valid_utf8(files)
     key = parse_capture_key(F.col("path"))
     texts = good.select(

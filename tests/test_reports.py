@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from daybook.operators import reports as RP
@@ -5,7 +6,7 @@ from daybook.operators import retention as R
 from daybook.runtime import broadcast_if_small, fits, remove_dirs, scratch, shared_dir
 from daybook.sources import files, logs
 from daybook.sources.counts import Counts, kept
-from daybook.sources.raw import write_files
+from daybook.sources.raw import read_files, write_files
 from daybook.sources.store import ArchiveStore
 from tests.helpers import at, docs, plan, utc, values
 
@@ -193,3 +194,18 @@ def test_stored_status_equals_scanned_status(spark, tmp_path):
     stats = d.filter("size <= 7").select("path", F.lit(1).cast("long").alias("len"), "mtime", F.lit(False).alias("removed"), F.col("mtime").alias("indexed_at"))
     store.append("doc_stats", stats, 0)
     assert shown() == RP.archive_status(d, vectors, files_, samples, ["run"], now).collect()
+
+
+def test_files_are_not_listed_on_the_driver(spark, folder):
+    """The rows of Spark's binary files, with no file of the folder in the plan, and a number of tasks that follows from thousands of files."""
+    names = [f"w_{1704067200 + i}.txt" for i in range(300)] + ["_hidden.txt", ".hidden.txt", "k=1.png", "a b%20c.txt", "_x=1_1704067200.txt"]
+    write_files(spark.createDataFrame([(n, bytearray(n.encode() + b"\xff" * (i % 3))) for i, n in enumerate(names)], "name string, content binary"), folder)
+    write_files(spark.createDataFrame([("below.txt", bytearray(b"x"))], "name string, content binary"), f"{folder}/deeper")
+    for pattern in ("*", "*.txt", "*.none"):
+        ours, theirs = read_files(spark, folder, pattern), spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        assert ours.columns == theirs.columns and sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+    texts = files.read_texts(spark, folder)
+    assert not any(f.endswith(".txt") for f in texts.inputFiles()) and texts.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(r.path for r in texts.select("path").collect()) == sorted(r.path for r in read_files(spark, folder, "*.txt").collect() if not r.content.endswith(b"\xff"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_texts(spark, f"{folder}/none").count()
