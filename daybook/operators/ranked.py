@@ -30,17 +30,21 @@ from daybook.functions.vectors import counted
 from daybook.operators.backlog import changed_docs, of_their_days, removed_docs
 from daybook.operators.keyword import B, K1, QUERY_TERM_ROWS, bm25, query_terms
 from daybook.operators.refine import heaviest, with_added
-from daybook.runtime import broadcast_if_small, durable, fits, small
+from daybook.runtime import broadcast_if_small, durable, fits, freed_shuffles, small
 from daybook.sources.store import ArchiveStore
 
 #: Folders of a batch. Up to 32, Spark lists them without a job of its own.
 BUCKETS, SHELVES, BLOCK = 32, 32, 128
 #: Postings that a task puts together in blocks, about, and terms of several blocks that are broadcast; more of these are joined by shuffle.
 CELL_POSTINGS, LEVELLED_ROWS = 250_000, 1_000_000
+#: Postings that are shuffled at a time, about: more of them are put together in rounds, each for a part of the buckets.
+ROUND_POSTINGS = 150_000_000
 #: Blocks per query that are scored before the others are weighed against the result.
 SEEDS = 8
 #: Words that a query is taken to have when rows are counted for a broadcast.
 ASKED = 32
+#: Candidates whose places in blocks are broadcast.
+FEW = QUERY_TERM_ROWS // ASKED
 #: Scores are rounded to six digits before ranking; a block that may reach the last place within that still counts.
 SLACK = 1e-6
 TABLES = ("forward", "blocks", "term_counts", "corpus", "dead")
@@ -98,10 +102,19 @@ def live_documents(store: ArchiveStore, without_batch: int | None = None) -> Dat
 
 def update_ranked_index(store: ArchiveStore, docs: DataFrame, batch: int) -> None:
     """Take in new and changed documents of `docs`, the whole present archive, and drop removed ones. Repeating a batch replaces it."""
+    with freed_shuffles(store.spark):
+        _update(store, docs, batch)
+
+
+def _update(store: ArchiveStore, docs: DataFrame, batch: int) -> None:
     spread = lambda df, level, *order: df.hint("rebalance", F.col(level)).sortWithinPartitions(level, *order)
     known = durable(live_documents(store, without_batch=batch))
     changed = durable(changed_docs(docs.select("path", "mtime"), known).select("path"))
-    todo = of_their_days(docs, changed).join(broadcast_if_small(changed, QUERY_TERM_ROWS), "path", "left_semi")
+    if known.isEmpty():
+        # All documents are new: their texts meet no list of paths, which for very many paths would take a shuffle of the texts.
+        todo = docs.filter(F.col("path").isNotNull())
+    else:
+        todo = of_their_days(docs, changed).join(broadcast_if_small(changed, QUERY_TERM_ROWS), "path", "left_semi")
     store.append("forward", in_shelves(forward_rows(todo)), batch)
     replaced = known.join(changed, "path", "left_semi")
     gone = replaced.unionByName(removed_docs(known, docs)).select("path", F.col("batch").alias("dead_batch"), "len")
@@ -122,15 +135,21 @@ def update_ranked_index(store: ArchiveStore, docs: DataFrame, batch: int) -> Non
     counts = store.read("term_counts").filter(F.col("batch") == batch)
     n_postings = counts.agg(F.sum("added")).first()[0] or 0
     levels = counts.filter("level > 0 AND added > 0").select("term", "level")
-    store.append("blocks", in_blocks(postings, broadcast_if_small(levels, LEVELLED_ROWS), n_postings), batch)
+    levels, rounds = broadcast_if_small(levels, LEVELLED_ROWS), min(BUCKETS, max(1, math.ceil(n_postings / ROUND_POSTINGS)))
+    if rounds == 1:
+        store.append("blocks", in_blocks(postings, levels, n_postings), batch)
+    else:
+        turn = F.pmod(bucket_of(F.col("term")), F.lit(rounds))
+        store.append_parts("blocks", (in_blocks(postings.filter(turn == i), levels, n_postings, rounds) for i in range(rounds)), batch)
 
     sums = lambda df: df.agg(F.count("*").alias("n_docs"), F.count("len").alias("n_texts"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len"))
     less = sums(dead).select(*(F.col(c).alias(f"_{c}") for c in ("n_docs", "n_texts", "total_len")))
     store.append("corpus", sums(fresh).crossJoin(less).select(*((F.col(c) - F.col(f"_{c}")).alias(c) for c in ("n_docs", "n_texts", "total_len"))), batch)
 
 
-def in_blocks(postings: DataFrame, levels: DataFrame, n_postings: int) -> DataFrame:
+def in_blocks(postings: DataFrame, levels: DataFrame, n_postings: int, rounds: int = 1) -> DataFrame:
     """Postings (term, path, tf, len) put together in blocks, by one shuffle; `levels` (term, level) has the terms of more than one block.
+    They are those of one of `rounds` equal parts of the buckets; `n_postings` counts all.
 
     Blocks are dealt out by cells, each a part of one bucket, so few files fall to a bucket and a term of very many blocks is spread.
     """
@@ -138,7 +157,7 @@ def in_blocks(postings: DataFrame, levels: DataFrame, n_postings: int) -> DataFr
     hashed, block = F.xxhash64("path"), block_of(F.col("hash"), F.col("level"))
     placed = postings.join(levels, "term", "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("hash", hashed)
     cell = bucket_of(F.col("term")) * slots + F.pmod(F.xxhash64("term", block), F.lit(slots)).cast("int")
-    dealt = placed.select("term", "path", "tf", "len", "level", cell.alias("cell")).repartition(BUCKETS * slots, "cell")
+    dealt = placed.select("term", "path", "tf", "len", "level", cell.alias("cell")).repartition(-(-BUCKETS // rounds) * slots, "cell")
     # What follows from a row is not shuffled.
     whole = dealt.withColumn("hash", hashed).withColumn("block", block)
     lists = whole.groupBy("cell", "term", "block").agg(
@@ -251,11 +270,15 @@ def _scored(store: ArchiveStore, blocks: DataFrame, chosen: DataFrame, weighed:
     lead = posted.join(small(chosen.select("query_id", "n_required", *at), bounded), at)
     held = lead.select("query_id", "n_required", "batch", F.inline("entries")).join(dead, ["path", "batch"], "left_anti").drop("tf")
     held = durable(held)
-    few = fits(held, QUERY_TERM_ROWS // ASKED)
-    asked = held.join(weighed, "query_id").join(levels, ["term", "batch"])
-    asked = asked.withColumns({"block": block_of(F.col("hash"), F.col("level")), "bucket": bucket_of(F.col("term"))}).drop("level", "hash")
-    met = posted.join(small(asked, few), at).withColumn("at", F.array_position("entries.path", F.col("path"))).filter("at > 0")
-    tf = F.element_at("entries.tf", F.col("at").cast("int"))
+    few = fits(held, FEW)
+    if not few and bounded and fits(held, QUERY_TERM_ROWS):
+        met = _met_by_path(posted, held, weighed)
+    else:
+        asked = held.join(weighed, "query_id").join(levels, ["term", "batch"])
+        asked = asked.withColumns({"block": block_of(F.col("hash"), F.col("level")), "bucket": bucket_of(F.col("term"))}).drop("level", "hash")
+        met = posted.join(small(asked, few), at).withColumn("at", F.array_position("entries.path", F.col("path"))).filter("at > 0")
+        met = met.withColumn("tf", F.element_at("entries.tf", F.col("at").cast("int")))
+    tf = F.col("tf")
     rows = met.select("query_id", "path", "n_required", "required", part(tf, F.col("len")).alias("part"))
     sums = rows.groupBy("query_id", "path").agg(
         F.round(F.sum("part"), 6).alias("score"), F.sum("required").alias("found"), F.first("n_required").alias("n_required")
@@ -263,6 +286,19 @@ def _scored(store: ArchiveStore, blocks: DataFrame, chosen: DataFrame, weighed:
     return sums.filter("found = n_required").select("query_id", "path", "score")
 
 
+def _met_by_path(posted: DataFrame, held: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Candidates and the postings of their query's words, by path: the candidates are broadcast, and postings of other documents go no further.
+
+    Shuffling the blocks to the candidates would move the lists of all words of the queries, the larger part of an index.
+    """
+    words = F.broadcast(weighed.select("term").distinct())
+    postings = posted.join(words, "term", "left_semi").select("term", "batch", F.inline("entries"))
+    found = postings.join(F.broadcast(held.select("path").distinct()), "path", "left_semi")
+    # Of postings of the same path, which a document in several rows has, the first of the list counts.
+    found = found.groupBy("term", "batch", "path").agg(F.min(F.struct("tf", "len")).alias("first")).select("term", "batch", "path", F.col("first.tf").alias("tf"))
+    return found.join(F.broadcast(held), ["path", "batch"]).join(weighed, ["query_id", "term"])
+
+
 # -- feedback -----------------------------------------------------------------------------------
 
 

@@ -53,8 +53,8 @@ def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, *measures(df.columns)), seen
 
 
-def keep(spark: SparkSession, folder: str, seen: Observation) -> None:
-    create_text(spark, f"{folder}/{FILE}", json.dumps(vars(Counts.of(seen.get))))
+def keep(spark: SparkSession, folder: str, counts: Counts) -> None:
+    create_text(spark, f"{folder}/{FILE}", json.dumps(vars(counts)))
 
 
 def kept(spark: SparkSession, folder: str) -> Counts | None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,10 +159,17 @@ class ArchiveStore:
 
     def append(self, table: str, df: DataFrame, batch: int) -> None:
         """Write one batch with its counters; writing the same batch again replaces it."""
+        self.append_parts(table, [df], batch)
+
+    def append_parts(self, table: str, parts: Iterable[DataFrame], batch: int) -> None:
+        """Write one batch part after part; the first replaces what is there, the counters come last."""
         head = self.head(table) or self._commit(table, self._fresh(table), "create")
-        rows, seen = C.observed(df)
-        self._write(table, rows, f"{head.location}/batch={batch}")
-        C.keep(self.spark, f"{head.location}/batch={batch}", seen)
+        location, total = f"{head.location}/batch={batch}", C.Counts()
+        for i, part in enumerate(parts):
+            rows, seen = C.observed(part)
+            self._write(table, rows, location, "append" if i else "overwrite")
+            total += C.Counts.of(seen.get)
+        C.keep(self.spark, location, total)
 
     def replace(self, table: str, df: DataFrame, op: str = "replace") -> None:
         """A new version of the table; the old directory stays as the backup."""
@@ -213,8 +221,8 @@ class ArchiveStore:
         remove_dirs(self.spark, gone)
         return len(gone)
 
-    def _write(self, table: str, df: DataFrame, location: str) -> None:
+    def _write(self, table: str, df: DataFrame, location: str, mode: str = "overwrite") -> None:
         schema, levels = STORE_TABLES[table]
         rows = df.select(*schema.fieldNames(), *levels)
-        writer = rows.write.mode("overwrite").option("compression", "zstd")
+        writer = rows.write.mode(mode).option("compression", "zstd")
         (writer.partitionBy(*levels) if levels else writer).parquet(location)

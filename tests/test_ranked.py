@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,50 @@ def test_terms_of_several_blocks_by_a_shuffle_join(spark, folder, monkeypatch):
         assert store.read("forward").filter("len IS NULL AND size(terms) = 0").count() == 6
     want = sorted((t, 2 if t == "all" else 0, p, 1, 2) for p, x, _ in rows if x for t in x.split())
     assert found[0] == found[1_000_000] == want
+
+
+def test_texts_of_a_fresh_index_are_not_joined(spark, folder, monkeypatch):
+    plans, append = {}, ArchiveStore.append
+    monkeypatch.setattr(ArchiveStore, "append", lambda self, table, df, batch: (plans.update({table: plan(df)}), append(self, table, df, batch))[1])
+    monkeypatch.setattr(R, "QUERY_TERM_ROWS", 10)
+    rows = [(f"d{i:03d}", f"all w{i % 7}", i) for i in range(30)] + [(None, "no path", 0)]
+    store = ArchiveStore(spark, folder)
+    R.build_ranked_index(store, docs(spark, rows))
+    assert "Join" not in plans["forward"]
+    assert values(R.live_documents(store), "path") == [p for p, _, _ in rows[:-1]]
+
+
+def test_blocks_of_several_rounds(spark, folder, monkeypatch):
+    rows = [(f"d{i:03d}", f"all w{i % 7} v{i % 31}", i) for i in range(300)]
+    found = []
+    for most in (10_000, 100, 1):
+        monkeypatch.setattr(R, "ROUND_POSTINGS", most)
+        store = ArchiveStore(spark, f"{folder}/{most}")
+        for _ in range(2):  # a repeated batch replaces all of its rounds
+            R.update_ranked_index(store, docs(spark, rows), 0)
+        assert store.counts("blocks").rows == store.read("blocks").count()
+        found.append(values(store.read("blocks").select("term", "level", "block", "max_tf", F.inline("entries")), "term", "level", "block", "max_tf", "hash", "path", "tf", "len"))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 900
+
+
+@pytest.mark.parametrize("few", [0, 31_250])
+def test_many_candidates_are_looked_up_by_path(spark, folder, monkeypatch, few):
+    monkeypatch.setattr(R, "BLOCK", 4)
+    monkeypatch.setattr(R, "SEEDS", 2)
+    monkeypatch.setattr(R, "FEW", few)
+    rows, queries = sample(7), asked(spark, 7)
+    store = ArchiveStore(spark, f"{folder}/store")
+    R.build_ranked_index(store, docs(spark, rows))
+    hits = R.ranked_search(store, queries, 3, optional=asked(spark, 8))
+    assert values(hits, "query_id", "rank", "path", "score") == full(spark, rows, queries, 3, asked(spark, 8))
+    # The lists of postings themselves are never dealt out.
+    assert not re.search(r"Exchange\nInput \[\d+\]: \[[^\n]*entries", plan(hits))
+
+
+def test_shuffle_files_of_an_index_are_removed(spark, folder):
+    """They go when a job has ended, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(key), []
+    with R.freed_shuffles(spark):
+        seen.append(spark.conf.get(key))
+    assert seen == ["true"] and spark.conf.get(key) == before
